@@ -228,7 +228,7 @@ def observability(
         F.avg(seconds_between(F.col("started_at"), F.col("completed_at"))).alias("run_duration_seconds"),
     )
     q = requests.agg(
-        F.try_divide(F.count_if("http_status = 200"), F.count(F.lit(1))).alias("request_success_rate"),
+        F.try_divide(F.count_if(F.col("http_status") == 200), F.count(F.lit(1))).alias("request_success_rate"),
         (F.sum("estimated_quota_cost") / F.lit(float(quota))).alias("quota_consumption_rate"),
     )
     a = observations.agg(F.try_divide(F.count("author_key"), F.count(F.lit(1))).alias("author_id_coverage"))

@@ -151,6 +151,11 @@ def capped_but_advanced(states: DataFrame) -> DataFrame:
     return states.filter(F.col("continuity_status").isin(*CAPPED_SCANS) & F.col("watermark_advanced"))
 
 
+def unapproved_parameters(parameters: DataFrame) -> DataFrame:
+    """Parameters in use without approval; `assert_empty` on them stops a run."""
+    return parameters.filter(~F.col("status").eqNullSafe("APPROVED"))
+
+
 def assert_empty(violations: DataFrame, rule: str) -> None:
     """Fail closed, naming the first few violating rows."""
     found = violations.limit(5).collect()
