@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlens.config import CHANNEL_TYPES, FOCUS_VALUES, StratificationRules, approved
@@ -12,6 +12,7 @@ from eventlens.errors import DeduplicationRuleMissingError, SnapshotMutationErro
 from eventlens.functions.keys import md5_uuid, multiset_hash
 from eventlens.functions.text import matched_terms, mentions_any, title_and_description
 from eventlens.functions.times import micros_between
+from eventlens.operators.joins import require_all
 from eventlens.operators.ordered import bounded, latest_per_key
 
 DeduplicationRule = Callable[[DataFrame], DataFrame]
@@ -149,19 +150,55 @@ def same_title_rule(evidence: DataFrame) -> DataFrame:
 register_deduplication_rule("same_title_v1")(same_title_rule)
 
 
-def evidence_window(evidence: DataFrame, rules: StratificationRules) -> DataFrame:
-    """Effective window per event and channel: primary, else fallback, else primary below minimum."""
+_SPANS = ("primary", "fallback")
+
+
+def channel_statistics(evidence: DataFrame, rules: StratificationRules) -> DataFrame:
+    """Everything the classifiers need per event and channel, from one pass over the evidence.
+
+    Counts are taken for both window lengths at once and chosen afterwards, so the evidence is
+    neither joined back to its window nor aggregated again. The window is the primary one;
+    the fallback if only that reaches the minimum; else the primary one below minimum.
+    """
     counted = F.col("included_in_prevalence")
-    primary = F.count_if(counted & (F.col("_age") <= rules.primary_days * _DAY_MICROS))
-    fallback = F.count_if(counted)
+    text = title_and_description(F.col("title"), F.col("description"))
+    analysis = mentions_any(text, rules.analysis_keywords)
+    aggs = []
+    for span, days in zip(_SPANS, (rules.primary_days, rules.fallback_days)):
+        inside = counted & (F.col("_age") <= days * _DAY_MICROS)
+        aggs += [
+            F.count_if(inside).alias(f"videos_{span}"),
+            F.count_if(inside & F.col("mentions_a")).alias(f"_a_{span}"),
+            F.count_if(inside & F.col("mentions_b")).alias(f"_b_{span}"),
+            F.count_if(inside & analysis).alias(f"_analysis_{span}"),
+        ]
+    sub = F.floor((F.col("_age") - 1) / F.lit(rules.subwindow_days * _DAY_MICROS))
+    for i in range(3):
+        here = counted & (sub == i)
+        aggs += [
+            F.count_if(here).alias(f"_n{i}"),
+            F.count_if(here & F.col("mentions_a")).alias(f"_a{i}"),
+            F.count_if(here & F.col("mentions_b")).alias(f"_b{i}"),
+        ]
     use_fallback = (F.col("videos_primary") < rules.min_videos) & (F.col("videos_fallback") >= rules.min_videos)
+
+    def chosen(prefix: str) -> Column:
+        return F.when(F.col("fallback_used"), F.col(f"{prefix}_fallback")).otherwise(F.col(f"{prefix}_primary"))
+
     return (
         evidence.groupBy("event_version_key", "channel_key", "reference_period_end")
-        .agg(primary.alias("videos_primary"), fallback.alias("videos_fallback"))
+        .agg(*aggs, multiset_hash(_manifest_item()).alias("evidence_manifest_hash"))
         .withColumn("fallback_used", use_fallback)
-        .withColumn(
-            "effective_window_days",
-            F.when(use_fallback, rules.fallback_days).otherwise(rules.primary_days).cast("bigint"),
+        .withColumns(
+            {
+                "effective_window_days": F.when(F.col("fallback_used"), rules.fallback_days)
+                .otherwise(rules.primary_days)
+                .cast("bigint"),
+                "eligible_video_count": chosen("videos"),
+                "a_video_count": chosen("_a"),
+                "b_video_count": chosen("_b"),
+                "analysis_video_count": chosen("_analysis"),
+            }
         )
         .withColumn(
             "reference_period_start",
@@ -170,6 +207,20 @@ def evidence_window(evidence: DataFrame, rules: StratificationRules) -> DataFram
     )
 
 
+def evidence_window(statistics: DataFrame) -> DataFrame:
+    """Effective window per event and channel."""
+    return statistics.select(
+        "event_version_key",
+        "channel_key",
+        "reference_period_start",
+        "reference_period_end",
+        "videos_primary",
+        "videos_fallback",
+        "fallback_used",
+        "effective_window_days",
+    )
+
+
 def _focus(n: Column, a: Column, b: Column, rules: StratificationRules, combined: float | None) -> Column:
     """Focus label from counts; without `combined` dual prevalence alone gives the mixed label."""
     alpha = rules.smoothing_alpha
@@ -185,37 +236,11 @@ def _focus(n: Column, a: Column, b: Column, rules: StratificationRules, combined
     )
 
 
-def in_effective_window(evidence: DataFrame, windows: DataFrame) -> DataFrame:
-    """Counted evidence inside each channel's effective window."""
-    w = windows.select("event_version_key", "channel_key", "effective_window_days", "fallback_used")
-    return evidence.filter("included_in_prevalence").join(w, ["event_version_key", "channel_key"]).filter(
-        F.col("_age") <= F.col("effective_window_days") * _DAY_MICROS
-    )
-
-
-def classify_focus(evidence: DataFrame, windows: DataFrame, rules: StratificationRules) -> DataFrame:
-    """Focus axis for every event and channel, one pass over the counted evidence.
+def classify_focus(stats: DataFrame, rules: StratificationRules, keep: Sequence[str] = ()) -> DataFrame:
+    """Focus axis from the channel statistics.
 
-    Counts and the three stability subwindows are conditional counts of the same
-    aggregation. Dual prevalence without an approved combined threshold stops the job.
+    Dual prevalence without an approved combined threshold stops the job.
     """
-    counted = in_effective_window(evidence, windows)
-    sub = F.floor((F.col("_age") - 1) / F.lit(rules.subwindow_days * _DAY_MICROS))
-    aggs = [
-        F.count(F.lit(1)).alias("eligible_video_count"),
-        F.count_if("mentions_a").alias("a_video_count"),
-        F.count_if("mentions_b").alias("b_video_count"),
-    ]
-    for i in range(3):
-        aggs += [
-            F.count_if(sub == i).alias(f"_n{i}"),
-            F.count_if((sub == i) & F.col("mentions_a")).alias(f"_a{i}"),
-            F.count_if((sub == i) & F.col("mentions_b")).alias(f"_b{i}"),
-        ]
-    keys = ["event_version_key", "channel_key"]
-    stats = windows.join(counted.groupBy(*keys).agg(*aggs), keys, "left").fillna(
-        0, [c for c in ("eligible_video_count", "a_video_count", "b_video_count")] + [f"_{x}{i}" for x in "nab" for i in range(3)]
-    )
     n, a, b = F.col("eligible_video_count"), F.col("a_video_count"), F.col("b_video_count")
     alpha = rules.smoothing_alpha
     prev_a, prev_b = F.coalesce(F.try_divide(a, n), F.lit(0.0)), F.coalesce(F.try_divide(b, n), F.lit(0.0))
@@ -243,7 +268,9 @@ def classify_focus(evidence: DataFrame, windows: DataFrame, rules: Stratificatio
         enough & ~F.col("fallback_used") & (F.col("subwindows_agreeing") >= 2), F.lit("MEDIUM")
     ).otherwise(F.lit("LOW"))
     return stats.select(
-        *keys,
+        "event_version_key",
+        "channel_key",
+        *keep,
         "reference_period_start",
         "reference_period_end",
         "effective_window_days",
@@ -282,55 +309,55 @@ def documented_focus_confidence(focus: DataFrame, rules: StratificationRules, la
     )
 
 
-def club_shares(counted: DataFrame, rules: StratificationRules) -> DataFrame:
-    """Winning club, its share and the runner-up's share per event and channel.
+def club_counts(evidence: DataFrame, rules: StratificationRules) -> DataFrame:
+    """The two most mentioned clubs per event and channel, for both window lengths.
 
-    Each video counts once per club; everything after that works on one row per channel and club.
+    Each video counts once per club. The last step sorts at most one entry per configured
+    club, so its arrays are as short as the registry.
     """
     keys = ["event_version_key", "channel_key"]
     text = title_and_description(F.col("title"), F.col("description"))
     clubs = F.array_compact(
         F.array(*[F.when(mentions_any(text, aliases), F.lit(club)) for club, aliases in rules.clubs])
     ).cast("array<string>")
-    counts = (
-        counted.select(*keys, F.explode(clubs).alias("club")).groupBy(*keys, "club").agg(F.count(F.lit(1)).alias("n"))
-    )
-    # the best by (count, name), then the best count among the others
-    best = counts.groupBy(*keys).agg(F.max(F.struct("n", "club")).alias("best"))
-    second = (
-        counts.join(best, keys)
-        .filter(F.col("club") != F.col("best.club"))
-        .groupBy(*keys)
-        .agg(F.max("n").alias("second"))
+    per_club = (
+        evidence.filter("included_in_prevalence")
+        .select(*keys, "_age", F.explode(clubs).alias("club"))
+        .groupBy(*keys, "club")
+        .agg(
+            *[
+                F.count_if(F.col("_age") <= days * _DAY_MICROS).alias(span)
+                for span, days in zip(_SPANS, (rules.primary_days, rules.fallback_days))
+            ]
+        )
     )
-    return best.join(second, keys, "left").select(
-        *keys, F.col("best.club").alias("top_club"), F.col("best.n").alias("top_n"), F.coalesce("second", F.lit(0)).alias("second_n")
+    return per_club.groupBy(*keys).agg(
+        *[
+            F.slice(F.sort_array(F.collect_list(F.struct(F.col(span).alias("n"), "club")), asc=False), 1, 2).alias(span)
+            for span in _SPANS
+        ]
     )
 
 
 def classify_type(
-    evidence: DataFrame, windows: DataFrame, channels: DataFrame, rules: StratificationRules
+    stats: DataFrame, evidence: DataFrame, channels: DataFrame, rules: StratificationRules
 ) -> DataFrame:
     """Channel-type axis: evidence gate, registries, club share, analysis share, fallback.
 
     `channels` has channel_key, source_channel_id, about_description.
     """
     keys = ["event_version_key", "channel_key"]
-    counted = in_effective_window(evidence, windows)
-    text = title_and_description(F.col("title"), F.col("description"))
-    analysis = F.count_if(mentions_any(text, rules.analysis_keywords))
-    stats = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), analysis.alias("_analysis"))
-    base = (
-        windows.select(*keys)
-        .join(stats, keys, "left")
-        .join(channels.select("channel_key", "source_channel_id", "about_description"), "channel_key", "left")
+    base = stats.join(
+        channels.select("channel_key", "source_channel_id", "about_description"), "channel_key", "left"
     )
     if rules.clubs:
-        base = base.join(club_shares(counted, rules), keys, "left")
+        base = base.join(club_counts(evidence, rules), keys, "left")
+        best = F.when(F.col("fallback_used"), F.col("fallback")).otherwise(F.col("primary"))
+        top_n, second_n = (F.coalesce(F.get(best, F.lit(i))["n"], F.lit(0)) for i in (0, 1))
     else:
-        base = base.withColumns({"top_n": F.lit(0), "second_n": F.lit(0)})
-    n = F.coalesce("_n", F.lit(0))
-    top, second = F.coalesce(F.try_divide("top_n", n), F.lit(0.0)), F.coalesce(F.try_divide("second_n", n), F.lit(0.0))
+        top_n = second_n = F.lit(0)
+    n = F.col("eligible_video_count")
+    top, second = F.coalesce(F.try_divide(top_n, n), F.lit(0.0)), F.coalesce(F.try_divide(second_n, n), F.lit(0.0))
     identity = (F.trim(F.coalesce("about_description", F.lit(""))) != "") | F.col("source_channel_id").isin(
         *rules.third_party_channels
     )
@@ -345,7 +372,7 @@ def classify_type(
         ).otherwise(F.lit(False))
     else:
         club = dominant & (top - second >= rules.club_winning_margin)
-    share = F.coalesce(F.try_divide("_analysis", n), F.lit(0.0))
+    share = F.coalesce(F.try_divide(F.col("analysis_video_count"), n), F.lit(0.0))
     by_share = (
         F.lit(False)
         if rules.analysis_share_threshold is None or not rules.analysis_keywords
@@ -366,7 +393,7 @@ def classify_type(
         .otherwise(F.struct(F.lit("INDEPENDENT_CREATOR"), F.lit("LOW")))
     )
     return base.withColumn("_d", decided).select(
-        *keys,
+        *stats.columns,
         F.col("_d").getField("col1").alias("channel_type_value"),
         F.col("_d").getField("col2").alias("channel_type_confidence"),
         top.alias("club_share"),
@@ -375,9 +402,8 @@ def classify_type(
     )
 
 
-def manifest_hash(evidence: DataFrame) -> DataFrame:
-    """Fingerprint of the evidence per event and channel, independent of scan order."""
-    item = F.concat_ws(
+def _manifest_item() -> Column:
+    return F.concat_ws(
         "|",
         "source_id",
         F.col("published_at").cast("string"),
@@ -387,8 +413,12 @@ def manifest_hash(evidence: DataFrame) -> DataFrame:
         F.col("is_duplicate").cast("string"),
         F.col("included_in_prevalence").cast("string"),
     )
+
+
+def manifest_hash(evidence: DataFrame) -> DataFrame:
+    """Fingerprint of the evidence per event and channel, independent of scan order."""
     return evidence.groupBy("event_version_key", "channel_key").agg(
-        multiset_hash(item).alias("evidence_manifest_hash")
+        multiset_hash(_manifest_item()).alias("evidence_manifest_hash")
     )
 
 
@@ -397,18 +427,16 @@ def assess_channels(
 ) -> DataFrame:
     """Assessment record for every event and channel, both axes and the evidence fingerprint."""
     keys = ["event_version_key", "channel_key"]
-    windows = evidence_window(evidence, rules)
-    focus = classify_focus(evidence, windows, rules)
-    kind = classify_type(evidence, windows, channels, rules)
+    stats = channel_statistics(evidence, rules)
+    kind = classify_type(stats, evidence, channels, rules)
+    focus = classify_focus(kind, rules, keep=("channel_type_value", "channel_type_confidence", "evidence_manifest_hash"))
     eligible = (
         (F.col("channel_type_value") != "UNCLASSIFIED")
         & (F.col("focus_value") != "UNCLASSIFIED")
         & ~F.col("fallback_used")
     )
     return (
-        focus.join(kind, keys)
-        .join(manifest_hash(evidence), keys)
-        .withColumn("headline_decomposition_eligible", eligible)
+        focus.withColumn("headline_decomposition_eligible", eligible)
         .withColumn("classification_protocol_version", F.lit(rules.protocol_version))
         .withColumn("rule_config_hash", F.sha2(F.lit(rules.digest_text()), 256))
         .withColumn("stratum_key", md5_uuid(F.col("channel_type_value"), F.col("focus_value")))
@@ -471,36 +499,45 @@ def pin_snapshots(existing: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def apply_overrides(versions: DataFrame, strata: DataFrame, overrides: DataFrame) -> DataFrame:
-    """New audited assignment per approved override; the other axis and all history stay.
+    """A new audited assignment per approved override; the other axis and all history stay.
 
     `overrides`: channel_key, axis (CHANNEL_TYPE / FOCUS), proposed_axis_value, approved_by,
     approved_at. One without an approver is PENDING and changes nothing. Several overrides
-    of one channel apply in approval order.
+    of one channel take effect one after the other, each closing the version before it.
     """
     ok = overrides.filter("approved_by IS NOT NULL")
-    live = versions.filter("is_current").join(bounded(strata), "stratum_key")
-    axis = {a: F.max(F.when(F.col("axis") == a, F.struct("approved_at", "proposed_axis_value"))) for a in ("CHANNEL_TYPE", "FOCUS")}
-    last = ok.groupBy("channel_key").agg(
-        axis["CHANNEL_TYPE"].alias("_t"), axis["FOCUS"].alias("_f"), F.max("approved_at").alias("_at")
-    )
-    changed = live.join(last, "channel_key").select(
-        "channel_key",
-        F.col("stratum_key").alias("_old_key"),
-        "_at",
-        F.coalesce("_t.proposed_axis_value", "channel_type_value").alias("channel_type_value"),
-        F.coalesce("_f.proposed_axis_value", "focus_value").alias("focus_value"),
-    )
-    fresh = changed.join(
-        bounded(strata.select("stratum_key", "channel_type_value", "focus_value")),
-        ["channel_type_value", "focus_value"],
-    ).select(
+    require_all(ok, versions.filter("is_current"), ["channel_key"], "current stratum version")
+    in_order = Window.partitionBy("channel_key").orderBy("approved_at", "axis")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def proposed(axis: str) -> Column:
+        value = F.when(F.col("axis") == axis, F.col("proposed_axis_value"))
+        return F.last(value, ignorenulls=True).over(so_far)
+
+    steps = ok.select(
         "channel_key",
-        "stratum_key",
-        F.col("_at").alias("valid_from"),
-        F.lit(None).cast("timestamp_ntz").alias("valid_to"),
-        F.lit(True).alias("is_current"),
+        proposed("CHANNEL_TYPE").alias("_type"),
+        proposed("FOCUS").alias("_focus"),
+        F.col("approved_at").alias("valid_from"),
+        F.lead("approved_at").over(in_order).alias("valid_to"),
+        (F.row_number().over(in_order) == 1).alias("_first"),
+    )
+    axes = strata.select("stratum_key", "channel_type_value", "focus_value")
+    live = versions.filter("is_current").join(bounded(axes), "stratum_key")
+    fresh = (
+        steps.join(live.select("channel_key", "channel_type_value", "focus_value"), "channel_key")
+        .withColumn("channel_type_value", F.coalesce("_type", "channel_type_value"))
+        .withColumn("focus_value", F.coalesce("_focus", "focus_value"))
+        .join(bounded(axes), ["channel_type_value", "focus_value"], "left")
+        .select(
+            "channel_key",
+            F.coalesce("stratum_key", F.raise_error(F.lit("stratum combination does not exist"))).alias("stratum_key"),
+            "valid_from",
+            "valid_to",
+            F.col("valid_to").isNull().alias("is_current"),
+        )
     )
-    closing = fresh.select("channel_key", F.col("valid_from").alias("_closed"))
+    closing = steps.filter("_first").select("channel_key", F.col("valid_from").alias("_closed"))
     closes = F.col("is_current") & F.col("_closed").isNotNull()
     kept = versions.join(closing, "channel_key", "left").select(
         "channel_key",

@@ -24,6 +24,7 @@ from eventlens.plans.catalog.base import (
 from eventlens.plans.catalog.history import UUID
 from eventlens.plans.catalog.joins import pinned_snapshots
 from eventlens.plans.catalog.windows import _LIST_HASH
+from eventlens.session import durable
 from eventlens.sources.reference_data import period_rows
 
 BUFFER_HOURS = 24
@@ -226,12 +227,11 @@ def _t13(spark, sf):
     "evidence_windows",
 )
 def _g4(spark, sf):
-    return strata.evidence_window(evidence(spark, sf), RULES)
+    return strata.evidence_window(strata.channel_statistics(evidence(spark, sf), RULES))
 
 
 def focus(spark, sf):
-    items = evidence(spark, sf)
-    return strata.classify_focus(items, strata.evidence_window(items, RULES), RULES)
+    return strata.classify_focus(strata.channel_statistics(evidence(spark, sf), RULES), RULES)
 
 
 @query(
@@ -264,8 +264,10 @@ def _g6(spark, sf):
 @query("g7_type_classifier", "SELECT * FROM types", "types")
 def _g7(spark, sf):
     items = evidence(spark, sf)
-    out = strata.classify_type(items, strata.evidence_window(items, RULES), channels(spark, sf), RULES)
-    return rounded(out, "club_share", "runner_up_share", "analysis_share")
+    out = strata.classify_type(strata.channel_statistics(items, RULES), items, channels(spark, sf), RULES)
+    return rounded(out, "club_share", "runner_up_share", "analysis_share").select(
+        *KEYS, "channel_type_value", "channel_type_confidence", "club_share", "runner_up_share", "analysis_share"
+    )
 
 
 ASSESSED_AT = "2024-01-14 12:00:00"
@@ -308,7 +310,7 @@ def _g9(spark, sf):
 )
 def _t12(spark, sf):
     """The first event is pinned already; odd counts were pinned with half a second of drift."""
-    candidates = assessments(spark, sf)
+    candidates = durable(assessments(spark, sf))  # assessments are a stored table
     drift = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(0.5).cast("decimal(18,6)"))
     pinned = candidates.filter("event_version_key = 'EV1'").withColumn(
         "reference_period_end",
@@ -332,7 +334,7 @@ def _t12(spark, sf):
 )
 def _t16(spark, sf):
     """A third of the channels gets a type override, a third a focus override, the rest a pending one."""
-    current = assessments(spark, sf).filter("event_version_key = 'EV1'")
+    current = durable(assessments(spark, sf).filter("event_version_key = 'EV1'"))
     versions = current.select(
         "channel_key",
         "stratum_key",
