@@ -10,15 +10,24 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventlens.config import Event
-from eventlens.functions.times import plus_hours
-from eventlens.operators.ordered import bounded
+from eventlens.functions.times import ntz, plus_hours
+from eventlens.operators.ordered import MAX_BROADCAST_ROWS
 
 _TS = pa.timestamp("us")
 
 
 def config_table(spark: SparkSession, columns: dict[str, tuple[pa.DataType, Sequence]]) -> DataFrame:
-    """Configuration rows as a local relation (the optimizer knows their size)."""
-    return spark.createDataFrame(pa.table({n: pa.array(v, t) for n, (t, v) in columns.items()}))
+    """Configuration rows as a local relation (the optimizer knows their size).
+
+    Naive timestamps travel as text, so they become TIMESTAMP_NTZ whatever the session prefers.
+    """
+    instants = [n for n, (t, _) in columns.items() if pa.types.is_timestamp(t)]
+    data = {
+        n: pa.array([None if x is None else str(x) for x in v], pa.string()) if n in instants else pa.array(v, t)
+        for n, (t, v) in columns.items()
+    }
+    rows = spark.createDataFrame(pa.table(data))
+    return rows.withColumns({n: F.col(n).cast("timestamp_ntz") for n in instants})
 
 
 def window_table(spark: SparkSession, events: Sequence[Event]) -> DataFrame:
@@ -56,44 +65,53 @@ def assign_windows(
     """Range join of facts and windows as an equi-join on the day, then the exact bounds.
 
     Windows are cut into days, so the join hashes on the day instead of comparing every
-    fact with every window. The day rows are broadcast when their number is small;
-    otherwise the join shuffles on the day and hot days are split at run time.
+    fact with every window. One small aggregate over the windows gives their number of days
+    and their overall span: the span becomes a plain range filter the scan can push down, and
+    the day rows are broadcast while there are few. Beyond that the join shuffles on the day
+    and hot days are split at run time.
     """
+    starts, ends = F.col("absolute_start_at"), F.col("absolute_end_at")
+    span = windows.agg(
+        F.min(starts).cast("string").alias("lo"),
+        F.max(ends).cast("string").alias("hi"),
+        F.sum(F.date_diff(ends, starts) + 2).alias("days"),
+    ).first()
     w = windows.withColumn(
-        "_day",
-        F.explode(
-            F.sequence(
-                F.to_date("absolute_start_at"), F.to_date("absolute_end_at"), F.expr("interval 1 day")
-            )
-        ),
+        "_day", F.explode(F.sequence(F.to_date(starts), F.to_date(ends), F.expr("interval 1 day")))
     )
-    inside = F.col(ts) >= F.col("absolute_start_at")
-    inside &= (F.col(ts) <= F.col("absolute_end_at")) if closed_end else (F.col(ts) < F.col("absolute_end_at"))
-    return facts.withColumn("_day", F.to_date(ts)).join(bounded(w), "_day").filter(inside).drop("_day")
+    if (span["days"] or 0) <= MAX_BROADCAST_ROWS:
+        w = F.broadcast(w)
+    t = F.col(ts)
+    inside = (t >= starts) & ((t <= ends) if closed_end else (t < ends))
+    near = t.between(ntz(span["lo"]), ntz(span["hi"])) if span["lo"] else F.lit(False)
+    return facts.filter(near).withColumn("_day", F.to_date(ts)).join(w, "_day").filter(inside).drop("_day")
 
 
-def literal_windows(events: Sequence[Event], ts: Column) -> Column:
-    """Array of the configured windows an instant falls into, without any join.
+def in_windows(facts: DataFrame, events: Sequence[Event], ts: str = "published_at") -> DataFrame:
+    """Half-open assignment to configured windows; one row per fact and window hit.
 
-    For the handful of windows of one run this stays inside the scan stage.
+    For the handful of windows of one run no join is needed: the windows are an array
+    expression per row. The span of every event is a range filter the scan can push down.
     """
-    from eventlens.functions.times import ntz
-
-    hits = [
-        F.when(
-            (ts >= ntz(str(e.occurred_at + timedelta(hours=w.start_hours))))
-            & (ts < ntz(str(e.occurred_at + timedelta(hours=w.end_hours)))),
-            F.struct(F.lit(e.event_key).alias("event_version_key"), F.lit(w.window_type).alias("window_type")),
-        )
-        for e in events
-        for w in e.windows
-    ]
-    return F.array_compact(F.array(*hits))
-
-
-def in_windows(facts: DataFrame, events: Sequence[Event], ts: str = "published_at") -> DataFrame:
-    """Half-open assignment to the configured windows; one row per fact and window hit."""
-    return facts.withColumn("_hit", F.explode(literal_windows(events, F.col(ts)))).select("*", "_hit.*").drop("_hit")
+    t = F.col(ts)
+
+    def at(event: Event, hours: int) -> Column:
+        return ntz(str(event.occurred_at + timedelta(hours=hours)))
+
+    near = F.lit(False)
+    hits = []
+    for e in events:
+        lo, hi = min(w.start_hours for w in e.windows), max(w.end_hours for w in e.windows)
+        near = near | ((t >= at(e, lo)) & (t < at(e, hi)))
+        hits += [
+            F.when(
+                (t >= at(e, w.start_hours)) & (t < at(e, w.end_hours)),
+                F.struct(F.lit(e.event_key).alias("event_version_key"), F.lit(w.window_type).alias("window_type")),
+            )
+            for w in e.windows
+        ]
+    hit = F.explode(F.array_compact(F.array(*hits)))
+    return facts.filter(near).withColumn("_hit", hit).select("*", "_hit.*").drop("_hit")
 
 
 def date_dimension(facts: DataFrame, ts: str) -> DataFrame:

@@ -33,6 +33,11 @@ def query(name: str, sql: str | None = None, needs: str = ""):
     return add
 
 
+def also(name: str, existing: str) -> None:
+    """Second inventory name of a registered query."""
+    QUERIES[name], ORACLES[name] = QUERIES[existing], ORACLES[existing]
+
+
 def with_tables(needs: str, body: str) -> str:
     ordered: list[str] = []
 
@@ -154,14 +159,15 @@ cte(
       CASE WHEN event_id % 9 = 0 THEN 'LOW_CONFIDENCE' ELSE 'ACCEPTED' END AS derision_status,
       value < 5 AS sarcasm_label,
       CASE WHEN event_id % 8 = 0 THEN 'LOW_CONFIDENCE' ELSE 'ACCEPTED' END AS sarcasm_status,
-      l.toxic = 1 AS toxicity_label,
-      CASE WHEN l.toxic IS NULL THEN 'MODEL_ERROR' ELSE 'ACCEPTED' END AS toxicity_status,
       event_type AS narrative, event_id % 10 <> 3 AS has_narrative,
       CAST(floor(value) AS BIGINT) AS likes, user_id, event_type
-    FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) e
-    LEFT JOIN labels l ON l.doc_id = e.event_id
+    FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
     """,
 )
+cte(
+    "toxicity",
+    """SELECT doc_id AS comment_key, toxic = 1 AS toxicity_label, 'ACCEPTED' AS toxicity_status FROM labels""",
+)
 cte(
     "targeted",
     """
@@ -189,6 +195,20 @@ cte(
     "targeted",
     "windows1",
 )
+cte(
+    "opinions_tox",
+    """SELECT o.*, toxicity_label, coalesce(toxicity_status, 'MODEL_ERROR') AS toxicity_status
+    FROM opinions o LEFT JOIN toxicity USING (comment_key)""",
+    "opinions",
+    "toxicity",
+)
+cte(
+    "comments_tox",
+    """SELECT c.*, toxicity_label, coalesce(toxicity_status, 'MODEL_ERROR') AS toxicity_status
+    FROM comments c LEFT JOIN toxicity USING (comment_key)""",
+    "comments",
+    "toxicity",
+)
 cte(
     "opinions2",
     f"""SELECT c.*, w.event_version_key, w.window_type, channel_type_value AS stratum_name FROM targeted c
@@ -237,11 +257,18 @@ RELEVANCE_TEXT = "(lower(title) || ' ' || lower(description))"
 
 # ---------------------------------------------------------------- derived tables, Spark side
 
+# channel type by video number modulo five
+CHANNEL_TYPE_OF = (
+    "UNCLASSIFIED",
+    "BROAD_REACH_PUBLISHER",
+    "CLUB_MEDIA",
+    "ANALYSIS_PUBLISHER",
+    "INDEPENDENT_CREATOR",
+)
+
 
 def comments(spark: SparkSession, sf: str) -> DataFrame:
-    events = table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
-    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("event_id"), "toxic")
-    base = events.join(labels, "event_id", "left")
+    base = table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
     one, hundred = F.lit(1.0), F.lit(100.0)
     e, k, v = F.col("event_id"), F.col("k"), F.col("value")
 
@@ -257,12 +284,7 @@ def comments(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("salt1").alias("salt_version_id"),
         F.when(k % 7 == 0, F.lit("es")).otherwise(F.lit("en")).alias("language_code"),
         ((e % 100) / hundred).alias("language_confidence"),
-        F.when(k % 5 == 0, F.lit("UNCLASSIFIED"))
-        .when(k % 5 == 1, F.lit("BROAD_REACH_PUBLISHER"))
-        .when(k % 5 == 2, F.lit("CLUB_MEDIA"))
-        .when(k % 5 == 3, F.lit("ANALYSIS_PUBLISHER"))
-        .otherwise(F.lit("INDEPENDENT_CREATOR"))
-        .alias("channel_type_value"),
+        F.get(F.array(*map(F.lit, CHANNEL_TYPE_OF)), (k % 5).cast("int")).alias("channel_type_value"),
         F.when(e % 19 == 0, F.lit("RELEVANCE")).otherwise(F.lit("CHRONOLOGICAL")).alias("sample_type"),
         F.when(e % 23 == 0, F.lit("LINK_SOLICITATION")).alias("exclusion_reason"),
         F.when(e % 11 == 0, F.lit("LOW_CONFIDENCE"))
@@ -275,8 +297,6 @@ def comments(spark: SparkSession, sf: str) -> DataFrame:
         status(9).alias("derision_status"),
         (v < 5).alias("sarcasm_label"),
         status(8).alias("sarcasm_status"),
-        (F.col("toxic") == 1).alias("toxicity_label"),
-        F.when(F.col("toxic").isNull(), F.lit("MODEL_ERROR")).otherwise(F.lit("ACCEPTED")).alias("toxicity_status"),
         F.col("event_type").alias("narrative"),
         (e % 10 != 3).alias("has_narrative"),
         F.floor(v).cast("bigint").alias("likes"),
@@ -285,6 +305,20 @@ def comments(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def with_toxicity(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
+    """Toxicity outputs where the label table has one; the rest are abstentions."""
+    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("comment_key"), "toxic")
+    return (
+        rows.join(labels, "comment_key", "left")
+        .withColumn("toxicity_label", F.col("toxic") == 1)
+        .withColumn(
+            "toxicity_status",
+            F.when(F.col("toxic").isNull(), F.lit("MODEL_ERROR")).otherwise(F.lit("ACCEPTED")),
+        )
+        .drop("toxic")
+    )
+
+
 def targeted(rows: DataFrame) -> DataFrame:
     """Even ids speak about A, odd ones about B, ids divisible by five about both."""
     e = F.col("comment_key")

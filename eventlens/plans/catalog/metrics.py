@@ -16,6 +16,7 @@ from eventlens.plans.catalog.base import (
     POSITIVE_ABOVE,
     POST,
     PRE,
+    also,
     assignments,
     comments,
     comments_in_window,
@@ -25,6 +26,7 @@ from eventlens.plans.catalog.base import (
     rounded,
     table,
     targeted,
+    with_toxicity,
 )
 
 TW = "event_version_key, target, window_type"
@@ -61,11 +63,15 @@ def _m010(spark, sf):
     return rounded(out, "positive_share", "neutral_share", "negative_share")
 
 
+def toxic_opinions(spark, sf):
+    return with_toxicity(spark, sf, opinions(spark, sf))
+
+
 def _rate_sql(construct: str, name: str) -> str:
     return f"""SELECT {TW}, count(*) FILTER ({construct}_status = 'ACCEPTED') AS accepted_{construct}_output_count,
       round(count(*) FILTER ({construct}_status = 'ACCEPTED' AND {construct}_label)::DOUBLE
         / nullif(count(*) FILTER ({construct}_status = 'ACCEPTED'), 0), 10) AS {name}
-      FROM opinions GROUP BY ALL"""
+      FROM {"opinions_tox" if construct == "toxicity" else "opinions"} GROUP BY ALL"""
 
 
 @query("m011_derision_rate", _rate_sql("derision", "m011_derision_rate"), "opinions")
@@ -73,9 +79,9 @@ def _m011(spark, sf):
     return rounded(reaction.construct_rate(opinions(spark, sf), "derision", "m011_derision_rate"), "m011_derision_rate")
 
 
-@query("m012_toxicity_rate", _rate_sql("toxicity", "m012_toxicity_rate"), "opinions")
+@query("m012_toxicity_rate", _rate_sql("toxicity", "m012_toxicity_rate"), "opinions_tox")
 def _m012(spark, sf):
-    return rounded(reaction.construct_rate(opinions(spark, sf), "toxicity", "m012_toxicity_rate"), "m012_toxicity_rate")
+    return rounded(reaction.construct_rate(toxic_opinions(spark, sf), "toxicity", "m012_toxicity_rate"), "m012_toxicity_rate")
 
 
 @query("m013_sarcasm_rate", _rate_sql("sarcasm", "m013_sarcasm_rate"), "opinions")
@@ -92,7 +98,7 @@ _REACTION = f"""SELECT {TW}, count(*) AS eligible_target_opinion_count, count(va
     round(count(*) FILTER ({c}_status = 'ACCEPTED' AND {c}_label)::DOUBLE
       / nullif(count(*) FILTER ({c}_status = 'ACCEPTED'), 0), 10) AS {n}"""
     for c, n in (("derision", "m011_derision_rate"), ("toxicity", "m012_toxicity_rate"), ("sarcasm", "m013_sarcasm_rate"))
-) + " FROM opinions GROUP BY ALL"
+) + " FROM opinions_tox GROUP BY ALL"
 _REACTION_VALUES = (
     "m008_mean_valence",
     "m010_positive_share",
@@ -104,9 +110,9 @@ _REACTION_VALUES = (
 )
 
 
-@query("mart_target_reaction_window", _REACTION, "opinions")
+@query("mart_target_reaction_window", _REACTION, "opinions_tox")
 def _mart_reaction(spark, sf):
-    out = marts.mart_target_reaction_window(opinions(spark, sf), NEGATIVE_BELOW, POSITIVE_ABOVE)
+    out = marts.mart_target_reaction_window(toxic_opinions(spark, sf), NEGATIVE_BELOW, POSITIVE_ABOVE)
     return rounded(out, *_REACTION_VALUES)
 
 
@@ -251,13 +257,13 @@ _CONSTRUCTS = {c: f"{c}_status" for c in ("derision", "sarcasm", "toxicity")}
     " UNION ALL ".join(
         f"""SELECT event_version_key, window_type, '{c}' AS construct_key,
         count(*) FILTER ({c}_status = 'ACCEPTED') AS accepted_count, count(*) AS opinion_count,
-        round(avg(({c}_status = 'ACCEPTED')::INT), 10) AS m007_classifier_output_coverage FROM opinions GROUP BY ALL"""
+        round(avg(({c}_status = 'ACCEPTED')::INT), 10) AS m007_classifier_output_coverage FROM opinions_tox GROUP BY ALL"""
         for c in _CONSTRUCTS
     ),
-    "opinions",
+    "opinions_tox",
 )
 def _m007(spark, sf):
-    out = marts.mart_classifier_output_coverage(opinions(spark, sf), _CONSTRUCTS)
+    out = marts.mart_classifier_output_coverage(toxic_opinions(spark, sf), _CONSTRUCTS)
     return rounded(out, "m007_classifier_output_coverage")
 
 
@@ -600,7 +606,7 @@ def _b2(spark, sf):
 @query(
     "r1_surfacing_audit",
     """WITH v AS (SELECT video_key FROM comments GROUP BY ALL HAVING count(DISTINCT sample_type) = 2),
-      c AS (SELECT * FROM comments WHERE video_key IN (SELECT video_key FROM v))
+      c AS (SELECT * FROM comments_tox WHERE video_key IN (SELECT video_key FROM v))
     SELECT (SELECT count(*) FROM v) AS common_video_count, count(*) FILTER (sample_type = 'CHRONOLOGICAL') AS chronological_count,
       count(*) FILTER (sample_type = 'RELEVANCE') AS relevance_count,
       round(avg(valence) FILTER (sample_type = 'RELEVANCE') - avg(valence) FILTER (sample_type = 'CHRONOLOGICAL'), 10) AS valence_delta,
@@ -609,10 +615,10 @@ def _b2(spark, sf):
       round(avg(toxicity_label::INT) FILTER (sample_type = 'RELEVANCE' AND toxicity_status = 'ACCEPTED')
         - avg(toxicity_label::INT) FILTER (sample_type = 'CHRONOLOGICAL' AND toxicity_status = 'ACCEPTED'), 10) AS toxicity_delta
     FROM c""",
-    "comments",
+    "comments comments_tox",
 )
 def _r1(spark, sf):
-    out = reaction.surfacing_audit(comments(spark, sf))
+    out = reaction.surfacing_audit(with_toxicity(spark, sf, comments(spark, sf)))
     return rounded(out, "valence_delta", "derision_delta", "toxicity_delta")
 
 
@@ -709,11 +715,11 @@ def _g21(spark, sf):
       {", ".join(f"CASE WHEN sample_status = 'OK' THEN {c} END AS {c}" for c in _REACTION_VALUES)}
     FROM ({_REACTION}) JOIN (SELECT event_version_key, window_type, sample_status FROM ({_MEASURES}))
       USING (event_version_key, window_type)""",
-    "in_window opinions",
+    "in_window opinions opinions_tox",
 )
 def _gated(spark, sf):
     out = marts.gated_reaction(
-        comments_in_window(spark, sf), opinions(spark, sf), MINIMUM, NEGATIVE_BELOW, POSITIVE_ABOVE
+        comments_in_window(spark, sf), toxic_opinions(spark, sf), MINIMUM, NEGATIVE_BELOW, POSITIVE_ABOVE
     )
     return rounded(out, *_REACTION_VALUES)
 
@@ -812,7 +818,7 @@ LINEAGE = Lineage("sp1", "mb1", "tx1", "th1", EVENT_1.occurred_at)
     "s11_mart_sink",
     f"""SELECT *, 'sp1' AS sampling_policy_version, 'mb1' AS model_bundle_version_key, 'tx1' AS taxonomy_version_key,
       'th1' AS threshold_config_version_key, timestamp '2024-01-15 12:00:00' AS data_as_of_at FROM ({_REACTION})""",
-    "opinions",
+    "opinions_tox",
 )
 def _s11(spark, sf):
     """Writes the mart to shared storage and reads it back."""
@@ -822,8 +828,20 @@ def _s11(spark, sf):
     from eventlens.sources.mart_sink import write_mart
 
     path = f"{shared_dir(spark)}/mart_target_reaction_{uuid.uuid4().hex}"
-    out = marts.mart_target_reaction_window(opinions(spark, sf), NEGATIVE_BELOW, POSITIVE_ABOVE)
+    out = marts.mart_target_reaction_window(toxic_opinions(spark, sf), NEGATIVE_BELOW, POSITIVE_ABOVE)
     write_mart(rounded(out, *_REACTION_VALUES), path, LINEAGE)
     return spark.read.parquet(path)
 
 
+
+
+# ------------------------------------------------------------------ marts that share a metric's query
+
+for _mart, _metric in (
+    ("mart_complete_window_coverage_stratum", "m005_complete_window_coverage"),
+    ("mart_classifier_output_coverage", "m007_classifier_output_coverage"),
+    ("mart_video_balanced_reaction", "m009_video_balanced_valence"),
+    ("mart_returning_author_shift", "m018_returning_author_shift"),
+    ("mart_stratum_adjusted_reaction", "m021_stratum_adjusted_sentiment"),
+):
+    also(_mart, _metric)

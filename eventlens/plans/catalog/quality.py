@@ -294,7 +294,7 @@ def _q19(spark, sf):
     f"""SELECT event_version_key, target, window_type, m008_mean_valence FROM ({_REACTION})
     JOIN (SELECT event_version_key, window_type, sample_status FROM ({_MEASURES})) USING (event_version_key, window_type)
     WHERE sample_status = 'INSUFFICIENT_SAMPLE' AND m008_mean_valence IS NOT NULL""",
-    "in_window opinions",
+    "in_window opinions opinions_tox",
 )
 def _q20(spark, sf):
     """The ungated mart joined with its sample status: what must not be shown."""
