@@ -11,9 +11,10 @@ from eventlens.config import CHANNEL_TYPES, FOCUS_VALUES, StratificationRules, a
 from eventlens.errors import DeduplicationRuleMissingError, SnapshotMutationError
 from eventlens.functions.keys import md5_uuid, multiset_hash
 from eventlens.functions.text import matched_terms, mentions_any, title_and_description
-from eventlens.functions.times import micros_between
+from eventlens.functions.times import micros_between, ntz
 from eventlens.operators.joins import require_all
-from eventlens.operators.ordered import bounded, latest_per_key
+from eventlens.operators.ordered import MAX_BROADCAST_ROWS, bounded, latest_per_key
+from eventlens.session import durable
 
 DeduplicationRule = Callable[[DataFrame], DataFrame]
 _RULES: dict[str, DeduplicationRule] = {}
@@ -74,32 +75,49 @@ def channel_evidence(
     """Evidence items of every channel and event: videos of the fallback window before the cutoff.
 
     `videos` has channel_key, video_key, source_id, published_at, is_short, title, description;
-    `periods` has event_version_key and reference_period_end. Later rows of the same source
+    `periods` has event_version_key and reference_period_end. Descriptions are matched and
+    then left behind. Later rows of the same source
     id are flagged as exact duplicates, unresolved shorts stay visible but do not count.
     """
-    text = title_and_description(F.col("title"), F.col("description"))
-    tagged = videos.select(
-        "*", matched_terms(text, aliases_a).alias("matched_a"), matched_terms(text, aliases_b).alias("matched_b")
-    )
-    cutoffs = periods.select("event_version_key", "reference_period_end").withColumn(
+    low = F.col("_text")
+    clubs = [F.when(mentions_any(low, names, lowered=True), F.lit(club)) for club, names in rules.clubs]
+    tagged = videos.withColumn("_text", title_and_description(F.col("title"), F.col("description"))).select(
+        *[c for c in videos.columns if c != "description"],
+        matched_terms(low, aliases_a, lowered=True).alias("matched_a"),
+        matched_terms(low, aliases_b, lowered=True).alias("matched_b"),
+        F.array_compact(F.array(*clubs)).cast("array<string>").alias("matched_clubs"),
+        mentions_any(low, rules.analysis_keywords, lowered=True).alias("mentions_analysis"),
+    )
+    # the evidence days per event; their span becomes a range filter the scan can push down
+    cutoffs = periods.select(
+        "event_version_key",
+        "reference_period_end",
+        (F.col("reference_period_end") - F.make_dt_interval(F.lit(rules.fallback_days))).alias("_start"),
+    )
+    span = cutoffs.agg(
+        F.min("_start").cast("string").alias("lo"),
+        F.max("reference_period_end").cast("string").alias("hi"),
+        F.count(F.lit(1)).alias("periods"),
+    ).first()
+    days = cutoffs.withColumn(
         "_day",
-        F.explode(
-            F.sequence(
-                F.to_date(F.col("reference_period_end") - F.make_dt_interval(F.lit(rules.fallback_days))),
-                F.to_date("reference_period_end"),
-                F.expr("interval 1 day"),
-            )
-        ),
-    )
-    age = micros_between(F.col("published_at"), F.col("reference_period_end"))
+        F.explode(F.sequence(F.to_date("_start"), F.to_date("reference_period_end"), F.expr("interval 1 day"))),
+    ).drop("_start")
+    if span["periods"] * (rules.fallback_days + 2) <= MAX_BROADCAST_ROWS:
+        days = F.broadcast(days)
+    published = F.col("published_at")
+    near = (published >= ntz(span["lo"])) & (published < ntz(span["hi"])) if span["periods"] else F.lit(False)
+    usable = F.col("is_short").isNull() | ~F.col("is_short")
     items = (
-        tagged.withColumn("_day", F.to_date("published_at"))
-        .join(bounded(cutoffs), "_day")
+        tagged.filter(near & usable)
+        .withColumn("_day", F.to_date("published_at"))
+        .join(days, "_day")
         .drop("_day")
-        .withColumn("_age", age)
+        .withColumn("_age", micros_between(published, F.col("reference_period_end")))
         .filter((F.col("_age") > 0) & (F.col("_age") <= rules.fallback_days * _DAY_MICROS))
-        .filter("is_short = false OR is_short IS NULL")
     )
+    # evidence items are a stored table: texts are matched once, all later passes read narrow rows
+    items = durable(items)
     scope = ["event_version_key", "channel_key"]
     first = items.groupBy(*scope, "source_id").agg(F.min(F.struct("published_at", "video_key")).alias("_first"))
     # the first row joins on its own unique key, so a source id with many copies is no hot key
@@ -161,8 +179,6 @@ def channel_statistics(evidence: DataFrame, rules: StratificationRules) -> DataF
     the fallback if only that reaches the minimum; else the primary one below minimum.
     """
     counted = F.col("included_in_prevalence")
-    text = title_and_description(F.col("title"), F.col("description"))
-    analysis = mentions_any(text, rules.analysis_keywords)
     aggs = []
     for span, days in zip(_SPANS, (rules.primary_days, rules.fallback_days)):
         inside = counted & (F.col("_age") <= days * _DAY_MICROS)
@@ -170,7 +186,7 @@ def channel_statistics(evidence: DataFrame, rules: StratificationRules) -> DataF
             F.count_if(inside).alias(f"videos_{span}"),
             F.count_if(inside & F.col("mentions_a")).alias(f"_a_{span}"),
             F.count_if(inside & F.col("mentions_b")).alias(f"_b_{span}"),
-            F.count_if(inside & analysis).alias(f"_analysis_{span}"),
+            F.count_if(inside & F.col("mentions_analysis")).alias(f"_analysis_{span}"),
         ]
     sub = F.floor((F.col("_age") - 1) / F.lit(rules.subwindow_days * _DAY_MICROS))
     for i in range(3):
@@ -316,13 +332,9 @@ def club_counts(evidence: DataFrame, rules: StratificationRules) -> DataFrame:
     club, so its arrays are as short as the registry.
     """
     keys = ["event_version_key", "channel_key"]
-    text = title_and_description(F.col("title"), F.col("description"))
-    clubs = F.array_compact(
-        F.array(*[F.when(mentions_any(text, aliases), F.lit(club)) for club, aliases in rules.clubs])
-    ).cast("array<string>")
     per_club = (
         evidence.filter("included_in_prevalence")
-        .select(*keys, "_age", F.explode(clubs).alias("club"))
+        .select(*keys, "_age", F.explode("matched_clubs").alias("club"))
         .groupBy(*keys, "club")
         .agg(
             *[

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from eventlens.config import Entity, Event, StratificationRules
 from eventlens.functions.times import ntz
 from eventlens.operators.windows import in_windows
+from eventlens.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,8 +63,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def select_sql(df: DataFrame, *exprs: str) -> DataFrame:
-    return df.selectExpr(*exprs)
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The text table, spread for pattern matching when it is one small file."""
+    return spread(table(spark, sf, "documents"))
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 10) -> DataFrame:
@@ -366,7 +368,7 @@ def assignments(rows: DataFrame) -> DataFrame:
 def videos(spark: SparkSession, sf: str) -> DataFrame:
     d = F.col("doc_id")
     back = (d * 7919) % 17280000 * 1000 + d % 1000
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         d.alias("video_key"),
         F.substring(F.md5("text"), 1, 11).alias("source_id"),
         F.col("source").alias("channel_key"),

@@ -14,6 +14,7 @@ from eventlens.plans.catalog.base import (
     EVENT_2,
     comments,
     cte,
+    documents,
     mentions_sql,
     query,
     table,
@@ -126,7 +127,7 @@ _ALIAS_ROWS = " UNION ALL ".join(
 
 @query("j3_alias_theta_join", _ALIAS_ROWS)
 def _j3(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = documents(spark, sf).select("doc_id", "text")
     return joins.alias_matches(docs, alias_rows(spark, ENTITIES)).select("doc_id", "target_entity_key", "alias_text")
 
 

@@ -17,6 +17,7 @@ from eventlens.plans.catalog.base import (
     POSITIVE_ABOVE,
     RELEVANCE_TEXT,
     comments,
+    documents,
     mentions_sql,
     query,
     table,
@@ -32,7 +33,7 @@ PLAYERS, EVENT_TERMS, BASELINE_TERMS = ALL_ALIASES, EVENT_1.event_terms, EVENT_1
     FROM documents""",
 )
 def _p1(spark, sf):
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         "doc_id",
         text.mentions_any(F.col("text"), ALIASES_A).alias("mentions_a"),
         text.mentions_any(F.col("text"), ALIASES_B).alias("mentions_b"),
@@ -47,7 +48,7 @@ _HITS = ", ".join(
 @query("p2_matched_aliases", f"SELECT doc_id, concat_ws(',', {_HITS}) AS matched FROM documents")
 def _p2(spark, sf):
     hits = text.matched_terms(F.col("text"), ALL_ALIASES)
-    return table(spark, sf, "documents").select("doc_id", F.array_join(hits, ",").alias("matched"))
+    return documents(spark, sf).select("doc_id", F.array_join(hits, ",").alias("matched"))
 
 
 _DURATION_TEXT = """CASE doc_id % 7 WHEN 0 THEN 'PT' || (n_chars % 60) || 'S' WHEN 1 THEN 'PT' || (n_chars % 99) || 'M15S'

@@ -241,15 +241,15 @@ def _s7(spark, sf):
 )
 def _s8(spark, sf):
     items = landing.comment_items(comment_pages(spark, sf))
-    good, bad = landing.split_dead_letters(
+    tagged = landing.tag_dead_letters(
         items,
         {
             "MISSING_ID": F.col("source_comment_id").isNotNull(),
             "BAD_TIMESTAMP": F.col("published_at").isNotNull(),
         },
     )
-    both = good.select(F.lit("VALID").alias("outcome")).unionByName(bad.select(F.col("error_code").alias("outcome")))
-    return both.groupBy("outcome").agg(F.count(F.lit(1)).alias("items"))
+    outcome = F.coalesce("error_code", F.lit("VALID")).alias("outcome")
+    return tagged.groupBy(outcome).agg(F.count(F.lit(1)).alias("items"))
 
 
 @query(

@@ -50,3 +50,14 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage in reliable storage, so later stages read fixed rows."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Round-robin a scan that is too small to occupy the cluster by itself.
+
+    Splits of a small file need not hold a row group each, so one task may get all rows while
+    the rest idle; that matters for pattern matching. A scan of more than a few partitions per
+    core, as any large table has, is returned as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() > 4 * cores else scan.repartition(cores)

@@ -193,16 +193,20 @@ def page_checks(raw: DataFrame, schema: str, item_id: str, item_time: Column) ->
     )
 
 
-def split_dead_letters(items: DataFrame, required: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
-    """Valid rows and quarantined rows; the latter keep the raw reference and the reason.
+def tag_dead_letters(items: DataFrame, required: dict[str, Column]) -> DataFrame:
+    """Adds error_code: NULL for a good item, else the first condition it misses.
 
-    `required` maps an error code to the condition a good row fulfils; the first that fails
-    names the reason.
+    `required` maps an error code to the condition a good row fulfils.
     """
     reason = F.lit(None).cast("string")
     for code, good in reversed(list(required.items())):
         reason = F.when(~F.coalesce(good, F.lit(False)), F.lit(code)).otherwise(reason)
-    tagged = items.withColumn("error_code", reason)
+    return items.withColumn("error_code", reason)
+
+
+def split_dead_letters(items: DataFrame, required: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """Valid rows and quarantined rows; the latter keep the raw reference and the reason."""
+    tagged = tag_dead_letters(items, required)
     return tagged.filter("error_code IS NULL").drop("error_code"), tagged.filter("error_code IS NOT NULL")
 
 
