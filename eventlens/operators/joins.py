@@ -149,13 +149,14 @@ def candidate_videos(
     latest = latest_per_key(
         snapshots, ["video_key"], [F.col("observed_at").desc(), F.col("video_snapshot_key").desc()]
     ).select("video_key", "title", "description")
-    links = video_events.filter(through_frame).select("video_key", "event_version_key", "video_event_key")
+    # candidates are distinct because every side is; deduplicating the narrow sides keeps texts out of it
+    links = video_events.filter(through_frame).select("video_key", "event_version_key", "video_event_key").distinct()
+    state = resolution.select("source_id", "resolution_status").distinct()
     return (
-        videos.join(bounded(eligible.distinct()), "channel_key", "left_semi")
+        videos.join(bounded(eligible), "channel_key", "left_semi")
         .join(links, "video_key")
-        .join(resolution.select("source_id", "resolution_status"), "source_id", "left")
+        .join(state, "source_id", "left")
         .join(latest, "video_key", "left")
-        .distinct()
     )
 
 
