@@ -235,10 +235,11 @@ def observability(
     lag = micros_between(F.col("committed_watermark_at"), F.col("updated_at")) / F.lit(60_000_000.0)
     c = checkpoints.agg(F.max(lag).alias("watermark_lag_minutes"))
     b = backfill.agg(F.count_if(F.col("backfill_status").isin("QUEUED", "IN_PROGRESS")).alias("backfill_queue_depth"))
-    # five one-row aggregates become one row through a constant key
-    one = r.withColumn("_k", F.lit(1))
+    # five one-row aggregates become one row: their union holds each value once
+    parts = r
     for part in (q, a, c, b):
-        one = one.join(F.broadcast(part.withColumn("_k", F.lit(1))), "_k")
+        parts = parts.unionByName(part, allowMissingColumns=True)
+    one = parts.agg(*[F.max(x).alias(x) for x in parts.columns])
     return one.select(
         "request_success_rate",
         F.try_divide("pages", "runs").alias("pages_per_run"),

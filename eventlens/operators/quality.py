@@ -11,7 +11,7 @@ from eventlens.config import CAPPED_SCANS
 from eventlens.errors import GateError
 from eventlens.functions.text import span_is_inside
 from eventlens.operators.joins import missing_from
-from eventlens.operators.ordered import neighbours
+from eventlens.operators.ordered import bounded, neighbours
 
 
 def duplicate_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -142,9 +142,9 @@ def pilot_rows_in_research(rows: DataFrame, frames: DataFrame) -> DataFrame:
 
 def leaked_evidence(evidence: DataFrame, periods: DataFrame) -> DataFrame:
     """Evidence published at or after the end of its reference period."""
-    return evidence.join(periods.select("event_version_key", F.col("reference_period_end").alias("_end")), "event_version_key").filter(
-        F.col("published_at") >= F.col("_end")
-    ).drop("_end")
+    ends = periods.select("event_version_key", F.col("reference_period_end").alias("_end"))
+    joined = evidence.join(bounded(ends), "event_version_key")
+    return joined.filter(F.col("published_at") >= F.col("_end")).drop("_end")
 
 
 def capped_but_advanced(states: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from eventlens.operators.history import scd2_from_history, text_versions
 from eventlens.operators.windows import config_table
 from eventlens.plans import reaction
 from eventlens.plans.catalog.base import (
+    EVENT_1,
+    EVENT_2,
     NEGATIVE_BELOW,
     POSITIVE_ABOVE,
     assignments,
@@ -25,6 +27,7 @@ from eventlens.plans.catalog.base import (
 from eventlens.plans.catalog.history import observations
 from eventlens.plans.catalog.incremental import states
 from eventlens.plans.catalog.joins import _VERSIONS
+from eventlens.sources.reference_data import period_rows
 from eventlens.plans.catalog.metrics import (
     _DECOMPOSITION,
     _MEASURES,
@@ -348,16 +351,16 @@ def _q22(spark, sf):
 
 @query(
     "q23_leaked_evidence",
-    "SELECT event_id AS evidence_key, ts AS published_at FROM events WHERE ts >= timestamp '2024-01-14 12:00:00'",
+    """SELECT event_id AS evidence_key, CASE WHEN event_id % 2 = 0 THEN 'EV1' ELSE 'EV2' END AS event_version_key, ts AS published_at FROM events
+    WHERE ts >= CASE WHEN event_id % 2 = 0 THEN timestamp '2024-01-14 12:00:00' ELSE timestamp '2024-01-08 20:30:00' END""",
 )
 def _q23(spark, sf):
-    from eventlens.plans.catalog.base import EVENT_1
-    from eventlens.sources.reference_data import period_rows
-
     rows = table(spark, sf, "events").select(
-        F.col("event_id").alias("evidence_key"), F.col("ts").alias("published_at"), F.lit("EV1").alias("event_version_key")
+        F.col("event_id").alias("evidence_key"),
+        F.col("ts").alias("published_at"),
+        F.when(F.col("event_id") % 2 == 0, F.lit("EV1")).otherwise(F.lit("EV2")).alias("event_version_key"),
     )
-    return quality.leaked_evidence(rows, period_rows(spark, [EVENT_1], 24)).drop("event_version_key")
+    return quality.leaked_evidence(rows, period_rows(spark, [EVENT_1, EVENT_2], 24))
 
 
 @query(

@@ -153,10 +153,7 @@ def confusion(pairs: DataFrame, truth: str = "truth", predicted: str = "predicte
 
 
 def validation_scores(pairs: DataFrame, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
-    """Support, precision, recall and F1 per class; macro F1 and balanced accuracy repeat on each row.
-
-    Everything after the first count works on the confusion matrix (classes squared).
-    """
+    """Support, precision, recall and F1 per class, all from the confusion matrix (classes squared)."""
     cells = confusion(pairs, truth, predicted)
     sides = cells.select(
         F.explode(
@@ -174,11 +171,16 @@ def validation_scores(pairs: DataFrame, truth: str = "truth", predicted: str = "
     )
     recall, precision = ratio(F.col("hit"), F.col("support")), ratio(F.col("hit"), F.col("claimed"))
     f1 = F.coalesce(ratio(2 * F.col("hit"), F.col("support") + F.col("claimed")), F.lit(0.0))
-    scored = classes.select(
-        "label", "support", precision.alias("precision"), recall.alias("recall"), f1.alias("f1")
+    return classes.select("label", "support", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"))
+
+
+def validation_summary(scores: DataFrame) -> DataFrame:
+    """Macro F1 and balanced accuracy over the classes."""
+    return scores.agg(
+        F.count(F.lit(1)).alias("class_count"),
+        F.avg("f1").alias("macro_f1"),
+        F.avg("recall").alias("balanced_accuracy"),
     )
-    overall = scored.agg(F.avg("f1").alias("macro_f1"), F.avg("recall").alias("balanced_accuracy"))
-    return scored.withColumn("_k", F.lit(1)).join(F.broadcast(overall.withColumn("_k", F.lit(1))), "_k").drop("_k")
 
 
 def krippendorff_alpha(ratings: DataFrame, unit: str = "unit", label: str = "label") -> DataFrame:
@@ -195,7 +197,10 @@ def krippendorff_alpha(ratings: DataFrame, unit: str = "unit", label: str = "lab
     totals = (
         per_label.join(pairable.select(unit), unit, "left_semi").groupBy(label).agg(F.sum("c").alias("t"))
     ).agg(F.sum(F.col("t") * F.col("t")).alias("tsq"))
-    one = observed.withColumn("_k", F.lit(1)).join(F.broadcast(totals.withColumn("_k", F.lit(1))), "_k")
+    # two one-row aggregates become one row by summing their union
+    one = observed.unionByName(totals, allowMissingColumns=True).agg(
+        F.sum("n").alias("n"), F.sum("disagree").alias("disagree"), F.sum("tsq").alias("tsq")
+    )
     expected = (F.col("n") * F.col("n") - F.col("tsq")) / (F.col("n") - 1)
     return one.select(
         F.col("n").cast("bigint").alias("pairable_ratings"),
