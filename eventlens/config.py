@@ -159,10 +159,6 @@ class Lineage:
 
 def events_from_yaml(path: str) -> list[Event]:
     """Event catalogue file: a list under `events`, each with terms and windows."""
-    import yaml  # optional dependency, only needed for YAML catalogues
-
-    with open(path, encoding="utf-8") as handle:
-        data = yaml.safe_load(handle) or {}
     return [
         Event(
             event_key=e["external_event_id"],
@@ -176,19 +172,15 @@ def events_from_yaml(path: str) -> list[Event]:
                 for w in e.get("windows") or ()
             ),
         )
-        for e in data.get("events") or ()
+        for e in _yaml(path).get("events") or ()
     ]
 
 
 def entities_from_yaml(path: str) -> list[Entity]:
     """Alias file: a list under `targets`, each with `entity_name` and `aliases`."""
-    import yaml
-
-    with open(path, encoding="utf-8") as handle:
-        data = yaml.safe_load(handle) or {}
     return [
         Entity(t["entity_name"], t["entity_name"], tuple(a["text"] for a in t.get("aliases") or ()))
-        for t in data.get("targets") or ()
+        for t in _yaml(path).get("targets") or ()
     ]
 
 
@@ -197,3 +189,87 @@ def _naive_utc(value: str | datetime) -> datetime:
 
     moment = value if isinstance(value, datetime) else datetime.fromisoformat(value.strip().replace("Z", "+00:00"))
     return moment.astimezone(timezone.utc).replace(tzinfo=None) if moment.tzinfo else moment
+
+
+@dataclass(frozen=True)
+class Frame:
+    """One version of a channel panel; its key follows from the configuration text."""
+
+    frame_name: str
+    frame_purpose: str
+    methodology_version: str
+    configuration: str
+    code_version: str | None = None
+    channels: tuple[dict[str, str], ...] = ()
+
+    def __post_init__(self) -> None:
+        if self.frame_purpose == "RESEARCH" and not self.code_version:
+            raise UnapprovedParameterError("a RESEARCH frame needs the code version it was built with")
+
+
+def _yaml(path: str) -> dict[str, Any]:
+    import yaml  # optional dependency, only needed for configuration files
+
+    with open(path, encoding="utf-8") as handle:
+        return yaml.safe_load(handle) or {}
+
+
+def frame_from_yaml(path: str, code_version: str | None = None) -> Frame:
+    """Frame file: name, purpose and a list under `channels`."""
+    data = _yaml(path)
+    return Frame(
+        data.get("frame_name", "Unknown Frame"),
+        data.get("frame_purpose", "UNKNOWN"),
+        data.get("methodology_version", "1.2"),
+        json.dumps(data, sort_keys=True, default=str),
+        code_version,
+        tuple(
+            {
+                "source_id": c["channel_id"],
+                "channel_name": c["channel_name"],
+                "discovery_source": c.get("discovery_source", "manual_bootstrap"),
+                "discovery_source_version": c.get("discovery_source_version", "pilot_v1"),
+            }
+            for c in data.get("channels") or ()
+        ),
+    )
+
+
+def policy_from_yaml(path: str, sampling_policy_version_key: str, k_grain: str | None = None) -> SamplingPolicy:
+    """Sampling policy file; the policy key and the grain of K are given explicitly."""
+    data = _yaml(path)
+    return SamplingPolicy(
+        sampling_policy_version_key, data.get("k_capacity"), data.get("k_capacity_status"), k_grain
+    )
+
+
+def rules_from_yaml(path: str) -> StratificationRules:
+    """Stratification file. A parameter counts only with an approved status, if it has one."""
+    data = _yaml(path)
+    frozen = data.get("frozen_parameters") or {}
+
+    def value(name: str) -> Any:
+        return data.get(name) if data.get(f"{name}_status", "APPROVED") == "APPROVED" else None
+
+    defaults = StratificationRules()
+    return StratificationRules(
+        smoothing_alpha=frozen.get("smoothing_alpha", defaults.smoothing_alpha),
+        focus_ratio_threshold=frozen.get("player_focus_ratio_threshold", defaults.focus_ratio_threshold),
+        prevalence_floor=frozen.get("player_prevalence_floor", defaults.prevalence_floor),
+        club_dominance_threshold=frozen.get("club_dominance_threshold", defaults.club_dominance_threshold),
+        min_videos=frozen.get("min_videos_primary_90d", defaults.min_videos),
+        subwindow_days=frozen.get("subwindow_duration_days", defaults.subwindow_days),
+        combined_focus_threshold=value("combined_focus_threshold"),
+        club_winning_margin=value("club_dominance_winning_margin"),
+        analysis_share_threshold=value("analysis_topic_share_threshold"),
+        broadcaster_registry_version=value("broadcaster_registry_version"),
+        broadcasters=tuple(data.get("broadcasters_allowlist") or ()),
+        analysis_registry_version=value("analysis_registry_version"),
+        analysis_publishers=tuple(data.get("analysis_publishers_allowlist") or ()),
+        analysis_keywords=tuple(data.get("analysis_keywords") or ()),
+        clubs=tuple((club, tuple(names)) for club, names in (data.get("club_registry") or {}).items()),
+        third_party_channels=tuple(data.get("third_party_categorisation_registry") or ()),
+        deduplication_rule_version=data.get("deduplication_rule_version"),
+        deduplication_rule_status=data.get("deduplication_rule_status"),
+        protocol_version=str(data.get("classification_protocol_version", defaults.protocol_version)),
+    )

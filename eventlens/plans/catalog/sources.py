@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from eventlens.config import Frame
 from eventlens.functions.times import ntz
 from eventlens.operators.strata import latest_about
 from eventlens.operators.windows import assign_windows, window_table
 from eventlens.plans.catalog.base import EVENT_1, EVENT_2, comments, query, table, videos
 from eventlens.plans.catalog.history import UUID
 from eventlens.sources import landing, schemas
-from eventlens.sources.reference_data import event_rows, first_versions
+from eventlens.sources.reference_data import event_rows, first_versions, frame_tables
 
 RETRIEVED = "2024-02-01 00:00:00"
 
@@ -319,3 +320,27 @@ def _j7(spark, sf):
         F.lit(None).cast("string").alias("primary_exclusion_reason"),
     )
     return landing.cascade_unavailable(links, landing.unavailable_ids(video_pages(spark, sf)))
+
+
+@query(
+    "s10_frame_load",
+    f"""SELECT {UUID.format("'VIDEO:' || c_name")} AS channel_key, c_name AS source_id, 'ELIGIBLE' AS frame_inclusion_status,
+      {UUID.format(UUID.format("sha256('{}')") + " || ':' || " + UUID.format("'VIDEO:' || c_name"))} AS frame_channel_key,
+      c_mktsegment AS discovery_source FROM customer""",
+)
+def _s10_frame(spark, sf):
+    """Customers as the channels of a panel; their segment is the discovery source."""
+    frame = Frame("Panel", "RESEARCH", "1.2", "{}", code_version="v1")
+    channels = table(spark, sf, "customer").select(
+        F.col("c_name").alias("source_id"),
+        F.col("c_name").alias("channel_name"),
+        F.col("c_mktsegment").alias("discovery_source"),
+        F.lit("v1").alias("discovery_source_version"),
+    )
+    tables = frame_tables(channels, frame, "VIDEO", EVENT_1.occurred_at)
+    return (
+        tables["frame_channel"]
+        .join(tables["channel"], "channel_key")
+        .join(tables["source_observation"], "frame_channel_key")
+        .select("channel_key", "source_id", "frame_inclusion_status", "frame_channel_key", "discovery_source")
+    )

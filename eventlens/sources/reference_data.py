@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlens.config import Entity, Event
+from eventlens.config import Entity, Event, Frame
 from eventlens.functions.keys import md5_uuid
 from eventlens.functions.text import canonical_terms
 from eventlens.operators.windows import config_table
@@ -74,3 +74,38 @@ def first_versions(rows: DataFrame, keys: Sequence[str], at: datetime) -> DataFr
         F.lit(None).cast("timestamp_ntz").alias("valid_to"),
         F.lit(True).alias("is_current"),
     ).dropDuplicates(list(keys))
+
+
+def channel_rows(spark: SparkSession, frame: Frame) -> DataFrame:
+    """The frame's configured channels."""
+    names = ("source_id", "channel_name", "discovery_source", "discovery_source_version")
+    return config_table(spark, {n: (pa.string(), [c[n] for c in frame.channels]) for n in names})
+
+
+def frame_tables(channels: DataFrame, frame: Frame, source_system: str, evaluated_at: datetime) -> dict[str, DataFrame]:
+    """Channel, frame membership and source observation rows of one frame version.
+
+    All keys derive from natural keys, so loading the same configuration again gives the same
+    rows and `insert_if_absent` adds nothing.
+    """
+    frame_key = md5_uuid(F.sha2(F.lit(frame.configuration), 256))
+    at = F.lit(str(evaluated_at)).cast("timestamp_ntz")
+    keyed = channels.select(
+        md5_uuid(F.lit(source_system), F.col("source_id")).alias("channel_key"), frame_key.alias("frame_version_key"), "*"
+    ).withColumn("frame_channel_key", md5_uuid(F.col("frame_version_key"), F.col("channel_key")))
+    return {
+        "channel": keyed.select(
+            "channel_key", F.lit(source_system).alias("source_system"), "source_id", "channel_name"
+        ).dropDuplicates(["channel_key"]),
+        "frame_channel": keyed.select(
+            "frame_channel_key",
+            "frame_version_key",
+            "channel_key",
+            at.alias("evaluated_at"),
+            F.lit(frame.methodology_version).alias("eligibility_rule_version"),
+            F.lit("ELIGIBLE").alias("frame_inclusion_status"),
+        ).dropDuplicates(["frame_channel_key"]),
+        "source_observation": keyed.select(
+            "frame_channel_key", "discovery_source", "discovery_source_version"
+        ).distinct(),
+    }
