@@ -11,7 +11,7 @@ from eventlens.config import CAPPED_SCANS
 from eventlens.functions.keys import sha256
 from eventlens.functions.times import micros_between, seconds_between
 from eventlens.operators.history import UNIT_KEYS
-from eventlens.operators.ordered import neighbours, running_before
+from eventlens.operators.ordered import lookup, neighbours, running_before
 
 
 def scan_order(items: DataFrame) -> DataFrame:
@@ -19,8 +19,22 @@ def scan_order(items: DataFrame) -> DataFrame:
     return items.withColumn("_pos", F.struct("page_number", "item_position"))
 
 
+def ingestible(items: DataFrame, checkpoints: DataFrame, hot: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Items before the first one older than the scope's watermark, and where each scan crossed it.
+
+    Items at or behind the crossing are not ingested. A scope without checkpoint never crosses.
+    """
+    marks = checkpoints.select("scope", F.col("committed_watermark_at").alias("_w"))
+    located = lookup(scan_order(items), marks, ["scope"], "left", hot)
+    crossing = located.groupBy("scope").agg(
+        F.min(F.when(F.col("published_at") < F.col("_w"), F.col("_pos"))).alias("_cross")
+    )
+    placed = lookup(located, crossing, ["scope"], "inner", hot)
+    return placed.filter(F.col("_cross").isNull() | (F.col("_pos") < F.col("_cross"))), crossing
+
+
 def continuity(
-    items: DataFrame, scans: DataFrame, checkpoints: DataFrame, boundary: DataFrame
+    items: DataFrame, scans: DataFrame, checkpoints: DataFrame, boundary: DataFrame, hot: int | None = None
 ) -> DataFrame:
     """Continuity state per scope as set operations on the scanned items.
 
@@ -28,16 +42,11 @@ def continuity(
     `scans`: scope, more_pages. `checkpoints`: scope, committed_watermark_at.
     `boundary`: scope, source_comment_id, the ids at the committed watermark.
 
-    The first item older than the watermark ends the scan. Boundary ids seen before it are
-    matched by an anti join instead of collecting id sets, so neither a busy scope nor a
-    crowded watermark second has to fit into one row.
+    Boundary ids seen before the crossing are matched by an anti join instead of collecting
+    id sets, so neither a busy scope nor a crowded watermark second has to fit into one row.
     """
     marks = checkpoints.select("scope", F.col("committed_watermark_at").alias("_w"))
-    located = scan_order(items).join(marks, "scope", "left")
-    crossing = located.groupBy("scope").agg(
-        F.min(F.when(F.col("published_at") < F.col("_w"), F.col("_pos"))).alias("_cross")
-    )
-    before = located.join(crossing, "scope").filter(F.col("_cross").isNull() | (F.col("_pos") < F.col("_cross")))
+    before, crossing = ingestible(items, checkpoints, hot)
     seen = before.filter(F.col("published_at") == F.col("_w")).select("scope", "source_comment_id").distinct()
     remaining = (
         boundary.select("scope", "source_comment_id")
@@ -89,11 +98,11 @@ def advance_watermark(states: DataFrame) -> DataFrame:
     )
 
 
-def boundary_ids(items: DataFrame, states: DataFrame) -> DataFrame:
+def boundary_ids(items: DataFrame, states: DataFrame, hot: int | None = None) -> DataFrame:
     """Ids observed exactly at each scope's candidate watermark, one row each."""
     marks = states.filter("candidate_watermark_at IS NOT NULL").select("scope", "candidate_watermark_at")
     return (
-        items.join(marks, "scope")
+        lookup(items, marks, ["scope"], "inner", hot)
         .filter(F.col("published_at") == F.col("candidate_watermark_at"))
         .select("scope", "source_comment_id", F.col("candidate_watermark_at").alias("watermark_at"))
         .distinct()

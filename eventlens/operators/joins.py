@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.errors import GateError
-from eventlens.operators.ordered import bounded, latest_per_key
+from eventlens.operators.ordered import HOT_GROUP_ROWS, bounded, fits, latest_per_key
 
 
 def alias_matches(texts: DataFrame, aliases: DataFrame, text: str = "text") -> DataFrame:
@@ -46,16 +46,30 @@ def scoped_aliases(aliases: DataFrame, event_entities: DataFrame) -> DataFrame:
 
 
 def valid_at(
-    facts: DataFrame, versions: DataFrame, key: str, at: str, columns: Sequence[str]
+    facts: DataFrame, versions: DataFrame, key: str, at: str, columns: Sequence[str], hot: int | None = None
 ) -> DataFrame:
-    """Point-in-time join: the version whose [valid_from, valid_to) holds the fact's instant."""
-    v = bounded(versions.select(key, "valid_from", "valid_to", *columns))
-    alive = (F.col(at) >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col(at) < F.col("valid_to")))
-    f = facts.alias("f")
-    cond = (F.col(f"f.{key}") == F.col(f"v.{key}")) & alive
-    return f.join(v.alias("v"), cond, "left").select(
-        "f.*", "valid_from", "valid_to", *[F.col(f"v.{c}") for c in columns]
-    )
+    """Point-in-time join: the version whose [valid_from, valid_to) holds the fact's instant.
+
+    A small version table is broadcast. A large one shuffles on the key, apart from the facts
+    of hot keys, which meet the broadcast versions of just those keys. Versions of one key do
+    not overlap, so a fact matches at most one.
+    """
+    v = versions.select(key, "valid_from", "valid_to", *columns)
+    t = F.col(at)
+    alive = (t >= F.col("valid_from")) & (F.col("valid_to").isNull() | (t < F.col("valid_to")))
+
+    def match(part: DataFrame, side: DataFrame) -> DataFrame:
+        renamed = side.withColumnRenamed(key, "_key")
+        return part.join(renamed, (F.col(key) == F.col("_key")) & alive, "left").drop("_key")
+
+    if fits(v):
+        return match(facts, F.broadcast(v))
+    limit = HOT_GROUP_ROWS if hot is None else hot
+    heavy = F.broadcast(facts.groupBy(key).count().filter(F.col("count") > limit).select(key))
+    marked = facts.join(heavy.withColumn("_hot", F.lit(True)), key, "left")
+    hot_versions = bounded(v.join(heavy, key, "left_semi"))
+    in_place = match(marked.filter("_hot").drop("_hot"), hot_versions)
+    return in_place.unionByName(match(marked.filter("_hot IS NULL").drop("_hot"), v))
 
 
 def as_of(

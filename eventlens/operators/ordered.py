@@ -162,6 +162,27 @@ def running_before(
     )
 
 
+def lookup(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", hot: int | None = None
+) -> DataFrame:
+    """Equi-join ("inner" or "left") of facts with a few rows per key, safe when one key holds most facts.
+
+    Keys with more than `HOT_GROUP_ROWS` facts are few by definition (rows / limit), so their
+    facts stay where they are and meet the broadcast rows of just those keys; all other facts
+    shuffle as usual. Without such keys it is the plain join.
+    """
+    limit = HOT_GROUP_ROWS if hot is None else hot
+    heavy = left.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys)
+    if not heavy.limit(1).count():
+        return left.join(right, list(keys), how)
+    heavy = F.broadcast(heavy)
+    marked = left.join(heavy.withColumn("_hot", F.lit(True)), list(keys), "left")
+    side = bounded(right.join(heavy, list(keys), "left_semi"))
+    in_place = marked.filter("_hot").drop("_hot").join(side, list(keys), how)
+    shuffled = marked.filter("_hot IS NULL").drop("_hot").join(right, list(keys), how)
+    return in_place.unionByName(shuffled)
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """First row per key in `order`; Spark limits every group before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)

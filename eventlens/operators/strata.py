@@ -13,7 +13,7 @@ from eventlens.functions.keys import md5_uuid, multiset_hash
 from eventlens.functions.text import matched_terms, mentions_any, title_and_description
 from eventlens.functions.times import micros_between, ntz
 from eventlens.operators.joins import require_all
-from eventlens.operators.ordered import MAX_BROADCAST_ROWS, bounded, latest_per_key
+from eventlens.operators.ordered import MAX_BROADCAST_ROWS, bounded, latest_per_key, lookup
 from eventlens.session import durable
 
 DeduplicationRule = Callable[[DataFrame], DataFrame]
@@ -141,7 +141,7 @@ def channel_evidence(
     return deduplication_rule(rules)(flagged)
 
 
-def same_title_rule(evidence: DataFrame) -> DataFrame:
+def same_title_rule(evidence: DataFrame, hot: int | None = None) -> DataFrame:
     """Example cross-item rule: equal normalised titles cluster to the earliest included video."""
     scope = ["event_version_key", "channel_key", "_title"]
     titled = evidence.withColumn("_title", F.lower(F.trim("title")))
@@ -154,7 +154,7 @@ def same_title_rule(evidence: DataFrame) -> DataFrame:
     )
     repeat = F.col("included_in_prevalence") & F.col("_keep").isNotNull() & (F.col("video_key") != F.col("_keep"))
     return (
-        titled.join(first, scope, "left")
+        lookup(titled, first, scope, "left", hot)
         .withColumn("_repeat", F.coalesce(repeat, F.lit(False)))
         .withColumn("is_duplicate", F.col("is_duplicate") | F.col("_repeat"))
         .withColumn(

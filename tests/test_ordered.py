@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from eventlens.operators import cohort, completeness, history, quality
-from eventlens.operators.ordered import has_hot_group, neighbours, ranked, running_before
+from eventlens.operators.ordered import has_hot_group, lookup, neighbours, ranked, running_before
 from eventlens.plans import bootstrap, narrative
 
 
@@ -100,6 +100,49 @@ def test_operators_agree_on_both_paths(spark, skewed):
     both(lambda hot: bootstrap.bootstrap_ratio(sums, ["g"], "t", 5, 1, 0.9, hot=hot))
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_lookup(skewed, how):
+    right = skewed.filter("g IS NOT NULL AND g <> 5").groupBy("g").agg(F.sum("v").alias("s"))
+    assert rows(lookup(skewed, right, ["g"], how, hot=100)) == rows(skewed.join(right, "g", how))
+
+
+def test_point_in_time_beyond_the_broadcast_bound(skewed, monkeypatch):
+    from eventlens.operators import joins
+
+    start = F.lit("2024-01-01").cast("timestamp_ntz")
+    facts = skewed.withColumn("at", start + F.make_dt_interval(F.lit(0), F.col("t").cast("int"))).filter("g IS NOT NULL")
+    states = facts.groupBy("g", "at").agg(F.max("v").alias("v"), F.max("k").alias("id"))
+    versions = history.scd2_from_history(states, "g", "v", "at", "id").withColumnRenamed("v", "state")
+    small = joins.valid_at(facts, versions, "g", "at", ["state"])
+    monkeypatch.setattr(joins, "fits", lambda df: False)
+    assert rows(joins.valid_at(facts, versions, "g", "at", ["state"], hot=100)) == rows(small)
+
+
+def test_continuity_and_title_rule_with_hot_keys(spark, skewed):
+    from eventlens.operators import strata
+
+    at = F.lit("2024-01-01").cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.col("t").cast("int"))
+    items = skewed.select(
+        F.coalesce("g", F.lit(-1)).alias("scope"), F.col("t").alias("page_number"), F.col("k").alias("item_position"),
+        F.col("k").cast("string").alias("source_comment_id"), at.alias("published_at"),
+    )
+    scopes = items.select("scope").distinct()
+    marks = scopes.filter("scope % 3 = 0").withColumn("committed_watermark_at", F.lit("2023-12-30").cast("timestamp_ntz"))
+    scans = scopes.withColumn("more_pages", F.col("scope") % 2 == 0)
+    boundary = items.join(marks, "scope").filter("published_at = committed_watermark_at").select("scope", "source_comment_id")
+    plain = completeness.continuity(items, scans, marks, boundary)
+    assert rows(completeness.continuity(items, scans, marks, boundary, hot=50)) == rows(plain)
+    assert rows(completeness.boundary_ids(items, plain, hot=50)) == rows(completeness.boundary_ids(items, plain))
+    evidence = items.select(
+        F.lit("E").alias("event_version_key"), F.lit("c").alias("channel_key"), F.concat(F.lit(" T"), F.col("scope").cast("string")).alias("title"),
+        F.col("source_comment_id").alias("source_id"), "published_at", F.col("item_position").alias("video_key"),
+        F.lit(False).alias("is_duplicate"), F.lit(None).cast("string").alias("duplicate_cluster_id"), F.lit(True).alias("included_in_prevalence"),
+    )
+    once = strata.same_title_rule(evidence)
+    assert once.filter("included_in_prevalence").count() == scopes.count()
+    assert rows(strata.same_title_rule(evidence, hot=50)) == rows(once)
+
+
 def test_balanced_cap_matches_brute_force(spark):
     """Round-robin over buckets, written as the loop it stands for."""
     import datetime as dt
