@@ -13,7 +13,8 @@ from eventlens.functions.keys import md5_uuid, multiset_hash
 from eventlens.functions.text import matched_terms, mentions_any, title_and_description
 from eventlens.functions.times import micros_between, ntz
 from eventlens.operators.joins import require_all
-from eventlens.operators.ordered import MAX_BROADCAST_ROWS, bounded, latest_per_key, lookup
+from eventlens.operators.ordered import bounded, latest_per_key, lookup
+from eventlens.operators.windows import join_on_day
 from eventlens.session import durable
 
 DeduplicationRule = Callable[[DataFrame], DataFrame]
@@ -103,16 +104,11 @@ def channel_evidence(
         "_day",
         F.explode(F.sequence(F.to_date("_start"), F.to_date("reference_period_end"), F.expr("interval 1 day"))),
     ).drop("_start")
-    if span["periods"] * (rules.fallback_days + 2) <= MAX_BROADCAST_ROWS:
-        days = F.broadcast(days)
     published = F.col("published_at")
     near = (published >= ntz(span["lo"])) & (published < ntz(span["hi"])) if span["periods"] else F.lit(False)
     usable = F.col("is_short").isNull() | ~F.col("is_short")
     items = (
-        tagged.filter(near & usable)
-        .withColumn("_day", F.to_date("published_at"))
-        .join(days, "_day")
-        .drop("_day")
+        join_on_day(tagged.filter(near & usable), days, "published_at", span["periods"] * (rules.fallback_days + 2))
         .withColumn("_age", micros_between(published, F.col("reference_period_end")))
         .filter((F.col("_age") > 0) & (F.col("_age") <= rules.fallback_days * _DAY_MICROS))
     )

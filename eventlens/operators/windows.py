@@ -56,6 +56,23 @@ def absolute_bounds(windows: DataFrame) -> DataFrame:
     )
 
 
+DAY_SALTS = 16
+
+
+def join_on_day(facts: DataFrame, days: DataFrame, ts: str, day_rows: int) -> DataFrame:
+    """Equi-join of facts and day-cut intervals (`_day`).
+
+    Few day rows are broadcast. Many are copied `DAY_SALTS` times instead, and facts choose a
+    copy by hash, so that a day holding most facts spreads over as many tasks.
+    """
+    facts = facts.withColumn("_day", F.to_date(ts))
+    if day_rows <= MAX_BROADCAST_ROWS:
+        return facts.join(F.broadcast(days), "_day").drop("_day")
+    copies = days.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(DAY_SALTS - 1))))
+    salt = F.pmod(F.xxhash64(*[c for c in facts.columns if c != "_day"]), F.lit(DAY_SALTS)).cast("int")
+    return facts.withColumn("_salt", salt).join(copies, ["_day", "_salt"]).drop("_day", "_salt")
+
+
 def assign_windows(
     facts: DataFrame,
     windows: DataFrame,
@@ -67,8 +84,7 @@ def assign_windows(
     Windows are cut into days, so the join hashes on the day instead of comparing every
     fact with every window. One small aggregate over the windows gives their number of days
     and their overall span: the span becomes a plain range filter the scan can push down, and
-    the day rows are broadcast while there are few. Beyond that the join shuffles on the day
-    and hot days are split at run time.
+    their number decides how facts and days meet.
     """
     starts, ends = F.col("absolute_start_at"), F.col("absolute_end_at")
     span = windows.agg(
@@ -79,12 +95,10 @@ def assign_windows(
     w = windows.withColumn(
         "_day", F.explode(F.sequence(F.to_date(starts), F.to_date(ends), F.expr("interval 1 day")))
     )
-    if (span["days"] or 0) <= MAX_BROADCAST_ROWS:
-        w = F.broadcast(w)
     t = F.col(ts)
     inside = (t >= starts) & ((t <= ends) if closed_end else (t < ends))
     near = t.between(ntz(span["lo"]), ntz(span["hi"])) if span["lo"] else F.lit(False)
-    return facts.filter(near).withColumn("_day", F.to_date(ts)).join(w, "_day").filter(inside).drop("_day")
+    return join_on_day(facts.filter(near), w, ts, span["days"] or 0).filter(inside)
 
 
 def in_windows(facts: DataFrame, events: Sequence[Event], ts: str = "published_at") -> DataFrame:

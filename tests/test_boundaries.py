@@ -181,3 +181,29 @@ def test_windows_partition_time(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(instants)], "i int, published_at timestamp_ntz")
     got = {r.i: r.window_type for r in assign_windows(df, windows).collect()}
     assert got == {0: "PRE_EVENT", 1: "EVENT", 2: "EARLY_POST_EVENT", 3: "LATE_POST_EVENT", 4: "RECOVERY_WINDOW", 7: "EVENT"}
+
+
+def test_windows_beyond_the_broadcast_bound(spark, monkeypatch):
+    """Overlapping windows of many events, joined through salted days."""
+    from eventlens.operators import windows
+
+    events = [Event(f"E{i}", "e", T + i * D, windows=(Window("A", -30, 30), Window("B", 0, 100))) for i in range(20)]
+    df = spark.range(500).select(
+        F.col("id"), (F.lit(str(T)).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("id").cast("int"))).alias("published_at")
+    )
+
+    def run():
+        out = assign_windows(df, window_table(spark, events)).select("id", "event_version_key", "window_type")
+        return sorted(map(tuple, out.collect()))
+
+    few = run()
+    monkeypatch.setattr(windows, "MAX_BROADCAST_ROWS", 0)
+    assert run() == few and len(few) > 1000
+    want = sorted(
+        (i, e.event_key, w.window_type)
+        for i in range(500)
+        for e in events
+        for w in e.windows
+        if e.occurred_at + w.start_hours * H <= T + i * H < e.occurred_at + w.end_hours * H
+    )
+    assert few == want
