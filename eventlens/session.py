@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.files.maxPartitionBytes": "256m",
+    # checkpoints nobody refers to any more are removed
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
