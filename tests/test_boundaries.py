@@ -49,7 +49,7 @@ def test_fraction_is_kept(spark):
     [
         ("The best is CR7!", "cr7", True),
         ("CR700 model specs", "cr7", False),
-        ("messié wins", "messi", False),
+        ("zorbaé wins", "zorba", False),
         ("l'étion reste", "étion", True),
         ("a.b matters", "a.b", True),
         ("axb matters", "a.b", False),
