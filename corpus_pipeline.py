@@ -54,7 +54,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     made = ("ids", "n_tokens", "intact")
     rows = docs.select(whole_row(docs).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    decoded = bpe.decode(bpe.encode(rows, RANKS, public_tokenizers.PATTERN), RANKS)
+    decoded = bpe.encode_and_decode(rows, RANKS, public_tokenizers.PATTERN)
     kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in made]
     return decoded.select(*kept, "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.col("text")).alias("intact"))
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import binascii
 import gc
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import chain
@@ -33,9 +34,14 @@ from pyspark.sql import types as T
 
 #: Pieces whose ids are remembered (twice as many at most), their greatest length in characters, and
 #: the moves of the transducer that are kept, in each Python worker. All are made again when needed.
-PIECES_KEPT = 150_000
+PIECES_KEPT = 100_000
 PIECE_KEPT = 48
-MOVES_KEPT = 1_000_000
+STATES_KEPT = 280_000
+#: Columns of the table of moves. Column 0 stands for all bytes that have none of their own.
+CLASSES = 128
+#: Ids that are decoded at once.
+CHUNK = 1 << 16
+_UNMADE = array("i", [-1]) * CLASSES
 
 
 def read_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
@@ -77,6 +83,7 @@ class Transducer:
         for token, rank in ranks.items():
             self._add(token, rank)
         self.top = max(ranks.values())
+        self.classes, self.next_class = bytearray(256), 1
         self.spines: dict[bool, dict[int, list[tuple[bytes, int]]]] = {True: {}, False: {}}
         self._reset()
 
@@ -91,11 +98,16 @@ class Transducer:
         self.token_at[node] = rank
 
     def _reset(self) -> None:
-        """Forget the determinised part; it is made again when needed."""
-        self.start = ((0, -1, ()),)
-        self.numbers = {self.start: 0}
-        self.states = [self.start]
-        self.moves: dict[int, int] = {}
+        """Forget the determinised part; it is made again when needed.
+
+        A state is flat: the last token and the tokens that wait where the prefix ends (their number
+        first), then for each open place its node of the trie, the last token before it and what waits there.
+        """
+        start = (-1, 0)
+        self.numbers = {start: 0}
+        self.states = [start]
+        self.table = array("i", [-1]) * CLASSES
+        self.rare: dict[int, int] = {}
         self.emitted: dict[int, tuple[int, ...]] = {}
         self.apart: dict[tuple[int, int], bool] = {}
 
@@ -145,55 +157,79 @@ class Transducer:
             else:
                 j += 1
 
-    def _move(self, key: int) -> int:
-        """Make the move from state ``key >> 8`` by byte ``key & 255``: twice the next state, plus one if it emits."""
-        byte, children, token_at = key & 255, self.children, self.token_at
+    def _step(self, state: int, byte: int) -> int:
+        """The move from a state by a byte: twice the next state, plus one if it emits. Made if it isn't there.
+
+        The first bytes to turn up get a class each, a column of the table; the others' moves are kept aside.
+        """
+        kind = self.classes[byte]
+        if not kind and self.next_class < CLASSES:
+            kind = self.classes[byte] = self.next_class
+            self.next_class += 1
+        move = self.table[state * CLASSES + kind] if kind else self.rare.get(state << 8 | byte, -1)
+        if move < 0:
+            move = self._make(state, byte)
+            if kind:
+                self.table[state * CLASSES + kind] = move
+            else:
+                self.rare[state << 8 | byte] = move
+        return move
+
+    def _make(self, state: int, byte: int) -> int:
+        children, flat = self.children, self.states[state]
         places, ended = [], None
-        for node, last, waiting in self.states[key >> 8]:
+        at = 2 + flat[1]
+        node, last, waiting = 0, flat[0], flat[2:at]  # the place where the prefix ends
+        while True:
             child = children[node].get(byte)
-            if child is None:
-                continue
-            if ended is None:
-                token = token_at[child]
-                if token >= 0 and self._may_follow(last, token):
-                    ended = (0, token, (*waiting, token))
-            if children[child]:
-                places.append((child, last, waiting))
+            if child is not None:
+                if ended is None:
+                    token = self.token_at[child]
+                    if token >= 0 and self._may_follow(last, token):
+                        ended = token, (*waiting, token)
+                if children[child]:
+                    places.append((child, last, waiting))
+            if at >= len(flat):
+                break
+            node, last, end = flat[at], flat[at + 1], at + 3 + flat[at + 2]
+            waiting, at = flat[at + 3 : end], end
         if ended is None:
             raise AssertionError("no token ends here; the vocabulary has no single byte for it")
-        places.append(ended)
-        emitted = ()
+        token, ending = ended
+        agreed = 0
         if all(waiting for _, _, waiting in places):
-            emitted = tuple(commonprefix([waiting for _, _, waiting in places]))
-            if agreed := len(emitted):
-                places = [(node, last, waiting[agreed:]) for node, last, waiting in places]
-        after = tuple(places)
+            emitted = tuple(commonprefix([ending, *(waiting for _, _, waiting in places)]))
+            agreed = len(emitted)
+        flat = [token, len(ending) - agreed, *ending[agreed:]]
+        for node, last, waiting in places:
+            flat += (node, last, len(waiting) - agreed, *waiting[agreed:])
+        after = tuple(flat)
         number = self.numbers.get(after)
         if number is None:
             number = self.numbers[after] = len(self.states)
             self.states.append(after)
-        if emitted:
-            self.emitted[key] = emitted
-        move = self.moves[key] = 2 * number + bool(emitted)
-        return move
+            self.table.extend(_UNMADE)
+        if agreed:
+            self.emitted[state << 8 | byte] = emitted
+        return 2 * number + bool(agreed)
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one piece; a piece that is a token is that token."""
         rank = self.ranks.get(piece)
         if rank is not None:
             return (rank,)
-        if len(self.moves) > MOVES_KEPT:
+        if len(self.states) > STATES_KEPT:
             self._reset()
-        known, emitted, state, out = self.moves.get, self.emitted, 0, []
-        for byte in piece:
-            key = state << 8 | byte
-            move = known(key)
-            if move is None:
-                move = self._move(key)
+        table, emitted, state, out = self.table, self.emitted, 0, []
+        for byte, kind in zip(piece, piece.translate(self.classes)):
+            move = table[state * CLASSES + kind]
+            if move < 0:
+                move = self._step(state, byte)
             if move & 1:
-                out.extend(emitted[key])
+                out += emitted[state << 8 | byte]
             state = move >> 1
-        out.extend(self.states[state][-1][2])
+        flat = self.states[state]
+        out += flat[2 : 2 + flat[1]]
         return tuple(out)
 
 
@@ -358,63 +394,81 @@ def _everywhere(df: DataFrame, ranks_path: str) -> str:
     return ranks_path.rpartition("/")[2]
 
 
-def _with_column(df: DataFrame, source: str, name: str, kind: T.DataType, convert, keep: list[str] | None) -> DataFrame:
-    """The kept columns and one more, made by Arrow batch; a column of that name is replaced."""
-    kept = [c for c in (df.columns if keep is None else keep) if c != name]
-    packed = df.select(F.col(f"`{source}`").alias("source"), F.struct(F.lit(0).alias("_"), *[df[f"`{c}`"] for c in kept]).alias("row"))
-    schema = T.StructType([packed.schema["row"], T.StructField("made", kind)])
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = convert()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column("row"), step(part.column("source"))], names=["row", "made"])
-
-    return packed.mapInArrow(run, schema).select(*[F.col("row").getField(c).alias(c) for c in kept], F.col("made").alias(name))
-
-
 def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """The frame, or the columns to ``keep``, with ``ids``, the tokens of every whole text; null counts as empty (no ids).
 
     A column called ``ids_col`` is replaced. Repeated rows stay; an empty table gives no rows.
     """
     name = _everywhere(df, ranks_path)
+    return _with_columns(df, text_col, {ids_col: _IDS}, lambda: _encoding(_encoder(SparkFiles.get(name), pattern)), keep)
+
+
+def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded", chunk: int = CHUNK, keep: list[str] | None = None) -> DataFrame:
+    """The frame, or the columns to ``keep``, with the text of its ids, streamed in chunks of ids; null counts as no ids.
+
+    Ids outside the vocabulary are an error. A column called ``out_col`` is replaced.
+    """
+    name = _everywhere(df, ranks_path)
+    return _with_columns(df, ids_col, {out_col: T.StringType()}, lambda: _decoding(_decoder(SparkFiles.get(name)), chunk), keep)
+
+
+def encode_and_decode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded", keep: list[str] | None = None) -> DataFrame:
+    """Both in one pass of the rows: ``ids`` of the text, and the text that these ids decode to."""
+    name = _everywhere(df, ranks_path)
 
     def convert():
-        encoder = _encoder(SparkFiles.get(name), pattern)
+        path = SparkFiles.get(name)
+        to_ids, to_text = _encoding(_encoder(path, pattern)), _decoding(_decoder(path), CHUNK)
 
-        def step(texts: pa.Array) -> pa.Array:
-            gc.disable()  # hundreds of thousands of remembered tuples, and no cycles
-            try:
-                return pa.array([encoder.encode(t) if t else [] for t in texts.to_pylist()], pa.list_(pa.int32()))
-            finally:
-                gc.enable()
+        def step(texts: pa.Array) -> list[pa.Array]:
+            ids = to_ids(texts)
+            return [*ids, *to_text(*ids)]
 
         return step
 
-    return _with_column(df, text_col, ids_col, T.ArrayType(T.IntegerType()), convert, keep)
+    return _with_columns(df, text_col, {ids_col: _IDS, out_col: T.StringType()}, convert, keep)
 
 
-def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded", chunk: int = 1 << 16, keep: list[str] | None = None) -> DataFrame:
-    """The frame, or the columns to ``keep``, with the text of its ids, streamed in chunks of ids; null counts as no ids.
+_IDS = T.ArrayType(T.IntegerType())
 
-    Ids outside the vocabulary are an error. A column called ``out_col`` is replaced.
-    """
-    name = _everywhere(df, ranks_path)
 
-    def convert():
-        decoder = _decoder(SparkFiles.get(name))
+def _encoding(encoder: Encoder):
+    def step(texts: pa.Array) -> list[pa.Array]:
+        gc.disable()  # hundreds of thousands of remembered tuples, and no cycles
+        try:
+            return [pa.array([encoder.encode(t) if t else [] for t in texts.to_pylist()], pa.list_(pa.int32()))]
+        finally:
+            gc.enable()
 
-        def text(ids: np.ndarray) -> str:
-            return "".join(stream_text(decoder.decode(ids[at : at + chunk]) for at in range(0, len(ids), chunk)))
+    return step
 
-        def step(column: pa.Array) -> pa.Array:
-            flat = column.flatten().to_numpy(zero_copy_only=False)
-            sizes = np.array(pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_pylist(), np.int64)
-            ends = np.cumsum(sizes)
-            return pa.array([text(flat[e - n : e]) for e, n in zip(ends, sizes)], pa.string())
 
-        return step
+def _decoding(decoder: Decoder, chunk: int):
+    def text(ids: np.ndarray) -> str:
+        return "".join(stream_text(decoder.decode(ids[at : at + chunk]) for at in range(0, len(ids), chunk)))
+
+    def step(column: pa.Array) -> list[pa.Array]:
+        flat = column.flatten().to_numpy(zero_copy_only=False)
+        sizes = np.array(pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_pylist(), np.int64)
+        ends = np.cumsum(sizes)
+        return [pa.array([text(flat[e - n : e]) for e, n in zip(ends, sizes)], pa.string())]
+
+    return step
+
+
+def _with_columns(df: DataFrame, source: str, made: dict[str, T.DataType], convert, keep: list[str] | None) -> DataFrame:
+    """The kept columns and the made ones, by Arrow batch; columns of their names are replaced."""
+    kept = [c for c in (df.columns if keep is None else keep) if c not in made]
+    packed = df.select(F.col(f"`{source}`").alias("source"), F.struct(F.lit(0).alias("_"), *[df[f"`{c}`"] for c in kept]).alias("row"))
+    schema = T.StructType([packed.schema["row"], *(T.StructField(f"made{i}", kind) for i, kind in enumerate(made.values()))])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = convert()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                new = step(part.column("source"))
+                yield pa.RecordBatch.from_arrays([part.column("row"), *new], names=["row", *(f"made{i}" for i in range(len(new)))])
 
-    return _with_column(df, ids_col, out_col, T.StringType(), convert, keep)
+    out = packed.mapInArrow(run, schema)
+    return out.select(*[F.col("row").getField(c).alias(c) for c in kept], *[F.col(f"made{i}").alias(name) for i, name in enumerate(made)])

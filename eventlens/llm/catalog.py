@@ -63,8 +63,7 @@ def op1_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, keep=["doc_id"])
-    decoded = bpe.decode(encoded, RANKS)
+    decoded = bpe.encode_and_decode(docs, RANKS, public_tokenizers.PATTERN, keep=["doc_id"])
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
