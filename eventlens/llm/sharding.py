@@ -40,7 +40,8 @@ def shard_by_bytes(
         F.struct(F.xxhash64(body).alias("t"), F.xxhash64(F.col("id").cast("string")).alias("i")).alias("key"),
     )
     rows = durable(rows)
-    ranged = rows.withColumn("range", _range_of(F.col("key"), _boundaries(rows, shards * ranges_per_shard)))
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    ranged = rows.withColumn("range", _range_of(F.col("key"), _boundaries(rows, total, shards * ranges_per_shard)))
 
     # cells, so that no window holds more than about cell_rows rows, however many a range has
     largest = ranged.groupBy("range").count().agg(F.max("count")).first()[0] or 0
@@ -59,7 +60,6 @@ def shard_by_bytes(
         F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("bytes_before"),
         F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("rows_before"),
     )
-    total = rows.agg(F.sum("size")).first()[0] or 0
     placed = local.join(offsets, ["range", "cell"])
     middle = F.col("bytes_before") + F.col("bytes_in") + F.expr("size div 2")
     shard = F.least(F.floor(middle.cast("decimal(38,0)") * shards / F.lit(max(total, 1)).cast("decimal(38,0)")), F.lit(shards - 1)).cast("int")
@@ -69,7 +69,7 @@ def shard_by_bytes(
     return numbered.join(first, "shard").select("id", "size", "text_crc32", "shard", (F.col("number") - F.col("first")).alias("slot"))
 
 
-def _boundaries(rows: DataFrame, ranges: int) -> list:
+def _boundaries(rows: DataFrame, total: int, ranges: int) -> list:
     """Keys that cut the bytes into about equal ranges: quantiles of a size-weighted sample.
 
     Each row draws an exponential waiting time at the rate of its size; the shortest are a sample
@@ -78,8 +78,10 @@ def _boundaries(rows: DataFrame, ranges: int) -> list:
     """
     wanted = ranges * SAMPLES_PER_RANGE
     uniform = (F.pmod(F.xxhash64("key", "size", F.lit("draw")), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
-    drawn = rows.select("key", (-F.log(uniform) / F.col("size")).alias("wait")).orderBy("wait", "key").limit(wanted)
-    keys = sorted((r["key"]["t"], r["key"]["i"]) for r in drawn.collect())
+    drawn = rows.select("key", (-F.log(uniform) / F.col("size")).alias("wait"))
+    # about 1.5 times as many as wanted wait no longer than this, so partitions hand on few of their rows
+    soon = drawn.where(F.col("wait") <= 1.5 * (wanted + 20) / max(total, 1)).orderBy("wait", "key").limit(wanted)
+    keys = sorted((r["key"]["t"], r["key"]["i"]) for r in soon.collect())
     cuts = [keys[len(keys) * i // ranges] for i in range(1, ranges)] if keys else []
     return sorted(set(cuts))
 
