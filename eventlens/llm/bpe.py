@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 #: the moves of the transducer that are kept, in each Python worker. All are made again when needed.
 PIECES_KEPT = 100_000
 PIECE_KEPT = 48
-STATES_KEPT = 280_000
+STATES_KEPT = 340_000
 #: Columns of the table of moves. Column 0 stands for all bytes that have none of their own.
 CLASSES = 128
 #: Ids that are decoded at once.
