@@ -67,12 +67,12 @@ def whole_row(df: DataFrame):
     return F.struct(*[df[f"`{c}`"] for c in df.columns])
 
 
-def batches_of(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Arrow batches of at most OUT_ROWS of the given tuples."""
+def batches_of(rows: Iterable[tuple], schema: pa.Schema, rows_each: int = OUT_ROWS) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of at most ``rows_each`` of the given tuples."""
     held: list[tuple] = []
     for row in rows:
         held.append(row)
-        if len(held) >= OUT_ROWS:
+        if len(held) >= rows_each:
             yield _batch(held, schema)
             held = []
     if held:

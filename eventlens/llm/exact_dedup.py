@@ -3,10 +3,11 @@
 1. Every Arrow batch of the scan is reduced in place: an open-addressing table that compares
    complete normalised contents gives one representative (smallest id) for each distinct text of
    the batch. Copies leave as narrow member rows, so a text that a third of all rows share is
-   shuffled once for each batch, not once for each row. The result is written to the shared folder.
+   shuffled once for each batch, not once for each row.
 2. Representatives are shuffled by content hash. A task reads its partition into such a table;
    when the contents outgrow ``bucket_bytes``, all of it goes to 16 spill files by the next four
-   bits of the hash, and each file is treated in the same way until it fits.
+   bits of the hash, and each file is treated in the same way until it fits. If only the rows that
+   stay are asked for, they travel with the contents and leave here.
 3. Narrow member rows are joined to their class by the batch-local key, of which one has at most
    a batch of rows.
 
@@ -32,7 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from eventlens.llm.common import batches_of, columns_of, utf8, whole_row, written
 
-BUCKET_BYTES = 96 << 20
+BUCKET_BYTES = 64 << 20
 FANOUT_BITS = 4
 HASH_BITS = 64
 
@@ -125,18 +126,21 @@ def _reduce_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 class _Members:
-    """What is known of one class: the keys of its representatives, their best id and their sum."""
+    """What is known of one class: the keys of its representatives, the best (id, key, row) and their sum.
+
+    The row is that of the best one if rows are carried, else None.
+    """
 
     __slots__ = ("keys", "best", "size")
 
     def __init__(self) -> None:
         self.keys, self.best, self.size = array("q"), None, 0
 
-    def add(self, key: int, doc_id, size: int) -> None:
+    def add(self, key: int, doc_id, size: int, row=None) -> None:
         self.keys.append(key)
         self.size += size
         if self.best is None or (_order(doc_id), key) < (_order(self.best[0]), self.best[1]):
-            self.best = (doc_id, key)
+            self.best = (doc_id, key, row)
 
     def merge(self, other: _Members) -> None:
         self.keys.extend(other.keys)
@@ -147,11 +151,15 @@ class _Members:
 
 def _records(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, bytes, _Members]]:
     for batch in batches:
-        keys, ids, sizes = (batch.column(c).to_pylist() for c in ("key", "id", "n"))
-        for key, doc_id, size, code, text in zip(keys, ids, sizes, batch.column("hash").to_pylist(), utf8(batch.column("text"))):
-            one = _Members()
-            one.add(key, doc_id, size)
-            yield code + (1 << 63), normalised(text), one
+        carried = "row" in batch.schema.names
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            columns = [part.column(c).to_pylist() for c in ("key", "id", "n", "hash")]
+            rows = part.column("row").to_pylist() if carried else [None] * part.num_rows
+            for key, doc_id, size, code, text, row in zip(*columns, utf8(part.column("text")), rows):
+                one = _Members()
+                one.add(key, doc_id, size, row)
+                yield code + (1 << 63), normalised(text), one
 
 
 def grace_classes(records: Iterable[tuple[int, bytes, _Members]], bucket_bytes: int, level: int = 0) -> Iterator[tuple[bytes, _Members]]:
@@ -213,7 +221,7 @@ def _reduced(df: DataFrame, id_col: str, text_col: str, row) -> DataFrame:
         ]
     )
 
-    return written(packed.mapInArrow(_reduce_batches, schema), "grace")
+    return packed.mapInArrow(_reduce_batches, schema)
 
 
 def _classes(reps: DataFrame, bucket_bytes: int) -> DataFrame:
@@ -233,7 +241,7 @@ def _classes(reps: DataFrame, bucket_bytes: int) -> DataFrame:
         def rows():
             for content, members in grace_classes(_records(batches), bucket_bytes):
                 digest = hashlib.sha256(content).hexdigest()
-                keep_id, keep_key = members.best
+                keep_id, keep_key, _ = members.best
                 for key in members.keys:
                     yield key, keep_key, keep_id, members.size, digest
 
@@ -250,7 +258,7 @@ def duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     class keeps exactly one row. Repeated rows are members like any others; other columns are
     ignored; an empty table gives no rows.
     """
-    member = _reduced(df, id_col, text_col, F.struct(df[f"`{text_col}`"].alias("text")))
+    member = written(_reduced(df, id_col, text_col, F.struct(df[f"`{text_col}`"].alias("text"))), "grace")
     reps = member.where("first").select("key", "id", "n", "hash", F.col("row.text").alias("text"))
     classes = _classes(reps, bucket_bytes)
     kept = F.col("first") & (F.col("key") == F.col("keep_key"))
@@ -259,8 +267,12 @@ def duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """The kept rows, with all their columns as they were."""
-    member = _reduced(df, id_col, text_col, whole_row(df))
-    reps = member.where("first").select("key", "id", "n", "hash", F.col("row").getField(text_col).alias("text"))
-    winners = _classes(reps, bucket_bytes).where("key = keep_key").select("key")
-    rows = member.where("first").select("key", "row").join(winners, "key", "left_semi")
-    return rows.select("row.*")
+    member = _reduced(df, id_col, text_col, whole_row(df)).where("first")
+    reps = member.select("key", "id", "n", "hash", F.col("row").getField(text_col).alias("text"), "row")
+    schema = T.StructType([reps.schema["row"]])
+
+    def keep(batches):
+        found = ((members.best[2],) for _, members in grace_classes(_records(batches), bucket_bytes))
+        yield from batches_of(found, to_arrow_schema(schema), rows_each=256)
+
+    return reps.repartition("hash").mapInArrow(keep, schema).select("row.*")

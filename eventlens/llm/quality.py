@@ -125,8 +125,8 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     return train(np.array([r["x"] for r in found]).reshape(len(found), len(FEATURES)), np.array([r["label"] for r in found]))
 
 
-def scored(df: DataFrame, classifier: Classifier | None, labels: DataFrame, id_col: str, text_col: str, host_col: str, path_col: str, row: Column) -> DataFrame:
-    """(row, host, path, p, evidence), written once; without a classifier p is one half."""
+def scored(df: DataFrame, classifier: Classifier | None, id_col: str, text_col: str, host_col: str, path_col: str, row: Column) -> DataFrame:
+    """(row, id, host, path, p): the classifier's probability; without a classifier one half."""
     packed = df.select(row.alias("row"), *columns_of(df, id=id_col, text=text_col, host=host_col, path=path_col))
     shared = df.sparkSession.sparkContext.broadcast(classifier)
     kinds = T.StructType([packed.schema["row"], packed.schema["id"], packed.schema["host"], packed.schema["path"], T.StructField("p", T.DoubleType())])
@@ -139,7 +139,7 @@ def scored(df: DataFrame, classifier: Classifier | None, labels: DataFrame, id_c
                 p = shared.value.probability(np.array([features(t) for t in utf8(batch.column("text"))]))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "id", "host", "path")), pa.array(p, pa.float64())], names=["row", "id", "host", "path", "p"])
 
-    return written(packed.mapInArrow(run, kinds), "scored")
+    return packed.mapInArrow(run, kinds)
 
 
 def _strength(spread: float, total: float, squares: float, groups: float, mean: float) -> float:
@@ -201,9 +201,12 @@ def judged(
     all rows are accepted. Repeated rows are judged alike; an empty table gives no rows.
     """
     classifier = fit(df, labels, id_col, text_col)
-    rows = scored(df, classifier, labels, id_col, text_col, host_col, path_col, row if row is not None else whole_row(df))
+    names = (id_col, text_col, host_col, path_col)
+    # texts are read and scored twice, which is cheaper than to write them between the two passes
+    slim = scored(df, classifier, *names, F.lit(True)).drop("row")
+    rows = scored(df, classifier, *names, row if row is not None else whole_row(df))
     known = labelled(labels, id_col).withColumnRenamed("id", "labelled_id")
-    evidence = rows.select("id", "host", "path", "p").join(known, F.col("id") == F.col("labelled_id"), "left")
+    evidence = slim.join(known, F.col("id") == F.col("labelled_id"), "left")
     found = sites(evidence.select("host", "path", F.coalesce("label", "p").alias("evidence")))
     table = found.table.withColumnsRenamed({"host": "h", "path": "q"})
     at = rows.join(table, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")))

@@ -30,7 +30,6 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -164,28 +163,26 @@ def similar_linking(words_each: int = 5, similarity: float = 0.8, recall: float
     return Linking(words_each, bits, distance, sampled_keys(share(min(1.0, similarity + 0.05)), recall, bits), lambda texts, k: projected(texts, k, bits))
 
 
-def fingerprints(df: DataFrame, how: Linking, id_col: str, text_col: str, row=None) -> DataFrame:
-    """(key, id, fp, row): an own key for each input row, and its fingerprint in binary; written once."""
-    packed = df.select(*columns_of(df, id=id_col, text=text_col), (row if row is not None else F.lit(True)).alias("row"))
-    schema = T.StructType(
-        [T.StructField("key", T.LongType()), packed.schema["id"], T.StructField("fp", T.BinaryType()), T.StructField("row", packed.schema["row"].dataType)]
-    )
+def fingerprints(df: DataFrame, how: Linking, id_col: str, text_col: str) -> DataFrame:
+    """(id, digest, fp) of each input row: the text's SHA-256 and its fingerprint; narrow, and written once."""
+    packed = df.select(*columns_of(df, id=id_col, text=text_col), _digest(F.col(f"`{text_col}`")).alias("digest"))
+    schema = T.StructType([packed.schema["id"], packed.schema["digest"], T.StructField("fp", T.BinaryType())])
 
     def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = TaskContext.get()
-        key = (context.partitionId() if context else 0) << 40
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                prints = how.fingerprints(utf8(part.column("text")), how.words_each)
-                keys = np.arange(key, key + part.num_rows)
-                key += part.num_rows
-                columns = {"key": pa.array(keys, pa.int64()), "id": part.column("id"), "fp": pa.array(prints, pa.binary()), "row": part.column("row")}
-                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+                prints = pa.array(how.fingerprints(utf8(part.column("text")), how.words_each), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("digest"), prints], names=["id", "digest", "fp"])
 
     return written(packed.mapInArrow(made, schema), "simhash")
 
 
+def _digest(text) -> F.Column:
+    """Binary SHA-256; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
 def links(prints: DataFrame, how: Linking, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """(a, b): for every bucket of the distinct fingerprints ``fp``, links that connect what is linked in it."""
     n = prints.count()
@@ -268,8 +265,8 @@ def _forest(prints: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
 
 
 def _grouped(rows: DataFrame, how: Linking, max_bucket: int) -> DataFrame:
-    """(fp, best): the smallest (id, key) of the group of each distinct fingerprint; null ids last."""
-    own = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("key"))
+    """(fp, best): the smallest (id, digest) of the group of each distinct fingerprint; null ids last."""
+    own = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("digest"))
     prints = durable(rows.groupBy("fp").agg(F.min(own).alias("best")))
     found = components(links(prints, how, max_bucket)).select(F.col("node").alias("fp"), "component")
     linked = durable(prints.join(found, "fp"))
@@ -291,7 +288,18 @@ def near_duplicates(df: DataFrame, how: Linking, id_col: str = "doc_id", text_co
 
 
 def keep_one_of_each(df: DataFrame, how: Linking, id_col: str = "doc_id", text_col: str = "text", max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """The row with the smallest id of each component, with all its columns; of equal ids one row."""
-    rows = fingerprints(df, how, id_col, text_col, whole_row(df))
-    winners = _grouped(rows.select("key", "id", "fp"), how, max_bucket).select(F.col("best.key").alias("key")).distinct()
-    return rows.select("key", "row").join(winners, "key", "left_semi").select("row.*")
+    """The row with the smallest id of each component, with all its columns; of equal ids one row.
+
+    The row is found again by its id and its text's digest; rows that agree in both are one for the
+    links, and one of them stays.
+    """
+    rows = fingerprints(df, how, id_col, text_col)
+    own = F.struct(F.col("best.id").alias("id"), F.col("best.digest").alias("digest"))
+    winners = _grouped(rows, how, max_bucket).select(own.alias("best")).distinct().select("best.*")
+    packed = df.select(whole_row(df).alias("row"), F.col(f"`{id_col}`").alias("mine"), _digest(F.col(f"`{text_col}`")).alias("sha"))
+    same = (F.col("sha") == F.col("digest")) & F.col("mine").eqNullSafe(F.col("id"))
+    kept = packed.join(winners, same, "left_semi")
+    twins = durable(rows.groupBy("id", "digest").count().where("count > 1").select("id", "digest"))
+    if not twins.isEmpty():
+        kept = kept.join(twins, same, "left_anti").union(kept.join(twins, same, "left_semi").dropDuplicates(["mine", "sha"]))
+    return kept.select("row.*")
