@@ -34,11 +34,11 @@ from pyspark.sql import types as T
 
 #: Pieces whose ids are remembered (twice as many at most), their greatest length in characters, and
 #: the moves of the transducer that are kept, in each Python worker. All are made again when needed.
-PIECES_KEPT = 100_000
+PIECES_KEPT = 60_000
 PIECE_KEPT = 48
-STATES_KEPT = 340_000
+STATES_KEPT = 200_000
 #: Columns of the table of moves. Column 0 stands for all bytes that have none of their own.
-CLASSES = 128
+CLASSES = 64
 #: Ids that are decoded at once.
 CHUNK = 1 << 16
 _UNMADE = array("i", [-1]) * CLASSES
@@ -438,6 +438,7 @@ def _encoding(encoder: Encoder):
         try:
             return [pa.array([encoder.encode(t) if t else [] for t in texts.to_pylist()], pa.list_(pa.int32()))]
         finally:
+            gc.freeze()
             gc.enable()
 
     return step
