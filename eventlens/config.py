@@ -244,12 +244,15 @@ def policy_from_yaml(path: str, sampling_policy_version_key: str, k_grain: str |
 
 
 def rules_from_yaml(path: str) -> StratificationRules:
-    """Stratification file. A parameter counts only with an approved status, if it has one."""
+    """Stratification file. A value without a status, or with any but an approved one, doesn't count.
+
+    A registry's version is approved by the status of the registry.
+    """
     data = _yaml(path)
     frozen = data.get("frozen_parameters") or {}
 
-    def value(name: str) -> Any:
-        return data.get(name) if data.get(f"{name}_status", "APPROVED") == "APPROVED" else None
+    def value(name: str, status: str | None = None) -> Any:
+        return data.get(name) if data.get(status or f"{name}_status") == "APPROVED" else None
 
     defaults = StratificationRules()
     return StratificationRules(
@@ -262,9 +265,9 @@ def rules_from_yaml(path: str) -> StratificationRules:
         combined_focus_threshold=value("combined_focus_threshold"),
         club_winning_margin=value("club_dominance_winning_margin"),
         analysis_share_threshold=value("analysis_topic_share_threshold"),
-        broadcaster_registry_version=value("broadcaster_registry_version"),
+        broadcaster_registry_version=value("broadcaster_registry_version", "broadcaster_registry_status"),
         broadcasters=tuple(data.get("broadcasters_allowlist") or ()),
-        analysis_registry_version=value("analysis_registry_version"),
+        analysis_registry_version=value("analysis_registry_version", "analysis_registry_status"),
         analysis_publishers=tuple(data.get("analysis_publishers_allowlist") or ()),
         analysis_keywords=tuple(data.get("analysis_keywords") or ()),
         clubs=tuple((club, tuple(names)) for club, names in (data.get("club_registry") or {}).items()),

@@ -61,16 +61,20 @@ def title_and_description(title: Column, description: Column) -> Column:
     )
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def canonical_terms(terms: Column) -> Column:
-    """Trimmed, lower-cased, NULL-free, sorted; duplicates are kept."""
-    cleaned = F.transform(F.filter(terms, lambda t: t.isNotNull()), lambda t: F.lower(F.trim(t)))
-    return F.array_sort(F.filter(cleaned, lambda t: t != ""))
+    """Stripped, lower-cased, NULL-free, sorted; duplicates and empty terms are kept."""
+    return F.array_sort(F.transform(F.filter(terms, lambda t: t.isNotNull()), lambda t: F.lower(stripped(t))))
 
 
 def language_code(audio: Column, default: Column) -> Column:
     """Audio language, else default language, trimmed and cut; UNKNOWN when neither is given."""
     chosen = F.coalesce(F.when(audio != "", audio), F.when(default != "", default))
-    return F.coalesce(F.substring(F.lower(F.trim(chosen)), 1, LANGUAGE_CODE_LIMIT), F.lit("UNKNOWN"))
+    return F.coalesce(F.substring(F.lower(stripped(chosen)), 1, LANGUAGE_CODE_LIMIT), F.lit("UNKNOWN"))
 
 
 def stored_description(description: Column) -> Column:
@@ -85,7 +89,7 @@ def exclusion_reason(text: Column, min_links: int) -> Column:
     """
     links = F.regexp_count(F.lower(text), F.lit(r"https?://|www\."))
     return (
-        F.when(text.isNull() | (F.trim(text) == ""), F.lit("EMPTY_TEXT"))
+        F.when(text.isNull() | (stripped(text) == ""), F.lit("EMPTY_TEXT"))
         .when(links >= min_links, F.lit("LINK_SOLICITATION"))
     )
 

@@ -57,10 +57,10 @@ def new_author_contribution(opinions: DataFrame, pre: str, post: Sequence[str],
 
 
 def returning_author_deltas(opinions: DataFrame, pre: str, post: Sequence[str], keys: Sequence[str] = TARGET) -> DataFrame:
-    """Mean change per shared author."""
+    """Mean change per shared author; one pseudonym under two salts is two authors."""
     p = author_presence(opinions, pre, post, keys)
     return p.filter("v_pre > 0 AND v_post > 0").select(
-        *keys, "author_key", (F.col("s_post") / F.col("v_post") - F.col("s_pre") / F.col("v_pre")).alias("delta")
+        *keys, "salt_version_id", "author_key", (F.col("s_post") / F.col("v_post") - F.col("s_pre") / F.col("v_pre")).alias("delta")
     )
 
 
@@ -72,10 +72,10 @@ def returning_author_shift(opinions: DataFrame, pre: str, post: Sequence[str], k
 
 
 def author_window_activity(opinions: DataFrame) -> DataFrame:
-    """Comments, channels, mean valence and first sight per author, target and window."""
+    """Comments, channels, mean valence and first sight per author (under its salt), target and window."""
     return (
         opinions.filter("author_key IS NOT NULL")
-        .groupBy("event_version_key", "target", "author_key", "window_type")
+        .groupBy("event_version_key", "target", "salt_version_id", "author_key", "window_type")
         .agg(
             F.count_distinct("comment_key").alias("observed_comment_count"),
             F.count_distinct("channel_key").alias("observed_channel_count"),
@@ -90,14 +90,14 @@ def cross_stratum_participation(
 ) -> DataFrame:
     """M029 per target stratum: newly observed authors with recent activity in an origin stratum.
 
-    `activity`: author_key, stratum_name, published_at. An author is newly observed in a
+    `activity`: salt_version_id, author_key, stratum_name, published_at. An author is newly observed in a
     stratum when the first activity there is at or after `since`. Prior activity is folded to
     the first and last instant per lookback-long slot; the lookback interval touches exactly
     two slots, so equality joins on (author, slot) decide it without pairing activities.
     """
     known = activity.filter("author_key IS NOT NULL")
     first = (
-        known.groupBy("stratum_name", "author_key")
+        known.groupBy("stratum_name", "salt_version_id", "author_key")
         .agg(F.min("published_at").alias("t0"))
         .filter(F.col("t0") >= ntz(since))
     )
@@ -109,7 +109,7 @@ def cross_stratum_participation(
     slots = (
         known.filter(F.col("stratum_name").isin(*origin_strata))
         .withColumn("slot", slot("published_at"))
-        .groupBy("author_key", "stratum_name", "slot")
+        .groupBy("salt_version_id", "author_key", "stratum_name", "slot")
         .agg(F.min("published_at").alias("lo"), F.max("published_at").alias("hi"))
         .withColumnRenamed("stratum_name", "origin")
     )
@@ -120,8 +120,8 @@ def cross_stratum_participation(
     recent = F.when(F.col("slot") == F.col("own_slot"), F.col("lo") < F.col("t0")).otherwise(F.col("hi") >= back)
     hit = F.coalesce(recent & (F.col("origin") != F.col("stratum_name")), F.lit(False))
     per_author = (
-        probes.join(slots, ["author_key", "slot"], "left")
-        .groupBy("stratum_name", "author_key")
+        probes.join(slots, ["salt_version_id", "author_key", "slot"], "left")
+        .groupBy("stratum_name", "salt_version_id", "author_key")
         .agg(F.max(hit).alias("crossed"))
     )
     return per_author.groupBy("stratum_name").agg(

@@ -12,9 +12,9 @@ from eventlens.plans.coverage import ratio
 
 
 def uniform(seed: int, *parts: Column) -> Column:
-    """Deterministic draw in [0, 1) from a hash; a lost executor draws the same again."""
+    """Deterministic draw in [0, 1) with 52 bits of a hash; a lost executor draws the same again."""
     text = F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def clusters(rows: DataFrame, keys: Sequence[str], cluster: str, value: str) -> DataFrame:
@@ -72,6 +72,10 @@ def bootstrap_ratio(
 def paired_bootstrap(
     deltas: DataFrame, keys: Sequence[str], author: str, replicates: int, seed: int, level: float, hot: int | None = None
 ) -> DataFrame:
-    """Interval of the mean per-author change; a drawn author brings all of its observations."""
-    sums = deltas.select(*keys, author, F.col("delta").alias("num"), F.lit(1.0).alias("den"))
-    return bootstrap_ratio(sums, keys, author, replicates, seed, level, hot)
+    """Interval of the mean per-author change; a drawn author brings all of its observations.
+
+    Authors are drawn by salt and pseudonym, so their order is total over several salts.
+    """
+    who = F.struct("salt_version_id", author).alias("_author")
+    sums = deltas.select(*keys, who, F.col("delta").alias("num"), F.lit(1.0).alias("den"))
+    return bootstrap_ratio(sums, keys, "_author", replicates, seed, level, hot)

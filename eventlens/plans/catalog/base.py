@@ -233,7 +233,7 @@ cte(
 cte(
     "videos",
     """
-    SELECT doc_id AS video_key, substr(md5(text), 1, 11) AS source_id, source AS channel_key,
+    SELECT doc_id AS video_key, md5(text) AS source_id, source AS channel_key,
       timestamp '2024-01-18 12:00:00' - to_seconds((doc_id * 7919) % 17280000) - to_milliseconds(doc_id % 1000) AS published_at,
       CASE doc_id % 10 WHEN 0 THEN TRUE WHEN 1 THEN NULL ELSE FALSE END AS is_short,
       CASE WHEN doc_id % 13 = 0 THEN 'UNKNOWN' ELSE lang END AS primary_language_code,
@@ -370,7 +370,7 @@ def videos(spark: SparkSession, sf: str) -> DataFrame:
     back = (d * 7919) % 17280000 * 1000 + d % 1000
     return documents(spark, sf).select(
         d.alias("video_key"),
-        F.substring(F.md5("text"), 1, 11).alias("source_id"),
+        F.md5("text").alias("source_id"),
         F.col("source").alias("channel_key"),
         F.timestamp_add("MILLISECOND", -back, ntz("2024-01-18 12:00:00")).alias("published_at"),
         F.when(d % 10 == 0, F.lit(True)).when(d % 10 != 1, F.lit(False)).alias("is_short"),

@@ -81,17 +81,18 @@ def canonical_tables(spark, sf):
         .withColumn("event_version_key", F.explode(F.array(*[F.lit(e.event_key) for e in EVENTS])))
         .withColumn("focus_value", F.lit("MIXED_FOCUS"))
     )
-    facts = base.select("comment_key", "video_key", "author_key", "published_at")
+    facts = base.select("comment_key", "video_key", "salt_version_id", "author_key", "published_at", "sample_type", "exclusion_reason")
     return facts, versions, languages, targets, inferences, videos, snapshots
 
 
 @query(
     "e4_opinion_fact",
-    """SELECT t.comment_key, w.event_version_key, w.window_type, t.target, t.video_key, t.channel_key, t.author_key, t.published_at,
+    """SELECT t.comment_key, w.event_version_key, w.window_type, t.target, t.video_key, t.channel_key, 'salt1' AS salt_version_id, t.author_key, t.published_at,
       t.channel_type_value, t.channel_type_value || ' x MIXED_FOCUS' AS stratum_name, round(t.valence, 10) AS valence_score,
       'ACCEPTED' AS valence_status, CAST(t.derision_label AS VARCHAR) AS derision_label, t.derision_status
     FROM targeted t JOIN windows2 w ON published_at >= start_at AND published_at < end_at
-    WHERE language_code = 'en' AND language_confidence >= 0.1 AND resolution_status = 'ACCEPTED'""",
+    WHERE language_code = 'en' AND language_confidence >= 0.1 AND resolution_status = 'ACCEPTED'
+      AND t.sample_type = 'CHRONOLOGICAL' AND t.exclusion_reason IS NULL""",
     "targeted windows2",
 )
 def _e4(spark, sf):

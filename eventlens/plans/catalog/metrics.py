@@ -335,7 +335,7 @@ def _mart_overlap(spark, sf):
 
 @query(
     "mart_author_window_activity",
-    """SELECT event_version_key, target, author_key, window_type, count(DISTINCT comment_key) AS observed_comment_count,
+    """SELECT event_version_key, target, 'salt1' AS salt_version_id, author_key, window_type, count(DISTINCT comment_key) AS observed_comment_count,
       count(DISTINCT channel_key) AS observed_channel_count, round(avg(valence), 10) AS mean_target_valence,
       min(published_at) AS first_observed_at
     FROM opinions WHERE author_key IS NOT NULL GROUP BY ALL""",
@@ -365,6 +365,7 @@ _SINCE, _LOOKBACK = "2024-01-03 00:00:00", 24
 )
 def _m029(spark, sf):
     rows = comments(spark, sf).select(
+        "salt_version_id",
         (F.col("author_key") * 100 + F.col("comment_key") % 40).alias("author_key"),
         F.col("channel_type_value").alias("stratum_name"),
         "published_at",
@@ -558,8 +559,8 @@ def _bootstrap_sql(clusters: str) -> str:
   FROM (SELECT target, count(*) AS cluster_count, sum(num) / sum(den) AS estimate FROM {clusters} GROUP BY ALL)
   JOIN (SELECT target, quantile_cont(est, {(1 - LEVEL) / 2}) AS ci_low, quantile_cont(est, {1 - (1 - LEVEL) / 2}) AS ci_high
     FROM (SELECT d.target, d.r, sum(num) / sum(den) AS est
-      FROM (SELECT target, r, CAST(floor(('0x' || substr(md5('{SEED}|' || target || '|' || r || '|' || i), 1, 8))::UBIGINT
-            / 4294967296.0::DOUBLE * n) AS BIGINT) AS pick
+      FROM (SELECT target, r, CAST(floor(('0x' || substr(md5('{SEED}|' || target || '|' || r || '|' || i), 1, 13))::UBIGINT
+            / 4503599627370496.0::DOUBLE * n) AS BIGINT) AS pick
           FROM (SELECT target, row_number() OVER (PARTITION BY target ORDER BY cluster) - 1 AS i,
             count(*) OVER (PARTITION BY target) AS n FROM {clusters}), range({REPLICATES}) t(r)) d
       JOIN (SELECT target, num, den, row_number() OVER (PARTITION BY target ORDER BY cluster) - 1 AS i FROM {clusters}) c

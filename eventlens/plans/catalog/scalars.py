@@ -82,8 +82,8 @@ def _p4(spark, sf):
 
 @query(
     "p5_canonical_terms",
-    """SELECT conv_id, turn, array_to_string(list_sort(list_filter(list_transform(string_split(text, ' '), lambda x: lower(trim(x))),
-      lambda x: x <> '')), ' ') AS terms FROM conversations""",
+    """SELECT conv_id, turn, array_to_string(list_sort(list_transform(string_split(text, ' '),
+      lambda x: lower(regexp_replace(x, '^\s+|\s+$', '', 'g')))), ' ') AS terms FROM conversations""",
 )
 def _p5(spark, sf):
     terms = text.canonical_terms(F.split("text", " "))

@@ -182,7 +182,7 @@ def _s4(spark, sf):
 @query(
     "s5_listing_normalise",
     """SELECT CAST(CASE conv_id % 3 WHEN 0 THEN 's' WHEN 1 THEN 'p' ELSE 'r' END AS VARCHAR) || conv_id || '-' || turn AS source_id,
-      timestamp '2024-01-01' + to_hours(turn) AS published_at, substr(text, 1, 20) AS title, 0::BIGINT AS item_position
+      timestamp '2024-01-01' + to_hours(turn) AS published_at, text AS title, 0::BIGINT AS item_position
     FROM conversations WHERE turn % 4 <> 3""",
 )
 def _s5(spark, sf):
@@ -194,7 +194,7 @@ def _s5(spark, sf):
     published = _iso(ntz("2024-01-01 00:00:00") + F.make_dt_interval(F.lit(0), t.cast("int")))
     item = F.struct(
         F.when(c % 3 == 0, F.struct(video.alias("videoId"))).alias("id"),
-        F.struct(published.alias("publishedAt"), F.substring("text", 1, 20).alias("title"), resource.alias("resourceId")).alias("snippet"),
+        F.struct(published.alias("publishedAt"), F.col("text").alias("title"), resource.alias("resourceId")).alias("snippet"),
         F.when(c % 3 == 1, F.struct(video.alias("videoId"))).alias("contentDetails"),
     )
     pages = table(spark, sf, "conversations").select(*_pages(c, F.to_json(F.struct(F.array(item).alias("items")))))
@@ -204,7 +204,7 @@ def _s5(spark, sf):
 
 @query(
     "s6_channel_about",
-    """SELECT source AS source_channel_id, substr(text, 1, 200) AS about_description FROM documents
+    """SELECT source AS source_channel_id, text AS about_description FROM documents
     QUALIFY row_number() OVER (PARTITION BY source ORDER BY (doc_id * 7919) % 100003 DESC, doc_id DESC) = 1""",
 )
 def _s6(spark, sf):
@@ -212,7 +212,7 @@ def _s6(spark, sf):
     d = F.col("doc_id")
     at = ntz("2024-01-01 00:00:00") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), ((d * 7919) % 100003).cast("decimal(18,6)"))
     payload = F.to_json(
-        F.struct(F.array(F.struct(F.struct(F.substring("text", 1, 200).alias("description")).alias("snippet"))).alias("items"))
+        F.struct(F.array(F.struct(F.struct(F.col("text").alias("description")).alias("snippet"))).alias("items"))
     )
     pages = table(spark, sf, "documents").select(*_pages(F.col("source"), payload, retrieved=at), "doc_id")
     raw = landing.land_raw(pages.drop("doc_id"), "VIDEO", "CHANNEL", "channels.list", "run1")

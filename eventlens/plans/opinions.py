@@ -26,6 +26,7 @@ def opinion_fact(
 ) -> DataFrame:
     """Accepted, English, in-window opinions with one column pair per construct.
 
+    Only chronologically sampled comments that no rule excludes; authors keep their salt version.
     Pins the latest text version and one resolution model. Facts join on the text version
     or comment key (evenly spread); dimensions join as small sides. Long-form inferences are
     folded per subject before the join, so the fact is not multiplied.
@@ -50,8 +51,9 @@ def opinion_fact(
             ]
         )
     )
-    placed = assign_windows(comments, windows).select(
-        "comment_key", "video_key", "author_key", "published_at", "event_version_key", "window_type"
+    population = comments.filter("sample_type = 'CHRONOLOGICAL' AND exclusion_reason IS NULL")
+    placed = assign_windows(population, windows).select(
+        "comment_key", "video_key", "salt_version_id", "author_key", "published_at", "event_version_key", "window_type"
     )
     out = (
         placed.join(latest, "comment_key")
@@ -66,7 +68,7 @@ def opinion_fact(
         )
     )
     columns = [
-        "event_version_key", "window_type", "comment_key", "target", "video_key", "channel_key", "author_key", "published_at",
+        "event_version_key", "window_type", "comment_key", "target", "video_key", "channel_key", "salt_version_id", "author_key", "published_at",
     ]
     return out.select(
         *columns,

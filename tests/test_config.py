@@ -39,6 +39,15 @@ def test_unapproved_parameters_stay_open(tmp_path):
     assert (rules.club_winning_margin, rules.focus_ratio_threshold, rules.prevalence_floor) == (0.1, 5.0, 0.15)
 
 
+def test_unapproved_registries_stay_open(tmp_path):
+    def version(**status):
+        return config.rules_from_yaml(write(tmp_path, {"broadcaster_registry_version": "v1", **status})).broadcaster_registry_version
+
+    assert version() is None
+    assert version(broadcaster_registry_status="HUMAN_APPROVAL_REQUIRED") is None
+    assert version(broadcaster_registry_status="APPROVED") == "v1"
+
+
 def test_policy_needs_value_status_and_grain(tmp_path):
     path = write(tmp_path, {"k_capacity": 5, "k_capacity_status": "UNAPPROVED_PENDING_STRATA_INSPECTION"})
     with pytest.raises(UnapprovedParameterError):

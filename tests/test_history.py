@@ -272,8 +272,10 @@ def test_alias_join_matches_literal_matching(spark):
 
 def test_cross_stratum_lookback_against_brute_force(spark):
     rng = random.Random(5)
+    # the same three pseudonyms under two salts are six authors
     rows = [(rng.randrange(6), rng.choice(["O1", "O2", "X", "Y"]), T0 + dt.timedelta(minutes=rng.randrange(6000))) for _ in range(150)]
-    df = spark.createDataFrame(rows, "author_key int, stratum_name string, published_at timestamp_ntz")
+    salted = [(f"salt{a % 2}", a // 2, s, t) for a, s, t in rows]
+    df = spark.createDataFrame(salted, "salt_version_id string, author_key int, stratum_name string, published_at timestamp_ntz")
     since = T0 + DAY
     got = {r.stratum_name: (r.newly_observed_author_count, r.cross_participating_author_count) for r in authors.cross_stratum_participation(df, ["O1", "O2"], 5, str(since)).collect()}
     want = {}
@@ -284,3 +286,16 @@ def test_cross_stratum_lookback_against_brute_force(spark):
         if new:
             want[s] = (len(new), len(crossed))
     assert got == want
+
+
+def test_authors_of_two_salts_stay_apart(spark):
+    rows = [(s, 1, w, v, c) for s, w, v, c in [("a", "PRE", 0.0, 1), ("a", "POST", 1.0, 2), ("b", "PRE", 1.0, 3), ("b", "POST", 0.0, 4), ("c", "PRE", 0.5, 5)]]
+    df = spark.createDataFrame(rows, "salt_version_id string, author_key int, window_type string, valence double, comment_key int").selectExpr(
+        "*", "'e' AS event_version_key", "'t' AS target", "'ch' AS channel_key", "timestamp_ntz '2024-01-01 00:00:00' AS published_at"
+    )
+    deltas = authors.returning_author_deltas(df, "PRE", ["POST"])
+    assert {(r.salt_version_id, r.delta) for r in deltas.collect()} == {("a", 1.0), ("b", -1.0)}
+    assert authors.returning_author_shift(df, "PRE", ["POST"]).first().shared_author_count == 2
+    assert authors.author_window_activity(df).count() == 5
+    interval = bootstrap.paired_bootstrap(deltas, ["target"], "author_key", 50, 1, 0.9).first()
+    assert interval.cluster_count == 2 and interval.ci_low < interval.ci_high
