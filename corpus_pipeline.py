@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.llm import bpe, decontaminate, exact_dedup, quality, simhash
-from eventlens.llm.common import ship, table, whole_row, written
+from eventlens.llm.common import ship, table, written
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -53,10 +53,13 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     ship(spark)
     made = ("ids", "n_tokens", "intact")
-    rows = docs.select(whole_row(docs).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    decoded = bpe.encode_and_decode(rows, RANKS, public_tokenizers.PATTERN)
-    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in made]
-    return decoded.select(*kept, "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.col("text")).alias("intact"))
+    text = "decoded"
+    while text in [c.lower() for c in docs.columns]:
+        text += "_"
+    decoded = bpe.encode_and_decode(docs, RANKS, public_tokenizers.PATTERN, out_col=text)
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in made]
+    intact = F.col(text) == F.coalesce("text", F.lit(""))
+    return decoded.select(*kept, "ids", F.size("ids").cast("long").alias("n_tokens"), intact.alias("intact"))
 
 
 STAGES = [

@@ -22,10 +22,10 @@ from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import chain
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -176,8 +176,8 @@ class Transducer:
         return move
 
     def _make(self, state: int, byte: int) -> int:
-        children, flat = self.children, self.states[state]
-        places, ended = [], None
+        children, apart, flat = self.children, self.apart, self.states[state]
+        places, ended, size = [], None, len(flat)
         at = 2 + flat[1]
         node, last, waiting = 0, flat[0], flat[2:at]  # the place where the prefix ends
         while True:
@@ -185,21 +185,26 @@ class Transducer:
             if child is not None:
                 if ended is None:
                     token = self.token_at[child]
-                    if token >= 0 and self._may_follow(last, token):
-                        ended = token, (*waiting, token)
+                    if token >= 0:
+                        follows = apart.get((last, token))
+                        if follows or (follows is None and self._may_follow(last, token)):
+                            ended = token, (*waiting, token)
                 if children[child]:
                     places.append((child, last, waiting))
-            if at >= len(flat):
+            if at >= size:
                 break
             node, last, end = flat[at], flat[at + 1], at + 3 + flat[at + 2]
             waiting, at = flat[at + 3 : end], end
         if ended is None:
             raise AssertionError("no token ends here; the vocabulary has no single byte for it")
         token, ending = ended
-        agreed = 0
-        if all(waiting for _, _, waiting in places):
-            emitted = tuple(commonprefix([ending, *(waiting for _, _, waiting in places)]))
-            agreed = len(emitted)
+        agreed = len(ending)
+        for _, _, waiting in places:
+            agreed = min(agreed, len(waiting))
+            if ending[:agreed] != waiting[:agreed]:
+                agreed = next(i for i, (x, y) in enumerate(zip(ending, waiting)) if x != y)
+            if not agreed:
+                break
         flat = [token, len(ending) - agreed, *ending[agreed:]]
         for node, last, waiting in places:
             flat += (node, last, len(waiting) - agreed, *waiting[agreed:])
@@ -210,7 +215,7 @@ class Transducer:
             self.states.append(after)
             self.table.extend(_UNMADE)
         if agreed:
-            self.emitted[state << 8 | byte] = emitted
+            self.emitted[state << 8 | byte] = ending[:agreed]
         return 2 * number + bool(agreed)
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
@@ -450,7 +455,7 @@ def _decoding(decoder: Decoder, chunk: int):
 
     def step(column: pa.Array) -> list[pa.Array]:
         flat = column.flatten().to_numpy(zero_copy_only=False)
-        sizes = np.array(pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_pylist(), np.int64)
+        sizes = np.array(pc.fill_null(pc.list_value_length(column), 0).to_pylist(), np.int64)
         ends = np.cumsum(sizes)
         return [pa.array([text(flat[e - n : e]) for e, n in zip(ends, sizes)], pa.string())]
 
@@ -458,9 +463,14 @@ def _decoding(decoder: Decoder, chunk: int):
 
 
 def _with_columns(df: DataFrame, source: str, made: dict[str, T.DataType], convert, keep: list[str] | None) -> DataFrame:
-    """The kept columns and the made ones, by Arrow batch; columns of their names are replaced."""
-    kept = [c for c in (df.columns if keep is None else keep) if c not in made]
-    packed = df.select(F.col(f"`{source}`").alias("source"), F.struct(F.lit(0).alias("_"), *[df[f"`{c}`"] for c in kept]).alias("row"))
+    """The kept columns and the made ones, by Arrow batch; columns of their names are replaced.
+
+    A source that is kept travels to the Python worker once, as a field of the row.
+    """
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in {m.lower() for m in made}]
+    row = F.struct(F.lit(0).alias("_"), *[df[f"`{c}`"] for c in kept]).alias("row")
+    field = 1 + kept.index(source) if source in kept else None
+    packed = df.select(row, *([] if field else [F.col(f"`{source}`").alias("source")]))
     schema = T.StructType([packed.schema["row"], *(T.StructField(f"made{i}", kind) for i, kind in enumerate(made.values()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -468,8 +478,9 @@ def _with_columns(df: DataFrame, source: str, made: dict[str, T.DataType], conve
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                new = step(part.column("source"))
-                yield pa.RecordBatch.from_arrays([part.column("row"), *new], names=["row", *(f"made{i}" for i in range(len(new)))])
+                row = part.column("row")
+                new = step(pc.struct_field(row, [field]) if field else part.column("source"))
+                yield pa.RecordBatch.from_arrays([row, *new], names=["row", *(f"made{i}" for i in range(len(new)))])
 
     out = packed.mapInArrow(run, schema)
     return out.select(*[F.col("row").getField(c).alias(c) for c in kept], *[F.col(f"made{i}").alias(name) for i, name in enumerate(made)])
