@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.errors import GateError
-from eventlens.operators.ordered import HOT_GROUP_ROWS, bounded, fits, latest_per_key
+from eventlens.operators.ordered import HOT_GROUP_ROWS, bounded, fits, latest_per_key, one_per_key
 
 
 def alias_matches(texts: DataFrame, aliases: DataFrame, text: str = "text") -> DataFrame:
@@ -94,8 +94,8 @@ def missing_from(required: DataFrame, present: DataFrame, keys: Sequence[str]) -
 
 
 def insert_if_absent(current: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Append the incoming rows whose natural key is new; existing rows stay untouched."""
-    fresh = incoming.dropDuplicates(list(keys)).join(current.select(*keys), list(keys), "left_anti")
+    """Append the incoming rows whose natural key is new, one per key; existing rows stay untouched."""
+    fresh = one_per_key(incoming, keys).join(current.select(*keys), list(keys), "left_anti")
     return current.unionByName(fresh)
 
 

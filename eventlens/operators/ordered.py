@@ -183,6 +183,15 @@ def lookup(
     return in_place.unionByName(shuffled)
 
 
+def one_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key: the smallest in the other columns, in their order, however the rows are read."""
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    least = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_least"))
+    return least.select(*[c if c in keys else F.col(f"_least.{c}").alias(c) for c in df.columns])
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """First row per key in `order`; Spark limits every group before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -161,18 +161,6 @@ def _j5(spark, sf):
     return links.select("video_event_key").join(through, "video_event_key", "left_semi")
 
 
-@query(
-    "j8_snapshot_gate",
-    """SELECT channel_key, count(*) AS video_count FROM videos GROUP BY ALL""",
-    "videos",
-)
-def _j8(spark, sf):
-    v = videos(spark, sf).select("channel_key", "video_key")
-    pinned = v.select("channel_key").distinct()
-    gated = joins.require_all(v, pinned, ["channel_key"], "pinned stratum snapshot")
-    return gated.groupBy("channel_key").agg(F.count(F.lit(1)).alias("video_count"))
-
-
 @query(
     "j9_upsert",
     """SELECT coalesce(c.c_custkey, o.k) AS c_custkey, CASE WHEN o.k IS NULL THEN c.c_mktsegment ELSE 'ACTIVE' END AS segment,
@@ -213,6 +201,18 @@ def pinned_snapshots(spark, sf, keep_all=False):
     )
 
 
+@query(
+    "j8_snapshot_gate",
+    """SELECT channel_key, count(*) AS video_count FROM videos
+    WHERE NOT EXISTS (SELECT 1 FROM pinned p WHERE p.channel_key = videos.channel_key) GROUP BY ALL""",
+    "videos pinned",
+)
+def _j8(spark, sf):
+    """What the gate stops for: channels without a pinned stratum, and how many videos wait for it."""
+    waiting = joins.missing_from(videos(spark, sf).select("channel_key"), pinned_snapshots(spark, sf), ["channel_key"])
+    return waiting.groupBy("channel_key").agg(F.count(F.lit(1)).alias("video_count"))
+
+
 @query(
     "j10_stratum_label",
     """SELECT coalesce(channel_type_value || ' x ' || focus_value, 'UNCLASSIFIED') AS stratum_name, count(*) AS videos

@@ -61,34 +61,45 @@ def _q2(spark, sf):
 
 @query(
     "q3_duplicate_bridge",
-    "SELECT comment_key, target, count(*) AS row_count FROM targeted GROUP BY ALL HAVING count(*) > 1",
+    "SELECT comment_key, target, 2::BIGINT AS row_count FROM targeted WHERE comment_key % 41 = 0",
     "targeted",
 )
 def _q3(spark, sf):
-    return quality.duplicate_keys(targeted(comments(spark, sf)), ["comment_key", "target"])
+    """A bridge that a faulty rerun wrote again for every 41st comment."""
+    return quality.duplicate_keys(written_again(targeted(comments(spark, sf))), ["comment_key", "target"])
+
+
+def written_again(rows):
+    return rows.unionByName(rows.filter(F.col("comment_key") % 41 == 0))
 
 
 @query(
     "q4_decomposition_residual",
-    f"""SELECT event_version_key, target, round(abs(m019_composition_effect + m020_tone_effect - shared_shift), 6) AS residual
-    FROM ({_DECOMPOSITION}) WHERE abs(m019_composition_effect + m020_tone_effect - shared_shift) > 0.0001::DOUBLE""",
+    f"""SELECT event_version_key, target, round(abs(m019_composition_effect + tone - shared_shift), 6) AS residual
+    FROM (SELECT *, m020_tone_effect + CASE WHEN target = 'A' THEN 0.01::DOUBLE ELSE 0 END AS tone FROM ({_DECOMPOSITION}))
+    WHERE abs(m019_composition_effect + tone - shared_shift) > 0.0001::DOUBLE""",
     "contributions",
 )
 def _q4(spark, sf):
-    out = quality.additivity_residuals(decomposition_mart(spark, sf))
+    """A mart whose tone effect of A a faulty writer raised by a hundredth."""
+    raised = F.when(F.col("target") == "A", F.lit(0.01)).otherwise(F.lit(0.0))
+    mart = decomposition_mart(spark, sf).withColumn("m020_tone_effect", F.col("m020_tone_effect") + raised)
+    out = quality.additivity_residuals(mart)
     return rounded(out, "residual", digits=6).select("event_version_key", "target", "residual")
 
 
 @query(
     "q5_engagement_conservation",
     """SELECT s AS source_likes, a AS allocated_likes FROM (SELECT (SELECT sum(likes) FROM comments)::DOUBLE AS s,
-      (SELECT sum(likes::DOUBLE / n) FROM (SELECT likes, count(*) OVER (PARTITION BY comment_key) AS n FROM targeted)) AS a)
+      (SELECT sum(likes::DOUBLE / n * CASE WHEN comment_key % 41 = 0 THEN 2 ELSE 1 END)
+       FROM (SELECT comment_key, likes, count(*) OVER (PARTITION BY comment_key) AS n FROM targeted)) AS a)
     WHERE abs(s - a) > 0.0001::DOUBLE""",
     "comments targeted",
 )
 def _q5(spark, sf):
+    """Allocated likes that a faulty rerun wrote again for every 41st comment."""
     rows = comments(spark, sf)
-    return quality.engagement_conservation(rows, attribute_engagement(targeted(rows))).drop("residual")
+    return quality.engagement_conservation(rows, written_again(attribute_engagement(targeted(rows)))).drop("residual")
 
 
 @query(
@@ -199,16 +210,16 @@ def _q14(spark, sf):
 
 @query(
     "q14_primary_narrative",
-    """SELECT comment_key, target, count(*) FILTER (is_primary AND stance IS NOT NULL) AS accepted_primary_count,
-      count(*) FILTER (is_primary) AS primary_count FROM assignments GROUP BY ALL
-    HAVING count(*) FILTER (is_primary AND stance IS NOT NULL) > 0 AND count(*) FILTER (is_primary) <> 1""",
+    """SELECT comment_key, target, count(*) FILTER (first AND stance IS NOT NULL) AS accepted_primary_count,
+      count(*) FILTER (first) AS primary_count FROM (SELECT *, is_primary OR comment_key % 8 = 0 AS first FROM assignments)
+    GROUP BY ALL HAVING count(*) FILTER (first AND stance IS NOT NULL) > 0 AND count(*) FILTER (first) <> 1""",
     "assignments",
 )
 def _q14_narrative(spark, sf):
+    """Assignments whose flag a faulty writer set on all narratives of every eighth comment."""
     rows = assignments(opinions(spark, sf))
-    return quality.primary_missing_or_repeated(
-        rows, ["comment_key", "target"], F.col("is_primary"), F.col("stance").isNotNull()
-    )
+    flag = F.col("is_primary") | (F.col("comment_key") % 8 == 0)
+    return quality.primary_missing_or_repeated(rows, ["comment_key", "target"], flag, F.col("stance").isNotNull())
 
 
 @query(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from eventlens.config import Entity, Event, Frame
 from eventlens.functions.keys import md5_uuid
 from eventlens.functions.text import canonical_terms
+from eventlens.operators.ordered import one_per_key
 from eventlens.operators.windows import config_table
 
 _TS = pa.timestamp("us")
@@ -68,12 +69,12 @@ def period_rows(spark: SparkSession, events: Sequence[Event], exclusion_buffer_h
 
 def first_versions(rows: DataFrame, keys: Sequence[str], at: datetime) -> DataFrame:
     """Incoming states as the first version of each key."""
-    return rows.select(
+    return one_per_key(rows, keys).select(
         "*",
         F.lit(str(at)).cast("timestamp_ntz").alias("valid_from"),
         F.lit(None).cast("timestamp_ntz").alias("valid_to"),
         F.lit(True).alias("is_current"),
-    ).dropDuplicates(list(keys))
+    )
 
 
 def channel_rows(spark: SparkSession, frame: Frame) -> DataFrame:
@@ -94,9 +95,10 @@ def frame_tables(channels: DataFrame, frame: Frame, source_system: str, evaluate
         md5_uuid(F.lit(source_system), F.col("source_id")).alias("channel_key"), frame_key.alias("frame_version_key"), "*"
     ).withColumn("frame_channel_key", md5_uuid(F.col("frame_version_key"), F.col("channel_key")))
     return {
-        "channel": keyed.select(
-            "channel_key", F.lit(source_system).alias("source_system"), "source_id", "channel_name"
-        ).dropDuplicates(["channel_key"]),
+        "channel": one_per_key(
+            keyed.select("channel_key", F.lit(source_system).alias("source_system"), "source_id", "channel_name"),
+            ["channel_key"],
+        ),
         "frame_channel": keyed.select(
             "frame_channel_key",
             "frame_version_key",
@@ -104,7 +106,7 @@ def frame_tables(channels: DataFrame, frame: Frame, source_system: str, evaluate
             at.alias("evaluated_at"),
             F.lit(frame.methodology_version).alias("eligibility_rule_version"),
             F.lit("ELIGIBLE").alias("frame_inclusion_status"),
-        ).dropDuplicates(["frame_channel_key"]),
+        ).distinct(),
         "source_observation": keyed.select(
             "frame_channel_key", "discovery_source", "discovery_source_version"
         ).distinct(),

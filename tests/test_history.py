@@ -165,6 +165,10 @@ def test_upsert_and_insert_if_absent_are_idempotent(spark):
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect())) == [(1, "a"), (2, "b"), (3, None)]
     added = joins.insert_if_absent(now, new, ["k"])
     assert joins.insert_if_absent(added, new, ["k"]).count() == added.count() == 3
+    several = spark.createDataFrame([(3, "y"), (3, "x"), (4, "z"), (None, "n")], "k int, v string")
+    for rows in (several, several.orderBy("v")):
+        got = joins.insert_if_absent(now.select("v", "k"), rows, ["k"]).collect()
+        assert {(r.k, r.v) for r in got} == {(1, "a"), (2, None), (3, "x"), (4, "z"), (None, "n")}
 
 
 def test_provenance_is_recorded_once(spark):
