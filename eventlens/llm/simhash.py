@@ -14,8 +14,10 @@ Two kinds of fingerprints:
 * ``votes``: 64 bits; a bit is set if it is set in over half of the shingles' XXH64. With at most d
   differing bits, two of them share b - d of b blocks, so keys of b - d blocks find every link.
 * ``projected``: 256 bits for similarities as low as 0.8, where 64 bits differ in ten or more places
-  and no pigeonhole key is selective. Shingles vote, signed, into a sketch whose random projections
+  and no pigeonhole key is selective. Distinct shingles vote, signed, into a sketch whose random projections
   give the bits. Keys are seeded subsets of the bits; their number follows from the recall asked for.
+  Links of these only name candidates: components of candidates bring the shingle sets together, each
+  set once, and a task links those whose exact resemblance reaches the threshold (``confirmed``).
 """
 
 from __future__ import annotations
@@ -44,6 +46,9 @@ SKETCH = 1024
 MAX_BUCKET = 4096
 #: Buckets up to this size are compared by shifting whole batches, larger ones one by one.
 SMALL_BUCKET = 12
+#: Shingle sets, and bytes of them, in each chunk of a group of candidates; a task holds two chunks.
+GROUP_ROWS = 1024
+GROUP_BYTES = 8 << 20
 #: Fingerprints that a block key should bring together on average, at most.
 MEAN_BUCKET = 64
 
@@ -65,6 +70,11 @@ def shingle_hashes(text: bytes, words_each: int) -> Iterator[np.ndarray]:
         yield part
 
 
+def shingle_set(text: bytes, words_each: int) -> np.ndarray:
+    """The distinct shingle hashes of a whole text, in order."""
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(text, words_each)]))
+
+
 _BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _BYTE_OFFSETS = (256 * np.arange(8)).astype(np.int64)
 
@@ -82,25 +92,30 @@ def votes(text: bytes, words_each: int) -> bytes:
 
 @cache
 def _projection(bits: int) -> np.ndarray:
-    return np.random.default_rng(SEED).choice(np.array([-1, 1], np.float32), (SKETCH, bits))
+    """Rounded normal variates: no ties as with signs, and sums that float32 holds exactly, in any order."""
+    drawn = np.random.default_rng(SEED).normal(0, 32, (SKETCH, bits))
+    return np.clip(np.rint(drawn), -127, 127).astype(np.float32)
 
 
 def projected(texts: list[bytes], words_each: int, bits: int = 256) -> list[bytes]:
-    """Sign bits of random projections of the signed shingle counts; zero without words."""
-    sketch = np.zeros((len(texts), SKETCH), np.float32)
+    """Sign bits of random projections of the signed distinct shingles, zero without words; and a 128-bit digest of the set."""
+    sketch, digests = np.zeros((len(texts), SKETCH), np.float32), []
     for row, text in enumerate(texts):
-        for hashes in shingle_hashes(text, words_each):
-            sign = ((hashes >> np.uint64(32)) & np.uint64(1)).astype(np.float64) * 2 - 1
-            sketch[row] += np.bincount((hashes % np.uint64(SKETCH)).astype(np.int64), sign, SKETCH)
+        hashes = shingle_set(text, words_each)
+        sign = ((hashes >> np.uint64(32)) & np.uint64(1)).astype(np.float64) * 2 - 1
+        sketch[row] = np.bincount((hashes % np.uint64(SKETCH)).astype(np.int64), sign, SKETCH)
+        digests.append(xxhash.xxh3_128_digest(hashes.tobytes(), SEED))
     packed = np.packbits(sketch @ _projection(bits) > 0, axis=1)
-    return [x.tobytes() for x in packed]
+    return [x.tobytes() + d for x, d in zip(packed, digests)]
 
 
 @dataclass(frozen=True)
 class Linking:
     """How fingerprints are made and which of them link.
 
-    ``keys`` gives the bit positions of each block key for a number of distinct fingerprints.
+    ``keys`` gives the bit positions of each block key for a number of distinct fingerprints. With a
+    ``similarity``, links are candidates, and shingle sets of at least that resemblance link; what follows
+    the ``bits`` in a fingerprint then tells sets apart.
     """
 
     words_each: int
@@ -108,6 +123,7 @@ class Linking:
     distance: int
     keys: Callable[[int], list[tuple[int, ...]]]
     fingerprints: Callable[[list[bytes], int], list[bytes]]
+    similarity: float | None = None
 
 
 def pigeonhole_keys(distance: int, bits: int = 64) -> Callable[[int], list[tuple[int, ...]]]:
@@ -160,12 +176,12 @@ def similar_linking(words_each: int = 5, similarity: float = 0.8, recall: float
 
     mean = share(similarity)
     distance = round(bits * mean + math.sqrt(bits * mean * (1 - mean)))
-    return Linking(words_each, bits, distance, sampled_keys(share(min(1.0, similarity + 0.05)), recall, bits), lambda texts, k: projected(texts, k, bits))
+    return Linking(words_each, bits, distance, sampled_keys(share(min(1.0, similarity + 0.05)), recall, bits), lambda texts, k: projected(texts, k, bits), similarity)
 
 
 def fingerprints(df: DataFrame, how: Linking, id_col: str, text_col: str) -> DataFrame:
     """(id, digest, fp) of each input row: the text's SHA-256 and its fingerprint; narrow, and written once."""
-    packed = df.select(*columns_of(df, id=id_col, text=text_col), _digest(F.col(f"`{text_col}`")).alias("digest"))
+    packed = _texts(df, id_col, text_col)
     schema = T.StructType([packed.schema["id"], packed.schema["digest"], T.StructField("fp", T.BinaryType())])
 
     def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,32 +199,30 @@ def _digest(text) -> F.Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
+def _blocks(prints: pa.Array, keys: list[tuple[int, ...]]) -> Iterator[np.ndarray]:
+    """For each key the bucket of every fingerprint."""
+    raw = np.frombuffer(b"".join(prints.to_pylist()), np.uint8).reshape(len(prints), -1)
+    bits = np.unpackbits(raw, axis=1).astype(np.uint64)
+    for number, places in enumerate(keys):
+        block = (bits[:, places] * (np.uint64(1) << np.arange(len(places), dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
+        yield ((block + np.uint64(number)) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(number << 48)).view(np.int64)
+
+
 def links(prints: DataFrame, how: Linking, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """(a, b): for every bucket of the distinct fingerprints ``fp``, links that connect what is linked in it."""
     n = prints.count()
     keys = how.keys(n)
 
     def dealt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = [(1 << np.arange(len(k), dtype=np.uint64)).astype(np.uint64) for k in keys]
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.column("fp").slice(at, 2048)
-                raw = np.frombuffer(b"".join(part.to_pylist()), np.uint8).reshape(len(part), -1)
-                bits = np.unpackbits(raw, axis=1).astype(np.uint64)
-                for number, (places, weight) in enumerate(zip(keys, weights)):
-                    block = (bits[:, places] * weight).sum(axis=1, dtype=np.uint64)
-                    mixed = (block + np.uint64(number)) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(number << 48)
-                    yield pa.RecordBatch.from_arrays([pa.array(mixed.view(np.int64), pa.int64()), part], names=["bucket", "fp"])
+                for mixed in _blocks(part, keys):
+                    yield pa.RecordBatch.from_arrays([pa.array(mixed, pa.int64()), part], names=["bucket", "fp"])
 
     rows = prints.select("fp").mapInArrow(dealt, "bucket long, fp binary")
     large = durable(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > max_bucket))
-    if not large.isEmpty():
-        sized = rows.join(large, "bucket", "left")
-        cut = F.ceil(F.col("n") / max_bucket).cast("int")
-        mine = F.pmod(F.xxhash64("fp", F.lit(1)), cut).cast("int")
-        every = F.transform(F.sequence(F.lit(0), cut - 1), lambda i: F.struct(F.least(i, mine).alias("i"), F.greatest(i, mine).alias("j")))
-        met = F.when(F.col("n").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(every)
-        rows = sized.select("bucket", "fp", F.explode(met).alias("m")).select(F.xxhash64("bucket", "m.i", "m.j").alias("bucket"), "fp")
+    rows = _cut(rows, large.select("bucket", F.ceil(F.col("n") / max_bucket).cast("int").alias("cut")))
     distance = how.distance
 
     def verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,6 +231,20 @@ def links(prints: DataFrame, how: Linking, max_bucket: int = MAX_BUCKET) -> Data
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(verified, "a binary, b binary")
 
 
+def _cut(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """Rows of the buckets in ``large`` dealt out again so that every two of a bucket's ``cut`` chunks meet in one of its own."""
+    if large.isEmpty():
+        return rows
+    sized = rows.join(large, "bucket", "left")
+    cut = F.col("cut")
+    mine = F.pmod(F.xxhash64("fp", F.lit(1)), cut).cast("int")
+    every = F.transform(F.sequence(F.lit(0), cut - 1), lambda i: F.struct(F.least(i, mine).alias("i"), F.greatest(i, mine).alias("j")))
+    met = F.when(cut.isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(every)
+    others = [c for c in rows.columns if c != "bucket"]
+    dealt = sized.select("bucket", *others, F.explode(met).alias("m"))
+    return dealt.select(F.xxhash64("bucket", "m.i", "m.j").alias("bucket"), *others)
+
+
 def _bucket_links(batches: Iterable[pa.RecordBatch], distance: int) -> Iterator[tuple[bytes, bytes]]:
     """Links within the runs of one bucket; a run may continue in the next batch."""
     buckets, prints = np.empty(0, np.int64), None
@@ -264,17 +292,129 @@ def _forest(prints: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
             left = left[~near]
 
 
-def _grouped(rows: DataFrame, how: Linking, max_bucket: int) -> DataFrame:
+def confirmed(prints: DataFrame, texts: DataFrame, how: Linking, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """(a, b): links between the fingerprints of shingle sets of at least ``how.similarity``, exactly computed.
+
+    ``prints``: (fp, best) with the (id, digest) of a text of that set; ``texts``: (id, digest, text).
+    Candidates by Hamming distance and texts of equal bits but other sets come together by components.
+    Every two sets of a component are compared; of a component too large for that, those that share a block key.
+    """
+    bits = F.substring("fp", 1, how.bits // 8)
+    sketches = durable(prints.groupBy(bits.alias("fp")).agg(F.count("*").alias("n")))
+    same = sketches.where("n > 1").select(F.col("fp").alias("a"), F.col("fp").alias("b"))
+    coarse = components(links(sketches, how, max_bucket).union(same)).select(F.col("node").alias("bits"), F.xxhash64("component").alias("bucket"))
+    near = prints.withColumn("bits", bits).join(coarse, "bits")
+    near = durable(near.select("bucket", "fp", F.col("best.id").alias("mine"), F.col("best.digest").alias("sha")))
+    found = texts.join(near, (F.col("sha") == F.col("digest")) & F.col("mine").eqNullSafe(F.col("id"))).select("bucket", "fp", "text")
+    words_each, similarity = how.words_each, how.similarity
+
+    def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = pa.array([shingle_set(t, words_each).tobytes() for t in utf8(part.column("text"))], pa.binary())
+                sizes = pa.array([len(x) for x in sets.to_pylist()], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("bucket"), part.column("fp"), sizes, sets], names=["bucket", "fp", "size", "shingles"])
+
+    sets = written(found.mapInArrow(made, "bucket long, fp binary, size long, shingles binary"), "shingles")
+    cut = F.greatest(F.ceil(F.count("*") / GROUP_ROWS), F.ceil(F.sum("size") / GROUP_BYTES)).cast("int").alias("cut")
+    large = durable(sets.groupBy("bucket").agg(cut).where("cut > 1"))
+    keys = how.keys(sketches.count())
+    wide = large.where(F.col("cut") > len(keys))
+    if not wide.isEmpty():
+        by_key = _by_key(sets.join(wide, "bucket", "left_semi"), keys, how.bits // 8)
+        sets = sets.join(wide, "bucket", "left_anti").union(by_key)
+        large = durable(sets.groupBy("bucket").agg(cut).where("cut > 1"))
+
+    def verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches_of(_set_links(batches, similarity), pa.schema([("a", pa.binary()), ("b", pa.binary())]))
+
+    met = _cut(sets, large).select("bucket", "fp", "shingles").repartition("bucket").sortWithinPartitions("bucket", "fp")
+    return met.mapInArrow(verified, "a binary, b binary")
+
+
+def _by_key(sets: DataFrame, keys: list[tuple[int, ...]], size: int) -> DataFrame:
+    """The sets once for each block key, in that key's bucket of their component."""
+
+    def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                bits = pa.array([x[:size] for x in part.column("fp").to_pylist()], pa.binary())
+                found = pa.array(np.stack(list(_blocks(bits, keys)), axis=1).tolist(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*part.schema.names, "blocks"])
+
+    named = sets.select("bucket", "fp", "size", "shingles").mapInArrow(blocks, "bucket long, fp binary, size long, shingles binary, blocks array<long>")
+    dealt = named.select("bucket", "fp", "size", "shingles", F.explode("blocks").alias("block"))
+    return dealt.select(F.xxhash64("bucket", "block").alias("bucket"), "fp", "size", "shingles")
+
+
+def _set_links(batches: Iterable[pa.RecordBatch], similarity: float) -> Iterator[tuple[bytes, bytes]]:
+    """Links within the runs of one bucket; repeated rows of a fingerprint follow each other and count once."""
+    now, names, sets = None, [], []
+    for batch in batches:
+        for bucket, fp, shingles in zip(*(batch.column(c).to_pylist() for c in ("bucket", "fp", "shingles"))):
+            if bucket != now:
+                yield from _resembling(names, sets, similarity)
+                now, names, sets = bucket, [], []
+            if not names or names[-1] != fp:
+                names.append(fp)
+                sets.append(shingles)
+    yield from _resembling(names, sets, similarity)
+
+
+def _resembling(names: list[bytes], sets: list[bytes], similarity: float) -> Iterator[tuple[bytes, bytes]]:
+    """A spanning forest of the pairs of sets (ordered uint64) whose resemblance is at least ``similarity``; empty sets link to none."""
+    order = sorted((i for i in range(len(sets)) if sets[i]), key=lambda i: len(sets[i]))
+    if len(order) < 2:
+        return
+    sizes = np.array([len(sets[i]) // 8 for i in order])
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    _, shingles = np.unique(np.frombuffer(b"".join(sets[i] for i in order), np.uint64), return_inverse=True)
+    mark = np.zeros(int(shingles.max()) + 1, np.int32)
+    left = np.ones(len(order), bool)
+    for root in range(len(order)):
+        if not left[root]:
+            continue
+        left[root] = False
+        queue = [root]
+        while queue:
+            at = queue.pop()
+            # only sets of a size that allows the resemblance
+            low = int(np.searchsorted(sizes, sizes[at] * similarity - 1e-6))
+            high = int(np.searchsorted(sizes, sizes[at] / similarity + 1e-6, "right"))
+            rest = low + np.flatnonzero(left[low:high])
+            if not len(rest):
+                continue
+            low, high = int(rest[0]), int(rest[-1]) + 1
+            own = shingles[starts[at] : ends[at]]
+            mark[own] = 1
+            shared = np.add.reduceat(mark[shingles[starts[low] : ends[high - 1]]], starts[low:high] - starts[low])[rest - low]
+            mark[own] = 0
+            near = rest[shared >= similarity * (sizes[rest] + sizes[at] - shared) - 1e-9]
+            for other in near:
+                yield names[order[at]], names[order[other]]
+            left[near] = False
+            queue.extend(near.tolist())
+
+
+def _grouped(rows: DataFrame, how: Linking, max_bucket: int, texts: DataFrame) -> DataFrame:
     """(fp, best): the smallest (id, digest) of the group of each distinct fingerprint; null ids last."""
     own = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("digest"))
     prints = durable(rows.groupBy("fp").agg(F.min(own).alias("best")))
-    found = components(links(prints, how, max_bucket)).select(F.col("node").alias("fp"), "component")
+    edges = links(prints, how, max_bucket) if how.similarity is None else confirmed(prints, texts, how, max_bucket)
+    found = components(edges).select(F.col("node").alias("fp"), "component")
     linked = durable(prints.join(found, "fp"))
     least = linked.groupBy("component").agg(F.min("best").alias("best"))
     joined = linked.select("fp", "component").join(least, "component").select("fp", "best")
     return prints.join(found.select("fp"), "fp", "left_anti").select("fp", "best").union(joined)
 
 
+def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(*columns_of(df, id=id_col, text=text_col), _digest(F.col(f"`{text_col}`")).alias("digest"))
+
+
 def near_duplicates(df: DataFrame, how: Linking, id_col: str = "doc_id", text_col: str = "text", max_bucket: int = MAX_BUCKET) -> DataFrame:
     """One row per input row: id, fp (binary), component_id (smallest id reachable over links).
 
@@ -283,7 +423,7 @@ def near_duplicates(df: DataFrame, how: Linking, id_col: str = "doc_id", text_co
     Repeated rows stay; other columns are ignored; an empty table gives no rows.
     """
     rows = fingerprints(df, how, id_col, text_col)
-    groups = _grouped(rows, how, max_bucket)
+    groups = _grouped(rows, how, max_bucket, _texts(df, id_col, text_col))
     return rows.select("id", "fp").join(groups, "fp").select("id", "fp", F.col("best.id").alias("component_id"))
 
 
@@ -295,7 +435,7 @@ def keep_one_of_each(df: DataFrame, how: Linking, id_col: str = "doc_id", text_c
     """
     rows = fingerprints(df, how, id_col, text_col)
     own = F.struct(F.col("best.id").alias("id"), F.col("best.digest").alias("digest"))
-    winners = _grouped(rows, how, max_bucket).select(own.alias("best")).distinct().select("best.*")
+    winners = _grouped(rows, how, max_bucket, _texts(df, id_col, text_col)).select(own.alias("best")).distinct().select("best.*")
     packed = df.select(whole_row(df).alias("row"), F.col(f"`{id_col}`").alias("mine"), _digest(F.col(f"`{text_col}`")).alias("sha"))
     same = (F.col("sha") == F.col("digest")) & F.col("mine").eqNullSafe(F.col("id"))
     kept = packed.join(winners, same, "left_semi")
