@@ -22,6 +22,7 @@ Two kinds of fingerprints:
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import math
 from collections.abc import Callable, Iterable, Iterator
@@ -45,7 +46,7 @@ SLICE = 1 << 15
 SKETCH = 1024
 MAX_BUCKET = 4096
 #: Buckets up to this size are compared by shifting whole batches, larger ones one by one.
-SMALL_BUCKET = 12
+SMALL_BUCKET = 128
 #: Shingle sets, and bytes of them, in each chunk of a group of candidates; a task holds two chunks.
 GROUP_ROWS = 1024
 GROUP_BYTES = 8 << 20
@@ -144,12 +145,32 @@ def pigeonhole_keys(distance: int, bits: int = 64) -> Callable[[int], list[tuple
     return keys
 
 
-def sampled_keys(differing: float, recall: float, bits: int = 256) -> Callable[[int], list[tuple[int, ...]]]:
-    """Seeded bit subsets; two fingerprints that differ in a ``differing`` share of bits share a key with probability ``recall``."""
+def found_share(differing: float, distance: int, length: int, tables: int, bits: int = 256) -> float:
+    """The chance that two fingerprints link whose bits differ with probability ``differing`` each.
+
+    They must differ in at most ``distance`` bits and agree on all bits of one of the keys. All keys see the
+    same differing bits, so the chance is taken for each number of those and then averaged.
+    """
+    total = 0.0
+    for d in range(min(distance, bits - length) + 1):
+        ways = math.lgamma(bits + 1) - math.lgamma(d + 1) - math.lgamma(bits - d + 1)
+        odds = math.exp(ways + d * math.log(differing) + (bits - d) * math.log(1 - differing))
+        agree = math.prod((bits - d - i) / (bits - i) for i in range(length))
+        total += odds * (1 - (1 - agree) ** tables)
+    return total
+
+
+def sampled_keys(differing: float, recall: float, distance: int, bits: int = 256) -> Callable[[int], list[tuple[int, ...]]]:
+    """Seeded bit subsets, as many as make fingerprints whose bits differ with probability ``differing`` link with probability ``recall``.
+
+    They grow longer with the number of fingerprints, so that buckets stay small, and then more of them are needed.
+    """
+    if found_share(differing, distance, 12, 1 << 30, bits) < recall:
+        raise ValueError(f"a distance of {distance} is too small for a recall of {recall}")
 
     def keys(n: int) -> list[tuple[int, ...]]:
-        length = max(12, math.ceil(math.log2(max(n, 2) / 4)))
-        tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differing) ** length))
+        length = max(12, math.ceil(math.log2(max(n, 1) / MEAN_BUCKET)))
+        tables = bisect.bisect_left(range(1 << 20), recall, key=lambda t: found_share(differing, distance, length, t, bits))
         rng = np.random.default_rng(SEED)
         return [tuple(int(x) for x in rng.choice(bits, length, replace=False)) for _ in range(tables)]
 
@@ -161,22 +182,19 @@ def hamming_linking(words_each: int = 3, distance: int = 3) -> Linking:
     return Linking(words_each, 64, distance, pigeonhole_keys(distance), lambda texts, k: [votes(t, k) for t in texts])
 
 
-def similar_linking(words_each: int = 5, similarity: float = 0.8, recall: float = 0.97) -> Linking:
+def similar_linking(words_each: int = 5, similarity: float = 0.8, recall: float = 0.99) -> Linking:
     """Projected fingerprints for a resemblance (Jaccard) of shingles of at least ``similarity``.
 
-    Sets of resemblance J have a cosine of 2J / (1 + J), and bits differ with probability
-    arccos(cosine) / pi. The bound on differing bits lies one standard deviation above that mean, so
-    most pairs right at the threshold link too. ``recall`` is that of block keys at a resemblance
-    of 0.05 above the threshold; it rises quickly with the resemblance.
+    Sets of resemblance J have a cosine of at least 2J / (1 + J), and bits differ with probability
+    arccos(cosine) / pi. The bound on differing bits lies three and a half standard deviations above that mean.
+    ``recall`` is the chance that a pair right at the threshold becomes a candidate, whatever the number of
+    fingerprints; it rises quickly with the resemblance. What the candidates resemble is computed exactly.
     """
     bits = 256
-
-    def share(j: float) -> float:
-        return math.acos(min(1.0, 2 * j / (1 + j))) / math.pi
-
-    mean = share(similarity)
-    distance = round(bits * mean + math.sqrt(bits * mean * (1 - mean)))
-    return Linking(words_each, bits, distance, sampled_keys(share(min(1.0, similarity + 0.05)), recall, bits), lambda texts, k: projected(texts, k, bits), similarity)
+    differing = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    distance = round(bits * differing + 3.5 * math.sqrt(bits * differing * (1 - differing)))
+    keys = sampled_keys(differing, recall, distance, bits)
+    return Linking(words_each, bits, distance, keys, lambda texts, k: projected(texts, k, bits), similarity)
 
 
 def fingerprints(df: DataFrame, how: Linking, id_col: str, text_col: str) -> DataFrame:
@@ -267,13 +285,22 @@ def _linked(buckets: np.ndarray, prints: np.ndarray, distance: int) -> Iterator[
     raw = prints.astype(">u8")
     starts = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]])
     sizes = np.diff(np.r_[starts, len(buckets)])
-    small = np.repeat(sizes <= SMALL_BUCKET, sizes)
-    for shift in range(1, min(SMALL_BUCKET, int(sizes.max()))):
-        at = np.flatnonzero((buckets[shift:] == buckets[:-shift]) & small[shift:])
-        near = np.bitwise_count(prints[at] ^ prints[at + shift]).sum(axis=1) <= distance
-        for i in at[near]:
-            yield raw[i].tobytes(), raw[i + shift].tobytes()
-    for start, size in zip(starts[sizes > SMALL_BUCKET], sizes[sizes > SMALL_BUCKET]):
+    number = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.flatnonzero(sizes[number] <= SMALL_BUCKET)
+    pairs = []
+    for shift in range(1, SMALL_BUCKET):
+        at = at[at < len(buckets) - shift]
+        at = at[number[at + shift] == number[at]]
+        if not len(at):
+            break
+        near = at[np.bitwise_count(prints[at] ^ prints[at + shift]).sum(axis=1) <= distance]
+        pairs.append(np.stack([near, near + shift]))
+    found = np.concatenate(pairs, axis=1) if pairs else np.empty((2, 0), np.int64)
+    # a bucket with many pairs gives a forest too
+    dense = (sizes > SMALL_BUCKET) | (np.bincount(number[found[0]], minlength=len(sizes)) > 2 * sizes)
+    for i, j in found[:, ~dense[number[found[0]]]].T:
+        yield raw[i].tobytes(), raw[j].tobytes()
+    for start, size in zip(starts[dense], sizes[dense]):
         for i, j in _forest(prints[start : start + size], distance):
             yield raw[start + i].tobytes(), raw[start + j].tobytes()
 

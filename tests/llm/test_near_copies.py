@@ -77,6 +77,30 @@ def test_large_groups_are_compared_exactly(spark, monkeypatch, most):
     assert len(kept_ids(rows)) == 121
 
 
+@pytest.mark.parametrize("n", [10**3, 10**5, 10**6, 10**8, 10**9])
+def test_recall_at_the_threshold_holds_for_every_number(n):
+    how = simhash.similar_linking()
+    keys = np.array(how.keys(n))
+    rng = np.random.default_rng(n)
+    differ = rng.random((3000, how.bits)) < np.arccos(1.6 / 1.8) / np.pi
+    shared = np.zeros(len(differ), bool)
+    for key in keys:
+        shared |= ~differ[:, key].any(axis=1)
+    assert np.mean(shared & (differ.sum(axis=1) <= how.distance)) > 0.98
+
+
+def test_edited_copies_are_found(spark):
+    rng = random.Random(5)
+    rows = numbered(t for _ in range(250) for t in alike(rng, 2, 0.81))
+    want = kept_ids_of_pairs(rows)
+    assert len(want) == 250
+    assert len(kept(spark, rows)) <= 256  # an expected recall of 0.99 of 250 pairs
+
+
+def kept_ids_of_pairs(rows):
+    return [i for pair in zip(rows[::2], rows[1::2]) for i in kept_ids(pair)]
+
+
 def test_set_links_span_what_is_alike():
     rng = np.random.default_rng(4)
     base = [np.unique(rng.integers(0, 1 << 62, 100, np.uint64)) for _ in range(3)]
