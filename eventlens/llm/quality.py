@@ -196,7 +196,7 @@ def judged(
     """(row, host, path, p_text, p_host, p_path, p_good, accepted) of every input row.
 
     p_text: the classifier alone; p_host and p_path: the site's posterior means without the row's own
-    evidence; p_good: both combined; accepted: p_good of at least ``threshold``. A null text counts as empty;
+    evidence, its label or else p_text; p_good: both combined; accepted: p_good of at least ``threshold``. A null text counts as empty;
     null hosts and paths are sites of their own. Without labels of both kinds every p_text is one half and
     all rows are accepted. Repeated rows are judged alike; an empty table gives no rows.
     """
@@ -206,12 +206,12 @@ def judged(
     slim = scored(df, classifier, *names, F.lit(True)).drop("row")
     rows = scored(df, classifier, *names, row if row is not None else whole_row(df))
     known = labelled(labels, id_col).withColumnRenamed("id", "labelled_id")
-    evidence = slim.join(known, F.col("id") == F.col("labelled_id"), "left")
-    found = sites(evidence.select("host", "path", F.coalesce("label", "p").alias("evidence")))
+    told = lambda scores: scores.join(known, F.col("id") == F.col("labelled_id"), "left").withColumn("evidence", F.coalesce("label", "p"))
+    found = sites(told(slim).select("host", "path", "evidence"))
     table = found.table.withColumnsRenamed({"host": "h", "path": "q"})
-    at = rows.join(table, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")))
-    p_host = (F.col("hs") - F.col("p") + found.host_strength * found.mean) / (F.col("hn") - 1 + found.host_strength)
-    p_path = (F.col("s") - F.col("p") + found.path_strength * F.col("p_host")) / (F.col("n") - 1 + found.path_strength)
+    at = told(rows).join(table, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")))
+    p_host = (F.col("hs") - F.col("evidence") + found.host_strength * found.mean) / (F.col("hn") - 1 + found.host_strength)
+    p_path = (F.col("s") - F.col("evidence") + found.path_strength * F.col("p_host")) / (F.col("n") - 1 + found.path_strength)
     bounded = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
     at = at.withColumn("p_host", bounded(p_host)).withColumn("p_path", bounded(p_path))
     logit = _logit(F.col("p")) + _logit(F.col("p_path")) - _logit(F.lit(found.mean))
