@@ -72,25 +72,65 @@ def verdict_of(rule: Column, rules: list[Rule]) -> Column:
     return F.when(rule.isNull(), F.lit(None)).when(rule.isin(sorted(allowed)), F.lit("allow")).otherwise(F.lit("block"))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path that starts with ``/`` without its ``.`` and ``..`` segments (RFC 3986, 5.2.4)."""
+    parts = F.split(path, "/", -1)
+    closed = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    start = F.array().cast("array<string>")
+    up = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+    step = lambda done, x: F.when(x == "..", up(done)).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    kept = F.aggregate(F.slice(closed, 2, F.greatest(F.size(closed) - 1, F.lit(0))), start, step)
+    return F.when(path.rlike(r"/\.{1,2}(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
+
+
+def address(url: Column) -> Column:
+    """An address as a node: trimmed, ``&amp;`` read as ``&``, without dot segments and what follows a ``#``."""
+    plain = F.regexp_replace(F.trim(F.replace(url, F.lit("&amp;"), F.lit("&"))), "(?s)#.*$", "")
+    part = lambda group: F.regexp_extract(plain, r"(?s)^([^?]*?://[^/?]*)([^?]*)(.*)$", group)
+    return F.when(plain.rlike(r"(?s)^[^?]*?://[^?]*/\.{1,2}(/|\?|$)"), F.concat(part(1), _without_dots(part(2)), part(3))).otherwise(plain)
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """The address that a link's target means on a page at ``base`` (RFC 3986, 5.2); null if it is none with ``://``, or empty."""
+    plain = F.regexp_replace(F.trim(F.replace(target, F.lit("&amp;"), F.lit("&"))), "(?s)#.*$", "")
+    own = F.regexp_replace(F.trim(F.replace(base, F.lit("&amp;"), F.lit("&"))), "(?s)#.*$", "")
+    site = F.regexp_extract(own, r"(?s)^([^/?]*?://[^/?]*)", 1)
+    path = F.regexp_extract(own, r"(?s)^[^/?]*?://[^/?]*([^?]*)", 1)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1))
+    whole = (
+        F.when(plain == "", F.lit(None))
+        .when(plain.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.when(plain.contains("://"), plain))
+        .when(site == "", F.lit(None))
+        .when(plain.startswith("//"), F.concat(F.regexp_extract(site, r"(?s)^(.*?:)//", 1), plain))
+        .when(plain.startswith("/"), F.concat(site, plain))
+        .when(plain.startswith("?"), F.concat(site, path, plain))
+        .otherwise(F.concat(site, folder, plain))
+    )
+    return address(whole)
+
+
 def alias_links(df: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(a, b): from each page's address to its canonical link and to the target of an immediate redirect.
 
-    Reads ``<link rel=canonical href=...>`` and ``<meta http-equiv=refresh content="0; url=...">``,
-    attributes in either order. Addresses count without what follows a ``#``. Only absolute ones link.
+    Reads ``<link rel=canonical href=...>``, also among other words of ``rel``, and ``<meta http-equiv=refresh
+    content="0; url=...">``, attributes in either order. Targets are resolved against the page's first
+    ``<base href=...>``, if there is one, and its address. Ends are as ``address`` gives them.
     """
     html = F.col("html")
-    quoted = r"""\s*=\s*["']?([^"'>\s]+)"""
-    tags = F.concat(
-        F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"), F.lit(0)),
-        F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"), F.lit(0)),
-    )
+    value = r"""\s*=\s*["']?\s*([^"'>\s]+)"""
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
     pages = df.select(*columns_of(df, url=url_col, html=html_col)).where("url is not null and html is not null")
     hinted = pages.where(html.rlike(r"(?i)\bcanonical\b|\bhttp-equiv\b"))
-    tagged = hinted.select("url", F.explode(tags).alias("tag"))
-    href = F.regexp_extract("tag", rf"(?is)\bhref{quoted}", 1)
-    target = F.when(F.col("tag").rlike(r"(?i)^<link"), href).otherwise(F.regexp_extract("tag", r"""(?is)\burl\s*=\s*["']?([^"'>\s]+)""", 1))
-    plain = lambda url: F.regexp_replace(F.trim(F.replace(url, F.lit("&amp;"), F.lit("&"))), "#.*$", "")
-    return tagged.select(plain(F.col("url")).alias("a"), plain(target).alias("b")).where("b like '%://%'")
+    named = F.regexp_extract(html, rf"(?is)<base\b[^>]*?\shref{value}", 1)
+    based = hinted.withColumn("base", F.coalesce(resolved(named, F.col("url")), F.col("url")))
+    tagged = based.select("url", "base", F.explode(tags).alias("tag"))
+    rel = r"""\brel\s*=\s*(?:"([^"]*)"|'([^']*)'|([^"'\s>]+))"""
+    words = F.concat(*[F.regexp_extract("tag", f"(?is){rel}", i) for i in (1, 2, 3)])
+    canonical = F.col("tag").rlike(r"(?i)^<link") & words.rlike(r"(?i)(^|\s)canonical(\s|$)")
+    refresh = F.col("tag").rlike(r"(?i)^<meta") & F.col("tag").rlike(r"""(?i)\bhttp-equiv\s*=\s*["']?\s*refresh\b""")
+    href, url = F.regexp_extract("tag", rf"(?is)\bhref{value}", 1), F.regexp_extract("tag", rf"(?is)\burl{value}", 1)
+    linked = tagged.select("url", "base", F.when(canonical, href).when(refresh, url).alias("target")).where("target <> ''")
+    return linked.select(address(F.col("url")).alias("a"), resolved(F.col("target"), F.col("base")).alias("b")).where("b is not null")
 
 
 def judge(df: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html", links: DataFrame | None = None, default: str = "allow") -> DataFrame:
@@ -103,8 +143,8 @@ def judge(df: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: st
     to nothing. Repeated rows are judged alike. Other columns are ignored; an empty table gives none.
     """
     rows = df.select(*columns_of(df, id=id_col, url=url_col))
-    rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url")), "node": F.regexp_replace("url", "#.*$", "")})
-    edges = links.select("a", "b") if links is not None else None
+    rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url")), "node": address(F.col("url"))})
+    edges = links.select(address(F.col("a")).alias("a"), address(F.col("b")).alias("b")) if links is not None else None
     if html_col is not None:
         found = alias_links(df, url_col, html_col)
         edges = found if edges is None else edges.union(found)
