@@ -48,7 +48,7 @@ MAX_BUCKET = 4096
 #: Buckets up to this size are compared by shifting whole batches, larger ones one by one.
 SMALL_BUCKET = 128
 #: Shingle sets, and bytes of them, in each chunk of a group of candidates; a task holds two chunks.
-GROUP_ROWS = 1024
+GROUP_ROWS = 2048
 GROUP_BYTES = 8 << 20
 #: Fingerprints that a block key should bring together on average, at most.
 MEAN_BUCKET = 64
@@ -329,8 +329,10 @@ def confirmed(prints: DataFrame, texts: DataFrame, how: Linking, max_bucket: int
     bits = F.substring("fp", 1, how.bits // 8)
     sketches = durable(prints.groupBy(bits.alias("fp")).agg(F.count("*").alias("n")))
     same = sketches.where("n > 1").select(F.col("fp").alias("a"), F.col("fp").alias("b"))
-    coarse = components(links(sketches, how, max_bucket).union(same)).select(F.col("node").alias("bits"), F.xxhash64("component").alias("bucket"))
-    near = prints.withColumn("bits", bits).join(coarse, "bits")
+    # hashes do here, and are short: a collision only brings more sets together
+    edges = links(sketches, how, max_bucket).union(same).select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
+    coarse = components(edges).select(F.col("node").alias("bits"), F.col("component").alias("bucket"))
+    near = prints.withColumn("bits", F.xxhash64(bits)).join(coarse, "bits")
     near = durable(near.select("bucket", "fp", F.col("best.id").alias("mine"), F.col("best.digest").alias("sha")))
     found = texts.join(near, (F.col("sha") == F.col("digest")) & F.col("mine").eqNullSafe(F.col("id"))).select("bucket", "fp", "text")
     words_each, similarity = how.words_each, how.similarity
