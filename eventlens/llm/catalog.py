@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlens.llm import bpe, chat, decontaminate, exact_dedup, langid, quality, sharding, simhash, url_filter, warc
+from eventlens.llm import bpe, chat, decontaminate, exact_dedup, langid, merkle, quality, sharding, simhash, url_filter, warc
 from eventlens.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -205,3 +205,53 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+def _leaf_sql(n_chars: str) -> str:
+    fields = ("doc_id", "source", "lang", n_chars, "text")
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}::VARCHAR) || ':' || {f}::VARCHAR, '-')" for f in fields) + ")"
+
+
+_CRC32 = """(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, strlen({0}::VARCHAR)), lambda i: ascii(substr({0}::VARCHAR, i + 1, 1))::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(0, 8)), lambda x, k: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))))"""
+
+
+@query(
+    rf"""
+    WITH RECURSIVE leaves AS (
+      SELECT doc_id, lang, {_leaf_sql('n_chars')} AS leaf,
+        CASE WHEN xor({_CRC32.format('doc_id')}, 4294967295) % 7 = 0 THEN {_leaf_sql('(n_chars + 1)')} ELSE {_leaf_sql('n_chars')} END AS now,
+        row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos
+      FROM documents
+    ), tiers AS (
+      SELECT lang, 0 AS level, list(leaf ORDER BY pos) AS nodes FROM leaves GROUP BY lang
+      UNION ALL
+      SELECT lang, level + 1, list_transform(range(1, (len(nodes) + 3) // 2), lambda i: sha256(nodes[2 * i - 1] || coalesce(nodes[2 * i], ''))) FROM tiers WHERE len(nodes) > 1
+    ), tops AS (SELECT lang, nodes[1] AS subroot, level AS height, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS pos FROM tiers WHERE len(nodes) = 1),
+    upper AS (
+      SELECT 0 AS level, (SELECT list(subroot ORDER BY pos) FROM tops) AS nodes
+      UNION ALL
+      SELECT level + 1, list_transform(range(1, (len(nodes) + 3) // 2), lambda i: sha256(nodes[2 * i - 1] || coalesce(nodes[2 * i], ''))) FROM upper WHERE len(nodes) > 1
+    ), stacked AS (
+      SELECT t.lang, t.level, t.nodes, NULL::BIGINT AS pos FROM tiers t WHERE len(t.nodes) > 1
+      UNION ALL SELECT o.lang, o.height + u.level, u.nodes, o.pos >> u.level FROM tops o, upper u WHERE len(u.nodes) > 1
+    ), climb AS (
+      SELECT doc_id, lang, pos, 0 AS step, now AS digest, '' AS siblings FROM leaves
+      UNION ALL
+      SELECT c.doc_id, c.lang, c.pos, c.step + 1,
+        sha256(CASE WHEN here % 2 = 0 THEN c.digest || coalesce(s.nodes[here + 2], '') ELSE s.nodes[here] || c.digest END),
+        c.siblings || CASE WHEN here % 2 = 0 THEN coalesce(s.nodes[here + 2], '') ELSE s.nodes[here] END
+      FROM climb c JOIN (SELECT * FROM stacked) s ON s.lang IS NOT DISTINCT FROM c.lang AND s.level = c.step, LATERAL (SELECT coalesce(s.pos, c.pos >> c.step) AS here)
+    ), ends AS (SELECT doc_id, arg_max(digest, step) AS folded_root, arg_max(siblings, step) AS siblings FROM climb GROUP BY doc_id)
+    SELECT l.doc_id, l.leaf, t.subroot, r.nodes[1] AS root, sha256(e.siblings) AS proof_sha256, e.folded_root, e.folded_root = r.nodes[1] AS verified
+    FROM leaves l JOIN tops t ON t.lang IS NOT DISTINCT FROM l.lang JOIN ends e ON e.doc_id = l.doc_id JOIN upper r ON len(r.nodes) = 1
+    """
+)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    leaf, other = (merkle.digest_of(F.col("doc_id"), F.col("source"), F.col("lang"), n, F.col("text")) for n in (F.col("n_chars"), F.col("n_chars") + 1))
+    leaves = docs.select("lang", "doc_id", leaf.alias("leaf"), F.when(tampered & F.col("n_chars").isNotNull(), other).alias("replaced"))
+    found = merkle.manifest(leaves, group="lang", key="doc_id", digest="leaf", replaced="replaced")
+    verified = (F.col("folded_root") == F.col("root")).alias("verified")
+    return found.select(F.col("key").alias("doc_id"), F.col("digest").alias("leaf"), "subroot", "root", "proof_sha256", "folded_root", verified)
