@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlens.llm import bpe, chat, decontaminate, exact_dedup, langid, merkle, quality, sharding, simhash, url_filter, warc
+from eventlens.llm import bpe, chat, decontaminate, exact_dedup, langid, licenses, merkle, quality, sharding, simhash, url_filter, warc
 from eventlens.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -207,6 +207,23 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["phrase"])
+    names = lambda spans: F.array_join(F.array_sort(F.array_distinct(spans["label"])), ",")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(base["start"]).alias("first_word"),
+        F.array_max(base["start"]).alias("last_word"),
+        names(base).alias("base_labels"),
+        names(F.col("spans")).alias("labels"),
+        F.coalesce(F.array_max(F.col("spans")["cover"]), F.lit(0.0)).alias("score"),
+    )
+
+
 def _leaf_sql(n_chars: str) -> str:
     fields = ("doc_id", "source", "lang", n_chars, "text")
     return "sha256(" + " || ".join(f"coalesce(strlen({f}::VARCHAR) || ':' || {f}::VARCHAR, '-')" for f in fields) + ")"
