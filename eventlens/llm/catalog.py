@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlens.llm import bpe, chat, decontaminate, exact_dedup, langid, licenses, merkle, quality, sharding, simhash, url_filter, warc
+from eventlens.llm import bpe, chat, decontaminate, exact_dedup, langid, licenses, merkle, prefix_trie, quality, sharding, simhash, url_filter, warc
 from eventlens.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -207,6 +207,39 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, strlen({0}::VARCHAR)), lambda i: ascii(substr({0}::VARCHAR, i + 1, 1))::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(0, 8)), lambda x, k: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"""
+
+
+@query(
+    rf"""
+    WITH said AS (
+      SELECT conv_id, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS sign,
+        len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+      FROM conversations WHERE conv_id IS NOT NULL
+    ), own AS (SELECT conv_id, list(sign ORDER BY turn NULLS FIRST, sign) AS signs, list(words ORDER BY turn NULLS FIRST, sign) AS words FROM said GROUP BY conv_id),
+    taken AS (SELECT *, {_CRC32.format('conv_id')} % 4 AS h FROM own),
+    whole AS (
+      SELECT t.conv_id, list_concat(coalesce(b.signs[1:t.h], []), t.signs[t.h + 1:]) AS signs, list_concat(coalesce(b.words[1:t.h], []), t.words[t.h + 1:]) AS words
+      FROM taken t LEFT JOIN own b ON b.conv_id = t.conv_id - t.conv_id % 20
+    ), steps AS (SELECT conv_id, signs, words, unnest(range(0, len(signs) + 1)) AS depth FROM whole),
+    nodes AS (
+      SELECT signs[1:depth] AS node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(CASE WHEN depth > 0 THEN words[depth] ELSE 0 END) AS words,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len(signs) = depth), '')) AS ends_sha256
+      FROM steps GROUP BY ALL
+    ), kids AS (SELECT node[1:depth - 1] AS node, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+    up AS (
+      SELECT n.node[1:d] AS node, sum((n.n_convs - 1) * n.words)::BIGINT AS saved_tokens, count(*) FILTER (WHERE k.n IS NULL) AS n_leaves
+      FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM nodes) n LEFT JOIN kids k ON k.node = n.node GROUP BY ALL
+    )
+    SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, u.n_leaves, u.saved_tokens, n.ends_sha256
+    FROM nodes n LEFT JOIN nodes p ON n.depth > 0 AND p.node = n.node[1:n.depth - 1] LEFT JOIN kids k ON k.node = n.node JOIN up u ON u.node = n.node
+    """
+)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 @query()
 def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
@@ -229,15 +262,11 @@ def _leaf_sql(n_chars: str) -> str:
     return "sha256(" + " || ".join(f"coalesce(strlen({f}::VARCHAR) || ':' || {f}::VARCHAR, '-')" for f in fields) + ")"
 
 
-_CRC32 = """(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, strlen({0}::VARCHAR)), lambda i: ascii(substr({0}::VARCHAR, i + 1, 1))::BIGINT)),
-    lambda c, b: list_reduce(list_prepend(xor(c, b), range(0, 8)), lambda x, k: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))))"""
-
-
 @query(
     rf"""
     WITH RECURSIVE leaves AS (
       SELECT doc_id, lang, {_leaf_sql('n_chars')} AS leaf,
-        CASE WHEN xor({_CRC32.format('doc_id')}, 4294967295) % 7 = 0 THEN {_leaf_sql('(n_chars + 1)')} ELSE {_leaf_sql('n_chars')} END AS now,
+        CASE WHEN {_CRC32.format('doc_id')} % 7 = 0 THEN {_leaf_sql('(n_chars + 1)')} ELSE {_leaf_sql('n_chars')} END AS now,
         row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos
       FROM documents
     ), tiers AS (
