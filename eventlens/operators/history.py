@@ -137,6 +137,58 @@ def canonical_comments(observations: DataFrame) -> DataFrame:
     )
 
 
+FIRST_SEEN = ("published_at", "observed_at", "page_number", "item_position", "video_key", "author_key")
+
+
+def first_seen(observations: DataFrame) -> DataFrame:
+    """Per source comment its first observation, column by column, and how often it was observed."""
+    return (
+        observations.groupBy("source_comment_id")
+        .agg(F.min(F.struct(*FIRST_SEEN)).alias("_f"), F.count(F.lit(1)).alias("observations"))
+        .select("source_comment_id", md5_uuid(F.col("source_comment_id")).alias("comment_key"), "_f.*", "observations")
+    )
+
+
+def fold_first_seen(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """What `first_seen` gives for all observations, from that of the earlier and of the new ones."""
+
+    def side(df: DataFrame, prefix: str) -> DataFrame:
+        first = F.struct(*FIRST_SEEN).alias(f"_{prefix}f")
+        return df.select("source_comment_id", first, F.col("observations").alias(f"_{prefix}n"))
+
+    both = side(stored, "s").join(side(new, "n"), "source_comment_id", "full_outer")
+    total = F.coalesce("_sn", F.lit(0)) + F.coalesce("_nn", F.lit(0))
+    first = both.select("source_comment_id", F.least("_sf", "_nf").alias("_f"), total.alias("observations"))
+    return first.select("source_comment_id", md5_uuid(F.col("source_comment_id")).alias("comment_key"), "_f.*", "observations")
+
+
+def text_states(observations: DataFrame, key: str = "source_comment_id") -> DataFrame:
+    """Distinct texts per comment, with the instants of their first and last observation."""
+    hashed = observations.withColumn("text_hash", sha256(F.col("text_content")))
+    return hashed.groupBy(key, "text_hash").agg(
+        F.first("text_content").alias("text_content"),
+        F.min("observed_at").alias("observed_at"),
+        F.max("observed_at").alias("last_observed_at"),
+    )
+
+
+def fold_text_states(stored: DataFrame, new: DataFrame, key: str = "source_comment_id") -> DataFrame:
+    renamed = new.select(key, "text_hash", F.struct("text_content", "observed_at", "last_observed_at").alias("_n"))
+    return stored.join(renamed, [key, "text_hash"], "full_outer").select(
+        key,
+        "text_hash",
+        F.coalesce("text_content", "_n.text_content").alias("text_content"),
+        F.least("observed_at", "_n.observed_at").alias("observed_at"),
+        F.greatest("last_observed_at", "_n.last_observed_at").alias("last_observed_at"),
+    )
+
+
+def with_latest(states: DataFrame, key: str = "source_comment_id") -> DataFrame:
+    """Marks the text that was observed last; a text that returns to an earlier state is the latest again."""
+    newest = states.groupBy(key).agg(F.max(F.struct("last_observed_at", "text_hash")).getField("text_hash").alias("_latest"))
+    return states.join(newest, key).withColumn("is_latest_version", F.col("text_hash") == F.col("_latest")).drop("_latest")
+
+
 def text_versions(observations: DataFrame, key: str = "source_comment_id") -> DataFrame:
     """Distinct text states per comment; the latest is the one observed last.
 
@@ -164,6 +216,26 @@ def change_only(
     return seen.filter(~F.col("_cur").eqNullSafe(F.col("_prev"))).drop("_cur", "_prev")
 
 
+def changes_since(
+    stored: DataFrame, snapshots: DataFrame, key: str, order: Sequence[str], values: Sequence[str], hot: int | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """`change_only` in pieces: (changes, late, last) of new snapshots after those that were seen before.
+
+    `stored` holds the last snapshot seen per key (key, order and value columns), changed or not. changes are the
+    snapshots whose values differ from the one before, stored or new; late ones stand at or before the
+    stored snapshot, where the change they would make can't be told any more; last is the new `stored` of the keys.
+    """
+    at = F.struct(*order)
+    known = stored.select(key, at.alias("_at"), F.struct(*values).alias("_known"))
+    placed = snapshots.withColumn("_cur", F.struct(*values)).join(known, key, "left")
+    late = F.col("_at").isNotNull() & (at <= F.col("_at"))
+    fresh = placed.filter(~late)
+    seen = neighbours(fresh, [key], [F.col(o) for o in order], before={"_prev": "_cur"}, hot=hot)
+    changes = seen.filter(~F.col("_cur").eqNullSafe(F.coalesce("_prev", "_known"))).drop("_cur", "_prev", "_at", "_known")
+    last = fresh.groupBy(key).agg(F.max(F.struct(*order, *values)).alias("_last")).select(key, "_last.*")
+    return changes, placed.filter(late).drop("_cur", "_at", "_known"), last
+
+
 def sample_observations(observations: DataFrame) -> DataFrame:
     """Lineage rows: comment x raw page x position."""
     return observations.select(
@@ -175,7 +247,7 @@ def sample_observations(observations: DataFrame) -> DataFrame:
     )
 
 
-def resolution_state(attempts: DataFrame) -> DataFrame:
+def resolution_state(attempts: DataFrame, with_attempt: bool = False) -> DataFrame:
     """Current state per video from the attempt log; retries add up, success clears the error."""
     last = F.max(F.struct("attempted_at", "attempt_id", "status", "error_code"))
     return (
@@ -194,14 +266,36 @@ def resolution_state(attempts: DataFrame) -> DataFrame:
             F.col("_l.attempted_at").alias("updated_at"),
             F.when(F.col("_l.status") != "RESOLVED", F.col("_l.error_code")).alias("last_error_code"),
             "retry_count",
+            *([F.col("_l.attempt_id").alias("last_attempt_id")] if with_attempt else []),
         )
     )
 
 
+def fold_resolution(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """`resolution_state` of all attempts, from the state of the earlier ones and that of the new ones.
+
+    Both have `last_attempt_id` beside the state's columns; attempts come in any order.
+    """
+    last = ["updated_at", "last_attempt_id", "resolution_status", "last_error_code"]
+
+    def side(df: DataFrame, prefix: str) -> DataFrame:
+        rest = ("first_discovered_at", "resolved_at", "retry_count")
+        return df.select("source_id", F.struct(*last).alias(f"_{prefix}l"), *[F.col(c).alias(f"_{prefix}{c}") for c in rest])
+
+    both = side(stored, "s").join(side(new, "n"), "source_id", "full_outer")
+    return both.withColumn("_l", F.greatest("_sl", "_nl")).select(
+        "source_id",
+        "_l.*",
+        F.least("_sfirst_discovered_at", "_nfirst_discovered_at").alias("first_discovered_at"),
+        F.greatest("_sresolved_at", "_nresolved_at").alias("resolved_at"),
+        (F.coalesce("_sretry_count", F.lit(0)) + F.coalesce("_nretry_count", F.lit(0))).alias("retry_count"),
+    )
+
+
 UNIT_KEYS = ("frame_version_key", "channel_key", "window_key", "discovery_policy_version", "query_hash")
 
 
-def unit_state(attempts: DataFrame) -> DataFrame:
+def unit_state(attempts: DataFrame, with_attempt: bool = False) -> DataFrame:
     """Current state per discovery unit; started at the first attempt, errors cleared when completed."""
     last = F.max(F.struct("updated_at", "attempt_id", "status", "error_code", "pages_completed"))
     return (
@@ -215,5 +309,15 @@ def unit_state(attempts: DataFrame) -> DataFrame:
             F.col("_l.updated_at").alias("updated_at"),
             F.when(F.col("_l.status") == "COMPLETED", F.col("_l.updated_at")).alias("completed_at"),
             F.when(F.col("_l.status") != "COMPLETED", F.col("_l.error_code")).alias("last_error_code"),
+            *([F.col("_l.attempt_id").alias("last_attempt_id")] if with_attempt else []),
         )
     )
+
+
+def fold_units(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """`unit_state` of all attempts, from the state of the earlier ones and that of the new ones; see `fold_resolution`."""
+    last = ["updated_at", "last_attempt_id", "status", "pages_completed", "completed_at", "last_error_code"]
+    left = stored.select(*UNIT_KEYS, F.struct(*last).alias("_sl"), F.col("started_at").alias("_s"))
+    right = new.select(*UNIT_KEYS, F.struct(*last).alias("_nl"), F.col("started_at").alias("_n"))
+    both = left.join(right, list(UNIT_KEYS), "full_outer").withColumn("_l", F.greatest("_sl", "_nl"))
+    return both.select(*UNIT_KEYS, "_l.*", F.least("_s", "_n").alias("started_at"))

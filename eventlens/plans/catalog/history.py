@@ -27,7 +27,13 @@ UUID = r"regexp_replace(md5({}), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$',
     UNION ALL SELECT k, new, timestamp '2024-01-01', NULL, TRUE FROM j WHERE changed""",
 )
 def _t1(spark, sf):
-    """Segments as one-element term lists, so a change of case alone keeps the version."""
+    stored, incoming = segment_versions(spark, sf)
+    out = history.scd2_merge(stored, incoming, ["c_custkey"], ["terms"], ntz("2024-01-01 00:00:00"), term_lists=["terms"])
+    return out.withColumn("segment", F.get("terms", F.lit(0))).drop("terms")
+
+
+def segment_versions(spark, sf):
+    """Segments as one-element term lists, so a change of case alone keeps the version; and the incoming ones."""
     customers = table(spark, sf, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
     none = F.lit(None).cast("timestamp_ntz")
     live = customers.select(
@@ -49,15 +55,7 @@ def _t1(spark, sf):
         k, F.array(F.when(k % 3 == 0, F.lit("CHANGED")).otherwise(F.upper("segment"))).alias("terms")
     )
     added = customers.select((k + 10000000).alias("c_custkey"), F.array("segment").alias("terms"))
-    out = history.scd2_merge(
-        live.unionByName(older),
-        changed.unionByName(added),
-        ["c_custkey"],
-        ["terms"],
-        ntz("2024-01-01 00:00:00"),
-        term_lists=["terms"],
-    )
-    return out.withColumn("segment", F.get("terms", F.lit(0))).drop("terms")
+    return live.unionByName(older), changed.unionByName(added)
 
 
 @query(
@@ -94,6 +92,11 @@ def _t3(spark, sf):
 def _t4(spark, sf):
     from eventlens.operators.joins import upsert
 
+    return upsert(*part_prices(spark, sf), ["p_partkey"], ["label", "price"])
+
+
+def part_prices(spark, sf):
+    """Parts, and the sold ones with a new label and price, under twice their number."""
     current = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("label"), F.col("p_retailprice").alias("price"))
     changes = (
         table(spark, sf, "lineitem")
@@ -101,7 +104,7 @@ def _t4(spark, sf):
         .agg(F.max("l_extendedprice").alias("price"))
         .withColumn("label", F.lit("sold"))
     )
-    return upsert(current, changes, ["p_partkey"], ["label", "price"])
+    return current, changes
 
 
 @query(
@@ -269,7 +272,12 @@ _ATTEMPT_STATUS = "CASE o_orderstatus WHEN 'F' THEN 'RESOLVED' WHEN 'O' THEN 'RE
       CAST(sum(retries) AS BIGINT) AS retry_count FROM a GROUP BY source_id""",
 )
 def _t17(spark, sf):
-    attempts = table(spark, sf, "orders").select(
+    return history.resolution_state(video_attempts(spark, sf))
+
+
+def video_attempts(spark, sf):
+    """Orders as attempts to resolve their customer."""
+    return table(spark, sf, "orders").select(
         F.col("o_custkey").alias("source_id"),
         F.col("o_orderdate").alias("attempted_at"),
         F.col("o_orderkey").alias("attempt_id"),
@@ -280,7 +288,6 @@ def _t17(spark, sf):
         F.when(F.col("o_orderstatus") != "F", F.concat(F.lit("E"), "o_orderpriority")).alias("error_code"),
         (F.col("o_orderkey") % 3).alias("retry_count"),
     )
-    return history.resolution_state(attempts)
 
 
 def unit_attempts(spark, sf):

@@ -168,6 +168,11 @@ def _j5(spark, sf):
     FROM customer c FULL JOIN (SELECT o_custkey * 2 AS k, max(o_totalprice) AS total FROM orders GROUP BY ALL) o ON c.c_custkey = o.k""",
 )
 def _j9(spark, sf):
+    return joins.upsert(*customer_balances(spark, sf), ["c_custkey"], ["segment", "balance"])
+
+
+def customer_balances(spark, sf):
+    """Customers, and new balances of those with twice an order's customer number, some of them unknown."""
     current = table(spark, sf, "customer").select(
         "c_custkey", F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance")
     )
@@ -177,7 +182,7 @@ def _j9(spark, sf):
         .agg(F.max("o_totalprice").alias("balance"))
         .withColumn("segment", F.lit("ACTIVE"))
     )
-    return joins.upsert(current, changes, ["c_custkey"], ["segment", "balance"])
+    return current, changes
 
 
 cte(

@@ -130,10 +130,11 @@ def _s3(spark, sf):
     )
 
 
-def comment_pages(spark, sf):
+def comment_page_rows(spark, sf, run=0):
     """Two comments per page: the event and a second one with its optional fields missing.
 
-    Some ids are absent and some times unreadable, for the dead-letter split.
+    Some ids are absent and some times unreadable, for the dead-letter split. Run r retrieves r days later; the
+    second run sees edits and more likes.
     """
     e = F.col("event_id")
 
@@ -153,15 +154,23 @@ def comment_pages(spark, sf):
             ).alias("snippet"),
         )
 
+    later = F.lit(run == 2)
+    text = F.concat("event_type", F.when(later & (e % 5 == 0), F.lit(" edited")).otherwise(F.lit("")))
+    likes = F.floor("value") + F.when(later & (e % 3 == 0), 1).otherwise(0)
     cid = F.when(e % 97 != 0, F.concat(F.lit("c"), e.cast("string")))
     published = F.when(e % 89 == 0, F.lit("not a time")).otherwise(_iso("ts"))
     none = F.lit(None)
-    first = item(cid, published, F.when(F.col("user_id") % 10 != 0, F.col("user_id")), F.col("event_type"), F.floor("value"), e % 4)
+    first = item(cid, published, F.when(F.col("user_id") % 10 != 0, F.col("user_id")), text, likes, e % 4)
     second = item(F.concat(F.lit("d"), e.cast("string")), _iso("ts"), none.cast("bigint"), none, none, none)
     more = F.when(e % 2 == 0, F.concat(F.lit("t"), e.cast("string")))
     payload = F.to_json(F.struct(F.array(first, second).alias("items"), more.alias("nextPageToken")))
     video = F.get_json_object("props", "$.k")
-    pages = table(spark, sf, "events").select(*_pages(video, payload, retrieved=F.col("ts"), next_token=more))
+    retrieved = F.col("ts") + F.make_dt_interval(F.lit(run))
+    return table(spark, sf, "events").select(*_pages(video, payload, retrieved=retrieved, next_token=more), "event_id")
+
+
+def comment_pages(spark, sf):
+    pages = comment_page_rows(spark, sf).drop("event_id")
     return landing.land_raw(pages, "VIDEO", "VIDEO", "commentThreads.list", "run1")
 
 
