@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.config import CAPPED_SCANS
@@ -274,28 +274,55 @@ def reconcile_runs(
     """Six reconciliation checks per run and their conjunction.
 
     `raw_pages` carries item_count, the number of items in the payload; `requests` one row
-    per attempt; `dead_letters` one row per quarantined item.
+    per attempt; `dead_letters` one row per quarantined item. All inputs meet as tagged rows of one union: each
+    is read once, and a run with most of the rows is combined by page and item first.
     """
     key = "ingestion_run_id"
-    ok = requests.filter("http_status = 200").groupBy(key).agg(F.count(F.lit(1)).alias("ok_requests"))
-    bad = (
-        requests.groupBy(key, "page_number")
-        .agg(F.max(F.col("http_status") == 200).alias("recovered"))
-        .groupBy(key)
-        .agg(F.count_if(~F.col("recovered")).alias("failed_pages"))
+
+    def tagged(df: DataFrame, kind: str, part: str | None = None, **values) -> DataFrame:
+        columns = {"items": F.lit(0), "ok": F.lit(False), "pages_requested": F.lit(0), "records_observed": F.lit(0)} | values
+        kinds = {"items": "bigint", "ok": "boolean", "pages_requested": "bigint", "records_observed": "bigint"}
+        part_ = F.col(part).cast("string") if part else F.lit(None).cast("string")
+        return df.select(key, F.lit(kind).alias("kind"), part_.alias("part"), *[v.cast(kinds[c]).alias(c) for c, v in columns.items()])
+
+    rows = (
+        tagged(runs, "run", pages_requested=F.col("pages_requested"), records_observed=F.col("records_observed"))
+        .unionByName(tagged(requests, "request", "page_number", ok=F.coalesce(F.col("http_status") == 200, F.lit(False))))
+        .unionByName(tagged(raw_pages, "page", items=F.col("item_count")))
+        .unionByName(tagged(observations, "parsed", "source_comment_id"))
+        .unionByName(tagged(dead_letters, "dead"))
+        .unionByName(tagged(snapshots, "written", "source_comment_id"))
     )
-    pages = raw_pages.groupBy(key).agg(
-        F.count(F.lit(1)).alias("raw_pages"), F.sum("item_count").alias("raw_items")
+    # one row per run, kind and page or item, combined before the shuffle; then one per run
+    parts = rows.groupBy(key, "kind", "part").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if("ok").alias("n_ok"),
+        F.sum("items").alias("items"),
+        F.max("pages_requested").alias("pages_requested"),
+        F.max("records_observed").alias("records_observed"),
     )
-    parsed = observations.groupBy(key).agg(
-        F.count(F.lit(1)).alias("parsed_items"), F.count_distinct("source_comment_id").alias("parsed_ids")
+
+    def over(kind: str, value) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("kind") == kind, value)), F.lit(0))
+
+    named = F.col("part").isNotNull().cast("bigint")
+    joined = (
+        parts.groupBy(key)
+        .agg(
+            F.count_if(F.col("kind") == "run").alias("runs"),
+            over("run", F.col("pages_requested")).alias("pages_requested"),
+            over("run", F.col("records_observed")).alias("records_observed"),
+            over("request", F.col("n_ok")).alias("ok_requests"),
+            F.count_if((F.col("kind") == "request") & (F.col("n_ok") == 0)).alias("failed_pages"),
+            over("page", F.col("n")).alias("raw_pages"),
+            over("page", F.col("items")).alias("raw_items"),
+            over("parsed", F.col("n")).alias("parsed_items"),
+            over("parsed", named).alias("parsed_ids"),
+            over("dead", F.col("n")).alias("dead_items"),
+            over("written", named).alias("snapshot_ids"),
+        )
+        .filter("runs > 0")
     )
-    dead = dead_letters.groupBy(key).agg(F.count(F.lit(1)).alias("dead_items"))
-    written = snapshots.groupBy(key).agg(F.count_distinct("source_comment_id").alias("snapshot_ids"))
-    joined = runs.select(key, "pages_requested", "records_observed")
-    for part in (ok, bad, pages, parsed, dead, written):
-        joined = joined.join(part, key, "left")
-    counts = ["ok_requests", "failed_pages", "raw_pages", "raw_items", "parsed_items", "parsed_ids", "dead_items", "snapshot_ids"]
     c = F.col
     checks = {
         "pages_persisted": c("ok_requests") == c("raw_pages"),
@@ -305,7 +332,7 @@ def reconcile_runs(
         "no_failed_required_page": c("failed_pages") == 0,
         "counts_consistent": (c("pages_requested") == c("raw_pages")) & (c("records_observed") == c("parsed_items")),
     }
-    out = joined.fillna(0, counts).select(key, *[x.alias(n) for n, x in checks.items()])
+    out = joined.select(key, *[x.alias(n) for n, x in checks.items()])
     verdict = F.lit(True)
     for n in checks:
         verdict = verdict & F.col(n)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from eventlens.functions.times import ntz
@@ -14,7 +15,7 @@ from eventlens.plans.catalog.joins import customer_balances
 from eventlens.plans.catalog.sources import comment_page_rows
 from eventlens.session import scratch
 from eventlens.sources.batches import BatchTables, Layout
-from eventlens.streaming import comments
+from eventlens.streaming import comments, continuity
 
 BUCKETS = 8
 
@@ -147,3 +148,67 @@ def _t18_buckets(spark, sf):
     state = lambda rows: history.unit_state(rows, with_attempt=True)
     out = _in_batches(spark, "unit", unit_attempts(spark, sf), history.UNIT_KEYS, state, history.fold_units)
     return out.drop("frame_version_key", "window_key", "discovery_policy_version")
+
+
+# ------------------------------------------------------------------ continuity as a stream
+# Customers are scopes. Their first run scans the orders before 1996 (some have none: an empty run), three to a page, and was
+# capped for every third scope. The second run scans all orders, for every fifth scope only the newest three with
+# more behind them; some scopes have lost the orders at the watermark by then.
+
+_SCANS = """WITH first AS (SELECT c_custkey AS scope, c_custkey % 3 = 0 AS more, count(o_orderkey) AS n, max(o_orderdate) AS top
+      FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderdate < timestamp '1996-01-01' GROUP BY ALL),
+  run1 AS (SELECT *, NOT more AND n > 0 AS advanced FROM first),
+  ranked AS (SELECT o_custkey AS scope, o_orderkey AS id, o_orderdate AS t, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS pos FROM orders),
+  seen AS (SELECT r.*, CASE WHEN f.advanced THEN f.top END AS w FROM ranked r JOIN run1 f USING (scope)
+    WHERE NOT (r.scope % 4 = 0 AND r.t = f.top AND f.top IS NOT NULL) AND (r.scope % 5 <> 0 OR r.pos <= 3)),
+  crossing AS (SELECT scope, min(pos) FILTER (t < w) AS cross_pos FROM seen GROUP BY ALL),
+  kept AS (SELECT scope, count(*) AS n, max(t) AS top, max(w) AS w FROM seen JOIN crossing USING (scope) WHERE cross_pos IS NULL OR pos < cross_pos GROUP BY ALL),
+  lost AS (SELECT r.scope, count(*) AS n FROM ranked r JOIN run1 f ON f.scope = r.scope AND f.advanced AND r.t = f.top
+    WHERE NOT EXISTS (SELECT 1 FROM seen s JOIN crossing c USING (scope) WHERE s.id = r.id AND (c.cross_pos IS NULL OR s.pos < c.cross_pos)) GROUP BY ALL),
+  run2 AS (SELECT f.scope, CASE WHEN f.advanced THEN f.top END AS w, f.scope % 5 = 0 AS more, cross_pos IS NOT NULL AS crossed,
+    coalesce(l.n, 0) AS lost, coalesce(k.n, 0) AS n, k.top FROM run1 f LEFT JOIN crossing c USING (scope) LEFT JOIN kept k USING (scope) LEFT JOIN lost l USING (scope)),
+  named AS (SELECT *, CASE WHEN crossed AND lost = 0 THEN 'COMPLETE_TO_WATERMARK' WHEN NOT more AND crossed THEN 'POTENTIAL_GAP' WHEN NOT more THEN 'COMPLETE_TO_WATERMARK'
+    WHEN w IS NULL THEN 'INITIAL_LOAD_CAPPED' ELSE 'CAPPED_BEFORE_WATERMARK' END AS status FROM run2)"""
+
+
+@query(
+    "x2_continuity_stream",
+    f"""{_SCANS}
+    SELECT scope, 1 AS run_number, CASE WHEN more THEN 'INITIAL_LOAD_CAPPED' ELSE 'COMPLETE_TO_WATERMARK' END AS continuity_status, 0 AS remaining_boundary_ids,
+      n AS records_observed, NULL::TIMESTAMP AS committed_watermark_at, top AS candidate_watermark_at, advanced AS watermark_advanced,
+      CASE WHEN advanced THEN top END AS next_watermark_at FROM run1
+    UNION ALL SELECT scope, 2, status, lost, n, w, top, status = 'COMPLETE_TO_WATERMARK' AND top IS NOT NULL,
+      CASE WHEN status = 'COMPLETE_TO_WATERMARK' AND top IS NOT NULL THEN top ELSE w END FROM named""",
+)
+def _x2_stream(spark, sf):
+    """Two runs of every scope; some pages of the second one are there before the first is complete."""
+    tables = continuity.continuity_tables(spark, scratch(spark, "continuity"), f"q{uuid.uuid4().hex}", "bigint", BUCKETS)
+    arrived = scratch(spark, "scans")
+    pages = scan_pages(spark, sf)
+    early = (F.col("run_number") == 1) & (~F.col("is_last") | (F.col("scope") % 2 == 0)) | (F.col("run_number") == 2) & ~F.col("is_last")
+    for name, part in (("early", early), ("late", ~early)):
+        pages.filter(part).write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(f"{arrived}/{name}")
+        continuity.run_scans(tables, f"{arrived}/*", f"{tables.root}-state", "bigint")
+    return tables.live("continuity").drop("watermark_reached")
+
+
+def scan_pages(spark, sf):
+    customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("scope"))
+    orders = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("scope"), F.col("o_orderkey").cast("string").alias("source_comment_id"), F.col("o_orderdate").alias("published_at"), "o_orderkey"
+    )
+    old = F.col("published_at") < ntz("1996-01-01 00:00:00")
+    tops = orders.filter(old).groupBy("scope").agg(F.max("published_at").alias("_top"))
+    newest = Window.partitionBy("scope").orderBy(F.col("published_at").desc(), "o_orderkey")
+    second = orders.withColumn("_pos", F.row_number().over(newest)).join(tops, "scope", "left")
+    second = second.filter((F.col("scope") % 5 != 0) | (F.col("_pos") <= 3)).filter(~((F.col("scope") % 4 == 0) & F.coalesce(F.col("published_at") == F.col("_top"), F.lit(False))))
+    pages = []
+    for run, rows, more in ((1, orders.filter(old), F.col("scope") % 3 == 0), (2, second, F.col("scope") % 5 == 0)):
+        place = F.row_number().over(newest) - 1
+        item = F.struct("source_comment_id", "published_at")
+        cut = rows.withColumn("place", place).groupBy("scope", F.floor(F.col("place") / 3).alias("page_number")).agg(F.sort_array(F.collect_list(F.struct("place", item.alias("item")))).alias("items"))
+        cut = customers.join(cut, "scope", "left").withColumn("page_number", F.coalesce("page_number", F.lit(0)))
+        last = F.max("page_number").over(Window.partitionBy("scope")) == F.col("page_number")
+        items = F.coalesce(F.transform("items", lambda i: i["item"]), F.array().cast("array<struct<source_comment_id: string, published_at: timestamp_ntz>>"))
+        pages.append(cut.select("scope", F.lit(run).cast("bigint").alias("run_number"), "page_number", last.alias("is_last"), F.when(last, more).alias("more_pages"), items.alias("items")))
+    return pages[0].unionByName(pages[1])

@@ -82,16 +82,18 @@ class BatchTables:
     def is_marked(self, batch_id: int) -> bool:
         return not self.markers().filter(F.col("batch_id") == batch_id).isEmpty()
 
-    def live(self, name: str, buckets: Iterable[int] | None = None) -> DataFrame:
+    def live(self, name: str, buckets: Iterable[int] | None = None, since: int = 0) -> DataFrame:
         """Rows of marked batches, of some buckets of a keyed table or of all; other files aren't read.
 
+        Of an append table the batches from `since` on.
+
         The batch of each bucket is one number for a bucket, so the filter is as small as the layout.
         """
         layout, rows = self.layouts[name], self.spark.table(self._table(name))
         mine = self.markers().filter(F.col("table_name") == name)
         if not layout.keys:
             batches = [r[0] for r in mine.select("batch_id").distinct().collect()]
-            return rows.filter(F.col("batch_id").isin(batches)).select(*layout.names)
+            return rows.filter(F.col("batch_id").isin([b for b in batches if b >= since])).select(*layout.names)
         last = mine.select("batch_id", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.max("batch_id").alias("last"))
         wanted = None if buckets is None else set(buckets)
         pairs = [(r["bucket"], r["last"]) for r in last.collect() if wanted is None or r["bucket"] in wanted]
@@ -100,6 +102,11 @@ class BatchTables:
             alive = alive | ((F.col("batch_id") == batch) & F.col("bucket").isin([k for k, b in pairs if b == batch]))
         return rows.filter(alive).select(*layout.names)
 
+    def buckets_of(self, name: str, keyed: DataFrame) -> list[int]:
+        """Buckets that the keys of some rows fall into: numbers, no more than the layout has."""
+        bucket = self.layouts[name].bucket().alias("bucket")
+        return sorted(r[0] for r in keyed.select(bucket).distinct().collect())
+
     def batch(self, batch_id: int) -> Batch:
         return Batch(self, batch_id)
 
@@ -153,7 +160,7 @@ class Batch:
         """
         layout = self.tables.layouts[name]
         incoming = durable(incoming)
-        touched = sorted(r[0] for r in incoming.select(layout.bucket().alias("b")).distinct().collect())
+        touched = self.tables.buckets_of(name, incoming)
         if touched:
             self._write(name, rule(self.tables.live(name, touched), incoming), touched)
 
