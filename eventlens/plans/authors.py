@@ -71,6 +71,19 @@ def returning_author_shift(opinions: DataFrame, pre: str, post: Sequence[str], k
     )
 
 
+def returning_author_pairs(opinions: DataFrame, pre: str, post: Sequence[str], keys: Sequence[str] = TARGET) -> DataFrame:
+    """M018 of the baseline against each post window on its own, in one pass over the opinions."""
+    before = F.col("window_type") == pre
+    sums = [F.avg(F.when(before, F.col("valence"))).alias("_pre")]
+    sums += [F.avg(F.when(F.col("window_type") == w, F.col("valence"))).alias(f"_m{i}") for i, w in enumerate(post)]
+    presence = opinions.filter("author_key IS NOT NULL").groupBy(*keys, "salt_version_id", "author_key").agg(*sums)
+    pairs = [F.struct(F.lit(pre).alias("pre_window"), F.lit(w).alias("post_window"), (F.col(f"_m{i}") - F.col("_pre")).alias("delta")) for i, w in enumerate(post)]
+    shared = presence.filter("_pre IS NOT NULL").select(*keys, F.explode(F.array(*pairs)).alias("_p")).select(*keys, "_p.*")
+    return shared.filter("delta IS NOT NULL").groupBy(*keys, "pre_window", "post_window").agg(
+        F.count(F.lit(1)).alias("shared_author_count"), F.avg("delta").alias("m018_returning_author_shift")
+    )
+
+
 def author_window_activity(opinions: DataFrame) -> DataFrame:
     """Comments, channels, mean valence and first sight per author (under its salt), target and window."""
     return (

@@ -147,7 +147,7 @@ cte(
     """
     SELECT event_id AS comment_key, ts AS published_at, event_id, value,
       k AS video_key, k % 20 AS channel_key,
-      CASE WHEN user_id % 10 = 0 THEN NULL ELSE user_id END AS author_key,
+      CASE WHEN user_id % 10 = 0 THEN NULL ELSE user_id END AS author_key, CASE WHEN event_id % 31 = 0 THEN 'salt2' ELSE 'salt1' END AS salt_version_id,
       CASE WHEN k % 7 = 0 THEN 'es' ELSE 'en' END AS language_code,
       (event_id % 100) / 100.0::DOUBLE AS language_confidence,
       CASE k % 5 WHEN 0 THEN 'UNCLASSIFIED' WHEN 1 THEN 'BROAD_REACH_PUBLISHER' WHEN 2 THEN 'CLUB_MEDIA'
@@ -222,7 +222,8 @@ _NEXT = {"click": "error", "error": "purchase", "purchase": "signup", "signup":
 cte(
     "assignments",
     """SELECT o.* EXCLUDE (narrative), a.narrative, a.is_primary,
-      CASE comment_key % 4 WHEN 0 THEN 'SUPPORTS' WHEN 3 THEN 'SUPPORTS' WHEN 1 THEN 'OPPOSES' END AS stance
+      CASE comment_key % 4 WHEN 0 THEN 'SUPPORTS' WHEN 3 THEN 'SUPPORTS' WHEN 1 THEN 'OPPOSES' END AS stance,
+      comment_key % 4 <> 2 OR comment_key % 3 = 0 AS stance_eligible
     FROM opinions o, LATERAL (
       SELECT o.narrative AS narrative, TRUE AS is_primary
       UNION ALL SELECT CASE o.narrative """
@@ -283,7 +284,7 @@ def comments(spark: SparkSession, sf: str) -> DataFrame:
         k.alias("video_key"),
         (k % 20).alias("channel_key"),
         F.when(F.col("user_id") % 10 != 0, F.col("user_id")).alias("author_key"),
-        F.lit("salt1").alias("salt_version_id"),
+        F.when(F.col("event_id") % 31 == 0, F.lit("salt2")).otherwise(F.lit("salt1")).alias("salt_version_id"),
         F.when(k % 7 == 0, F.lit("es")).otherwise(F.lit("en")).alias("language_code"),
         ((e % 100) / hundred).alias("language_confidence"),
         F.get(F.array(*map(F.lit, CHANNEL_TYPE_OF)), (k % 5).cast("int")).alias("channel_type_value"),
@@ -361,6 +362,7 @@ def assignments(rows: DataFrame) -> DataFrame:
         .withColumn("narrative", F.col("_a.n"))
         .withColumn("is_primary", F.col("_a.p"))
         .withColumn("stance", F.when(rest.isin(0, 3), F.lit("SUPPORTS")).when(rest == 1, F.lit("OPPOSES")))
+        .withColumn("stance_eligible", (rest != 2) | (F.col("comment_key") % 3 == 0))
         .drop("_a")
     )
 

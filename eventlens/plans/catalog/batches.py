@@ -12,8 +12,9 @@ from eventlens.operators import history, joins
 from eventlens.plans.catalog.base import ORACLES, query, table
 from eventlens.plans.catalog.history import part_prices, segment_versions, unit_attempts, video_attempts
 from eventlens.plans.catalog.joins import customer_balances
-from eventlens.plans.catalog.sources import comment_page_rows
+from eventlens.plans.catalog.sources import comment_page_rows, video_pages
 from eventlens.session import scratch
+from eventlens.sources import landing, replay
 from eventlens.sources.batches import BatchTables, Layout
 from eventlens.streaming import comments, continuity
 
@@ -212,3 +213,57 @@ def scan_pages(spark, sf):
         items = F.coalesce(F.transform("items", lambda i: i["item"]), F.array().cast("array<struct<source_comment_id: string, published_at: timestamp_ntz>>"))
         pages.append(cut.select("scope", F.lit(run).cast("bigint").alias("run_number"), "page_number", last.alias("is_last"), F.when(last, more).alias("more_pages"), items.alias("items")))
     return pages[0].unionByName(pages[1])
+
+
+# ------------------------------------------------------------------ replay of stored pages
+# Every page asks for a document and its ghost and returns the document. Even documents are known: their duration and language are
+# frozen, every fourth one's snapshot is stored. Links of documents and ghosts to one event.
+
+
+@query(
+    "s7_replay_chain",
+    f"""SELECT 'snapshot' AS table_name, CAST(doc_id AS VARCHAR) AS source_id, CASE WHEN doc_id % 4 = 0 THEN 'stored' ELSE 'new' END AS detail FROM videos
+    UNION ALL SELECT 'video', CAST(doc_id AS VARCHAR), {_line("epoch_us(published_at)", "CASE WHEN doc_id % 2 = 0 THEN 1 ELSE (n_chars % 99) * 60 + 5 END",
+      "CASE WHEN doc_id % 2 = 0 THEN 'xx' WHEN doc_id % 6 = 3 THEN lower(lang) ELSE 'UNKNOWN' END")} FROM videos
+    UNION ALL SELECT 'resolution', CAST(doc_id AS VARCHAR), 'RESOLVED|-|0' FROM videos
+    UNION ALL SELECT 'resolution', 'ghost' || doc_id, 'UNAVAILABLE|NOT_RETURNED|0' FROM videos WHERE doc_id % 11 <> 0
+    UNION ALL SELECT 'link', CAST(doc_id AS VARCHAR), 'ELIGIBLE|-' FROM videos
+    UNION ALL SELECT 'link', 'ghost' || doc_id, CASE WHEN doc_id % 11 <> 0 THEN 'INELIGIBLE|VIDEO_UNAVAILABLE' ELSE 'ELIGIBLE|-' END FROM videos""",
+    "videos",
+)
+def _s7_chain(spark, sf):
+    """All stored pages, replayed twice."""
+    tables = replay.video_tables(spark, scratch(spark, "replay"), f"q{uuid.uuid4().hex}", BUCKETS)
+    raw = written_once(video_pages(spark, sf))
+    number = F.col("source_id").cast("bigint")
+    items = landing.video_items(raw)
+    with tables.batch(0) as batch:
+        stored = landing.new_snapshots(items.limit(0), items.filter(number % 4 == 0))
+        batch.append("snapshot", stored.withColumn("title", F.lit("stored")))
+        known = items.filter(number % 2 == 0).select("source_id", F.lit(None).cast("timestamp_ntz").alias("published_at"), F.lit(1).cast("bigint").alias("duration_seconds"))
+        known = known.withColumns({"is_short": F.lit(True), "short_classification_rule_version": F.lit("v1"), "primary_language_code": F.lit("xx")})
+        batch.load("video", known)
+        ids = F.explode(F.array("source_id", F.concat(F.lit("ghost"), "source_id"))).alias("source_id")
+        none = F.lit(None).cast("string")
+        batch.load("link", items.select(ids).select("source_id", F.lit("EV1").alias("event_version_key"), F.lit("ELIGIBLE").alias("inclusion_status"), none.alias("primary_exclusion_reason")))
+    for number in (1, 2):
+        replay.replay_videos(tables, raw, number)
+    missing = lambda c: F.coalesce(c, F.lit("-"))
+    details = {
+        "snapshot": F.when(F.col("title") == "stored", F.lit("stored")).otherwise(F.lit("new")),
+        "video": F.concat_ws("|", F.unix_micros(F.col("published_at").cast("timestamp")).cast("string"), F.col("duration_seconds").cast("string"), "primary_language_code"),
+        "resolution": F.concat_ws("|", "resolution_status", missing("last_error_code"), F.col("retry_count").cast("string")),
+        "link": F.concat_ws("|", "inclusion_status", missing("primary_exclusion_reason")),
+    }
+    out = None
+    for name, detail in details.items():
+        rows = tables.live(name).select(F.lit(name).alias("table_name"), "source_id", detail.alias("detail"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def written_once(pages):
+    """Landed pages as they lie in storage, so no replay makes them anew."""
+    path = scratch(pages.sparkSession, "pages")
+    pages.write.parquet(path)
+    return pages.sparkSession.read.schema(pages.schema).parquet(path)

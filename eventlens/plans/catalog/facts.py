@@ -87,7 +87,7 @@ def canonical_tables(spark, sf):
 
 @query(
     "e4_opinion_fact",
-    """SELECT t.comment_key, w.event_version_key, w.window_type, t.target, t.video_key, t.channel_key, 'salt1' AS salt_version_id, t.author_key, t.published_at,
+    """SELECT t.comment_key, w.event_version_key, w.window_type, t.target, t.video_key, t.channel_key, t.salt_version_id, t.author_key, t.published_at,
       t.channel_type_value, t.channel_type_value || ' x MIXED_FOCUS' AS stratum_name, round(t.valence, 10) AS valence_score,
       'ACCEPTED' AS valence_status, CAST(t.derision_label AS VARCHAR) AS derision_label, t.derision_status
     FROM targeted t JOIN windows2 w ON published_at >= start_at AND published_at < end_at

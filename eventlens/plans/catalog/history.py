@@ -211,16 +211,14 @@ def _t8(spark, sf):
 @query(
     "t8_change_only_by_video",
     """SELECT video_key, event_id, flag FROM (SELECT video_key, event_id, event_id % 7 < 3 AS flag,
-      lag(event_id % 7 < 3) OVER (PARTITION BY video_key ORDER BY published_at, event_id) AS prev FROM observations WHERE run = 1)
+      lag(event_id % 7 < 3) OVER (PARTITION BY video_key ORDER BY observed_at, event_id) AS prev FROM observations)
     WHERE prev IS DISTINCT FROM flag""",
     "observations",
 )
 def _t8_video(spark, sf):
-    """The same operator with long groups: a state per video over all its comments."""
-    rows = observations(spark, sf).filter("run = 1").select(
-        "video_key", "event_id", "published_at", (F.col("event_id") % 7 < 3).alias("flag")
-    )
-    return history.change_only(rows, "video_key", ["published_at", "event_id"], ["flag"]).drop("published_at")
+    """The same operator with long groups: a state per video over all observations of its comments."""
+    rows = observations(spark, sf).select("video_key", "event_id", "observed_at", (F.col("event_id") % 7 < 3).alias("flag"))
+    return history.change_only(rows, "video_key", ["observed_at", "event_id"], ["flag"]).drop("observed_at")
 
 
 @query(

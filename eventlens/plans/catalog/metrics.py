@@ -271,7 +271,7 @@ def _m007(spark, sf):
 
 cte(
     "presence",
-    f"""SELECT event_version_key, target, author_key,
+    f"""SELECT event_version_key, target, salt_version_id, author_key,
       count(*) FILTER (window_type = '{PRE}') AS n_pre, count(*) FILTER (window_type <> '{PRE}') AS n_post,
       avg(valence) FILTER (window_type = '{PRE}') AS m_pre, avg(valence) FILTER (window_type <> '{PRE}') AS m_post
     FROM opinions WHERE author_key IS NOT NULL GROUP BY ALL""",
@@ -311,6 +311,22 @@ def _m017(spark, sf):
     "presence",
 )
 def _m018(spark, sf):
+    return rounded(authors.returning_author_shift(opinions(spark, sf), PRE, POST), "m018_returning_author_shift")
+
+
+_PAIRS = f"(SELECT '{PRE}' AS pre_window, * FROM (VALUES {', '.join(f"('{w}')" for w in POST)}) p(post_window))"
+
+
+@query(
+    "mart_returning_author_shift",
+    f"""SELECT event_version_key, target, pre_window, post_window, count(*) AS shared_author_count, round(avg(b.m - a.m), 10) AS m018_returning_author_shift
+    FROM (SELECT event_version_key, target, salt_version_id, author_key, window_type, avg(valence) AS m FROM opinions WHERE author_key IS NOT NULL GROUP BY ALL) a
+    JOIN (SELECT event_version_key, target, salt_version_id, author_key, window_type AS post_window, avg(valence) AS m FROM opinions WHERE author_key IS NOT NULL GROUP BY ALL) b
+      USING (event_version_key, target, salt_version_id, author_key)
+    JOIN {_PAIRS} p USING (post_window) WHERE a.window_type = p.pre_window AND a.m IS NOT NULL AND b.m IS NOT NULL GROUP BY ALL""",
+    "opinions",
+)
+def _mart_returning(spark, sf):
     return rounded(marts.mart_returning_author_shift(opinions(spark, sf), PRE, POST), "m018_returning_author_shift")
 
 
@@ -322,7 +338,7 @@ def _m018(spark, sf):
       round(count(*) FILTER (n_pre > 0 AND n_post > 0)::DOUBLE / nullif(count(*) FILTER (n_pre > 0 OR n_post > 0), 0), 10)
         AS m016_author_overlap,
       round(coalesce(sum(n_post) FILTER (n_pre = 0), 0)::DOUBLE / nullif(sum(n_post), 0), 10) AS m017_new_author_contribution
-    FROM (SELECT event_version_key, target, author_key, post_window,
+    FROM (SELECT event_version_key, target, salt_version_id, author_key, post_window,
         count(*) FILTER (window_type = '{PRE}') AS n_pre, count(*) FILTER (window_type = post_window) AS n_post
       FROM opinions, (VALUES {", ".join(f"('{w}')" for w in POST)}) p(post_window)
       WHERE author_key IS NOT NULL GROUP BY ALL) GROUP BY ALL""",
@@ -335,7 +351,7 @@ def _mart_overlap(spark, sf):
 
 @query(
     "mart_author_window_activity",
-    """SELECT event_version_key, target, 'salt1' AS salt_version_id, author_key, window_type, count(DISTINCT comment_key) AS observed_comment_count,
+    """SELECT event_version_key, target, salt_version_id, author_key, window_type, count(DISTINCT comment_key) AS observed_comment_count,
       count(DISTINCT channel_key) AS observed_channel_count, round(avg(valence), 10) AS mean_target_valence,
       min(published_at) AS first_observed_at
     FROM opinions WHERE author_key IS NOT NULL GROUP BY ALL""",
@@ -352,14 +368,14 @@ _SINCE, _LOOKBACK = "2024-01-03 00:00:00", 24
 @query(
     "m029_cross_stratum_participation",
     f"""WITH c AS (SELECT event_id, ts, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
-        user_id * 100 + event_id % 40 AS author FROM events WHERE user_id % 10 <> 0),
+        user_id * 100 + event_id % 40 AS author, CASE WHEN event_id % 31 = 0 THEN 2 ELSE 1 END AS salt FROM events WHERE user_id % 10 <> 0),
       a AS (SELECT *, CASE k % 5 WHEN 0 THEN 'UNCLASSIFIED' WHEN 1 THEN 'BROAD_REACH_PUBLISHER' WHEN 2 THEN 'CLUB_MEDIA'
         WHEN 3 THEN 'ANALYSIS_PUBLISHER' ELSE 'INDEPENDENT_CREATOR' END AS stratum_name FROM c),
-      f AS (SELECT stratum_name, author, min(ts) AS t0 FROM a GROUP BY ALL HAVING min(ts) >= timestamp '{_SINCE}')
+      f AS (SELECT stratum_name, author, salt, min(ts) AS t0 FROM a GROUP BY ALL HAVING min(ts) >= timestamp '{_SINCE}')
     SELECT stratum_name, count(*) AS newly_observed_author_count,
       count(*) FILTER (crossed) AS cross_participating_author_count,
       round(avg(crossed::INT), 10) AS m029_cross_stratum_participation
-    FROM (SELECT f.stratum_name, EXISTS (SELECT 1 FROM a WHERE a.author = f.author AND a.stratum_name <> f.stratum_name
+    FROM (SELECT f.stratum_name, EXISTS (SELECT 1 FROM a WHERE a.author = f.author AND a.salt = f.salt AND a.stratum_name <> f.stratum_name
         AND a.stratum_name IN {_ORIGINS} AND a.ts < f.t0 AND a.ts >= f.t0 - to_hours({_LOOKBACK})) AS crossed FROM f)
     GROUP BY ALL""",
 )
@@ -399,26 +415,51 @@ _DECOMPOSITION = """SELECT event_version_key, target, count(*) FILTER (is_shared
     FROM contributions GROUP BY ALL"""
 
 
+cte(
+    "pair_terms",
+    f"""WITH s AS (SELECT event_version_key, target, pre_window, post_window, stratum_name,
+        count(valence) FILTER (window_type = pre_window) AS n0, count(valence) FILTER (window_type = post_window) AS n1,
+        avg(valence) FILTER (window_type = pre_window) AS s0, avg(valence) FILTER (window_type = post_window) AS s1
+      FROM opinions JOIN {_PAIRS} ON window_type IN (pre_window, post_window) WHERE stratum_name <> 'UNCLASSIFIED' GROUP BY ALL),
+      t AS (SELECT event_version_key, target, pre_window, post_window, sum(n0) AS all0, sum(n1) AS all1 FROM s WHERE n0 >= {N_MIN} AND n1 >= {N_MIN} GROUP BY ALL),
+      w AS (SELECT s.*, n0 >= {N_MIN} AND n1 >= {N_MIN} AS is_shared, n0 / all0 AS v0, n1 / all1 AS v1 FROM s LEFT JOIN t USING (event_version_key, target, pre_window, post_window))
+    SELECT * EXCLUDE (v0, v1), CASE WHEN is_shared THEN v0 END AS w0, CASE WHEN is_shared THEN v1 END AS w1,
+      CASE WHEN is_shared THEN (s0 + s1) / 2 * (v1 - v0) END AS composition_term, CASE WHEN is_shared THEN (v0 + v1) / 2 * (s1 - s0) END AS tone_term FROM w""",
+    "opinions",
+)
+
+
 @query(
     "mart_channel_shift_contribution",
-    f"""SELECT event_version_key, target, stratum_name, n0, n1, is_shared,
-    {", ".join(f"round({c}::DOUBLE, 10) AS {c}" for c in _TERMS)} FROM contributions""",
-    "contributions",
+    f"""SELECT event_version_key, target, pre_window, post_window, stratum_name, n0, n1, is_shared,
+    {", ".join(f"round({c}::DOUBLE, 10) AS {c}" for c in _TERMS)} FROM pair_terms""",
+    "pair_terms",
 )
 def _mart_contribution(spark, sf):
     return rounded(marts.mart_channel_shift_contribution(opinions(spark, sf), PRE, POST, N_MIN), *_TERMS)
 
 
-def decomposition_mart(spark, sf):
-    return marts.mart_channel_shift_decomposition(opinions(spark, sf), PRE, POST, N_MIN, 2)
+_EFFECTS = ("m019_composition_effect", "m020_tone_effect", "shared_shift", "pre_coverage", "post_coverage")
 
 
-@query("mart_channel_shift_decomposition", _DECOMPOSITION, "contributions")
+@query(
+    "mart_channel_shift_decomposition",
+    """SELECT event_version_key, target, pre_window, post_window, shared_strata_count, unpaired_strata_count,
+      CASE WHEN valid THEN round(c, 10) END AS m019_composition_effect, CASE WHEN valid THEN round(t, 10) END AS m020_tone_effect,
+      CASE WHEN valid THEN round(shift, 10) END AS shared_shift, round(n0 / nullif(all0, 0), 10) AS pre_coverage, round(n1 / nullif(all1, 0), 10) AS post_coverage,
+      CASE WHEN valid THEN 'VALID' ELSE 'INSUFFICIENT_STRATA' END AS decomposition_status
+    FROM (SELECT event_version_key, target, pre_window, post_window, count(*) FILTER (is_shared) AS shared_strata_count, count(*) FILTER (NOT is_shared) AS unpaired_strata_count,
+        count(*) FILTER (is_shared) >= 2 AS valid, sum(composition_term) AS c, sum(tone_term) AS t, sum(w1 * s1) - sum(w0 * s0) AS shift,
+        coalesce(sum(n0) FILTER (is_shared), 0) AS n0, coalesce(sum(n1) FILTER (is_shared), 0) AS n1, sum(n0) AS all0, sum(n1) AS all1 FROM pair_terms GROUP BY ALL)""",
+    "pair_terms",
+)
 def _mart_decomposition(spark, sf):
-    out = decomposition_mart(spark, sf)
-    return rounded(
-        out, "m019_composition_effect", "m020_tone_effect", "shared_shift", "pre_coverage", "post_coverage"
-    )
+    return rounded(marts.mart_channel_shift_decomposition(opinions(spark, sf), PRE, POST, N_MIN, 2), *_EFFECTS)
+
+
+def decomposition_mart(spark, sf):
+    """All post windows taken together."""
+    return decomposition.decompose_shift(decomposition.shift_contributions(opinions(spark, sf), PRE, POST, N_MIN), 2)
 
 
 @query(
@@ -492,11 +533,12 @@ _NARRATIVE_VALUES = (
 )
 _NARRATIVE_SQL = f"""
   SELECT {TW}, narrative, eligible_target_opinion_count, accepted_primary_narrative_count, narrative_assignment_count,
-    accepted_stance_assignment_count, round(primaries::DOUBLE / accepted_primary_narrative_count, 10) AS m022_primary_share,
+    accepted_stance_assignment_count, eligible_stance_assignment_count, round(primaries::DOUBLE / accepted_primary_narrative_count, 10) AS m022_primary_share,
     round(instances::DOUBLE / eligible_target_opinion_count, 10) AS m023_multi_label_prevalence,
     m024_broad_reach_share, unclassified_share, m025_support_rate, m026_opposition_rate,
-    round(accepted_stance_assignment_count::DOUBLE / narrative_assignment_count, 10) AS m027_stance_coverage
-  FROM (SELECT {TW}, narrative, count(*) AS narrative_assignment_count, count(stance) AS accepted_stance_assignment_count,
+    round(accepted_stance_assignment_count::DOUBLE / nullif(eligible_stance_assignment_count, 0), 10) AS m027_stance_coverage
+  FROM (SELECT {TW}, narrative, count(*) AS narrative_assignment_count, count(stance) FILTER (stance_eligible) AS accepted_stance_assignment_count,
+      count(*) FILTER (stance_eligible) AS eligible_stance_assignment_count,
       count(*) FILTER (is_primary) AS primaries, count(DISTINCT comment_key) AS instances,
       round(avg((channel_type_value = 'BROAD_REACH_PUBLISHER')::INT), 10) AS m024_broad_reach_share,
       round(avg((channel_type_value = 'UNCLASSIFIED')::INT), 10) AS unclassified_share,
@@ -576,7 +618,7 @@ cte(
 )
 cte(
     "author_clusters",
-    """SELECT target, author_key AS cluster, m_post - m_pre AS num, 1.0::DOUBLE AS den FROM presence
+    """SELECT target, (salt_version_id, author_key) AS cluster, m_post - m_pre AS num, 1.0::DOUBLE AS den FROM presence
     WHERE n_pre > 0 AND n_post > 0""",
     "presence",
 )
@@ -626,7 +668,7 @@ def _r1(spark, sf):
 @query(
     "r1_author_concentration",
     """SELECT sample_type, round(sum(n * n)::DOUBLE / (sum(n) * sum(n)), 10) AS author_concentration
-    FROM (SELECT sample_type, author_key, count(*) AS n FROM comments WHERE author_key IS NOT NULL GROUP BY ALL) GROUP BY ALL""",
+    FROM (SELECT sample_type, salt_version_id, author_key, count(*) AS n FROM comments WHERE author_key IS NOT NULL GROUP BY ALL) GROUP BY ALL""",
     "comments",
 )
 def _r1_authors(spark, sf):
@@ -699,7 +741,7 @@ MINIMUM = MinimumCohort(comments_per_window=100, target_opinions=60, stable_auth
 _MEASURES = """SELECT event_version_key, window_type, comment_count, author_count, opinion_count, strata_count,
     CASE WHEN comment_count < 100 OR author_count < 10 OR coalesce(opinion_count, 0) < 60 OR coalesce(strata_count, 0) < 3
       THEN 'INSUFFICIENT_SAMPLE' ELSE 'OK' END AS sample_status
-  FROM (SELECT event_version_key, window_type, count(*) AS comment_count, count(DISTINCT author_key) AS author_count
+  FROM (SELECT event_version_key, window_type, count(*) AS comment_count, count(DISTINCT (salt_version_id, author_key)) FILTER (author_key IS NOT NULL) AS author_count
       FROM in_window WHERE sample_type = 'CHRONOLOGICAL' AND exclusion_reason IS NULL GROUP BY ALL)
   LEFT JOIN (SELECT event_version_key, window_type, count(*) AS opinion_count, count(DISTINCT stratum_name) AS strata_count
       FROM opinions GROUP BY ALL) USING (event_version_key, window_type)"""
@@ -787,7 +829,7 @@ def _g19_summary(spark, sf):
     "g19_krippendorff_alpha",
     """WITH r AS (SELECT doc_id AS unit, 'q' || quality AS label FROM labels
         UNION ALL SELECT doc_id, 'q' || (1 - toxic) FROM labels
-        UNION ALL SELECT doc_id, 'q' || (n_chars % 2) FROM documents WHERE n_chars % 3 = 0),
+        UNION ALL SELECT doc_id, 'q' || (n_chars % 2) FROM documents),
       u AS (SELECT unit, label, count(*) AS c FROM r GROUP BY ALL),
       s AS (SELECT unit, sum(c) AS m, sum(c * c) AS sq FROM u GROUP BY ALL HAVING sum(c) >= 2),
       t AS (SELECT label, sum(c) AS t FROM u WHERE unit IN (SELECT unit FROM s) GROUP BY ALL)
@@ -796,7 +838,7 @@ def _g19_summary(spark, sf):
 )
 def _g19_alpha(spark, sf):
     labels = table(spark, sf, "labels")
-    docs = table(spark, sf, "documents").filter("n_chars % 3 = 0")
+    docs = table(spark, sf, "documents")
 
     def rating(df, value):
         return df.select(F.col("doc_id").alias("unit"), F.concat(F.lit("q"), value.cast("string")).alias("label"))
@@ -861,7 +903,6 @@ for _mart, _metric in (
     ("mart_complete_window_coverage_stratum", "m005_complete_window_coverage"),
     ("mart_classifier_output_coverage", "m007_classifier_output_coverage"),
     ("mart_video_balanced_reaction", "m009_video_balanced_valence"),
-    ("mart_returning_author_shift", "m018_returning_author_shift"),
     ("mart_stratum_adjusted_reaction", "m021_stratum_adjusted_sentiment"),
 ):
     also(_mart, _metric)

@@ -82,7 +82,7 @@ def _p4(spark, sf):
 
 @query(
     "p5_canonical_terms",
-    """SELECT conv_id, turn, array_to_string(list_sort(list_transform(string_split(text, ' '),
+    r"""SELECT conv_id, turn, array_to_string(list_sort(list_transform(string_split(text, ' '),
       lambda x: lower(regexp_replace(x, '^\s+|\s+$', '', 'g')))), ' ') AS terms FROM conversations""",
 )
 def _p5(spark, sf):

@@ -9,6 +9,7 @@ from eventlens.operators import cohort
 from eventlens.operators.completeness import publication_order
 from eventlens.operators.windows import assign_windows, window_table
 from eventlens.plans.catalog.base import EVENT_1, comments, query, rounded, table, videos
+from eventlens.plans.catalog.history import UUID
 from eventlens.plans.catalog.joins import pinned_snapshots
 from eventlens.plans.catalog.scalars import ELIGIBILITY_CTE, PLAYERS
 
@@ -67,16 +68,18 @@ _LIST_HASH = """sha256(concat_ws(':', count(*), """ + ", ".join(
     f"""WITH {ELIGIBILITY_CTE}, {_ALL_PINNED},
     r AS (SELECT *, concat_ws('|', row_number() OVER (PARTITION BY stratum_name, cohort_type ORDER BY event_matched DESC,
         player_matched DESC, proximity_seconds, published_at, unique_id), unique_id,
-        regexp_replace(CAST(published_at AS VARCHAR), '\\.?0+$', '')) AS item
+        regexp_replace(CAST(published_at AS VARCHAR), '\\.?0+$', ''), CAST(round(proximity_seconds * 1000000) AS BIGINT), {UUID.format("'EV1:' || channel_key")}) AS item
       FROM (SELECT *, source_id || '/' || video_key AS unique_id FROM eligibility WHERE is_eligible) JOIN pinned_all USING (channel_key))
-    SELECT stratum_name, cohort_type, count(*) AS candidate_count, {_LIST_HASH} AS candidate_list_lineage FROM r GROUP BY ALL""",
+    SELECT stratum_name, cohort_type, candidate_count,
+      sha256('f0|EV1|sp1|3|stratum|five-criteria-1|' || stratum_name || '|' || cohort_type || '|' || items) AS candidate_list_lineage
+    FROM (SELECT stratum_name, cohort_type, count(*) AS candidate_count, {_LIST_HASH} AS items FROM r GROUP BY ALL)""",
     "videos",
 )
 def _t14(spark, sf):
     chosen = cohort.select_cohorts(
         _candidates(spark, sf), pinned_snapshots(spark, sf, keep_all=True), EVENT_1, PLAYERS, STRATUM_POLICY
     )
-    return cohort.candidate_lineage(chosen.filter("selection_rank IS NOT NULL"), STRATUM_POLICY)
+    return cohort.candidate_lineage(chosen.filter("selection_rank IS NOT NULL"), STRATUM_POLICY, EVENT_1.event_key, "f0")
 
 
 @query(

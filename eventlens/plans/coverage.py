@@ -140,7 +140,7 @@ def volumes(comments: DataFrame, opinions: DataFrame) -> DataFrame:
 def sample_measures(comments: DataFrame, opinions: DataFrame) -> DataFrame:
     """Counts the minimum-cohort thresholds refer to, per window."""
     base = chronological(comments).groupBy(*WINDOW).agg(
-        F.count(F.lit(1)).alias("comment_count"), F.count_distinct("author_key").alias("author_count")
+        F.count(F.lit(1)).alias("comment_count"), F.count_distinct("salt_version_id", "author_key").alias("author_count")
     )
     subset = opinions.groupBy(*WINDOW).agg(
         F.count(F.lit(1)).alias("opinion_count"), F.count_distinct("stratum_name").alias("strata_count")

@@ -28,6 +28,32 @@ def stratum_windows(
     )
 
 
+def paired_strata(
+    opinions: DataFrame, pre: str, post: Sequence[str], keys: Sequence[str] = TARGET, excluded: Sequence[str] = ()
+) -> DataFrame:
+    """`stratum_windows` of the baseline against each post window on its own, still one pass over the opinions.
+
+    The pairs are unrolled after the aggregation; a stratum is in a pair if either window has a row of it.
+    """
+    before, usable = F.col("window_type") == pre, F.col("valence").isNotNull()
+    rows = opinions.filter(~F.col("stratum_name").isin(*excluded)) if excluded else opinions
+    rows = rows.filter(F.col("window_type").isin(pre, *post))
+
+    def measures(inside, name: str) -> list:
+        return [F.count_if(inside).alias(f"_c{name}"), F.count_if(inside & usable).alias(f"_n{name}"), F.avg(F.when(inside, F.col("valence"))).alias(f"_s{name}")]
+
+    sums = measures(before, "")
+    for i, window in enumerate(post):
+        sums += measures(F.col("window_type") == window, str(i))
+    pairs = [
+        F.struct(F.lit(pre).alias("pre_window"), F.lit(w).alias("post_window"), F.col(f"_c{i}").alias("c1"), F.col(f"_n{i}").alias("n1"), F.col(f"_s{i}").alias("s1"))
+        for i, w in enumerate(post)
+    ]
+    folded = rows.groupBy(*keys, "stratum_name").agg(*sums).withColumn("_p", F.explode(F.array(*pairs)))
+    present = folded.filter((F.col("_c") > 0) | (F.col("_p.c1") > 0))
+    return present.select(*keys, "_p.pre_window", "_p.post_window", "stratum_name", F.col("_n").alias("n0"), "_p.n1", F.col("_s").alias("s0"), "_p.s1")
+
+
 def shift_contributions(
     opinions: DataFrame,
     pre: str,
@@ -36,14 +62,34 @@ def shift_contributions(
     keys: Sequence[str] = TARGET,
     excluded: Sequence[str] = ("UNCLASSIFIED",),
 ) -> DataFrame:
-    """Composition and tone term of every shared stratum; unpaired strata are listed with NULL terms.
+    """Composition and tone term of every shared stratum, all post windows taken together."""
+    return weighted_terms(stratum_windows(opinions, pre, post, keys, excluded), min_count, keys)
+
+
+PAIR = ("pre_window", "post_window")
+
+
+def pair_contributions(
+    opinions: DataFrame,
+    pre: str,
+    post: Sequence[str],
+    min_count: int | None,
+    keys: Sequence[str] = TARGET,
+    excluded: Sequence[str] = ("UNCLASSIFIED",),
+) -> DataFrame:
+    """Composition and tone term of every shared stratum, per pair of windows."""
+    return weighted_terms(paired_strata(opinions, pre, post, keys, excluded), min_count, (*keys, *PAIR))
+
+
+def weighted_terms(strata: DataFrame, min_count: int | None, keys: Sequence[str]) -> DataFrame:
+    """Weights and terms of strata (n0, n1, s0, s1); unpaired strata are listed with NULL terms.
 
     After the aggregation only one row per stratum is left, so the weights are a window over
     at most a few dozen rows per target.
     """
     minimum = approved("n_min", min_count)
     shared = (F.col("n0") >= minimum) & (F.col("n1") >= minimum)
-    strata = stratum_windows(opinions, pre, post, keys, excluded).withColumn("is_shared", shared)
+    strata = strata.withColumn("is_shared", shared)
     group = Window.partitionBy(*keys)
 
     def total(n: str):

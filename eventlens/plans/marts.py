@@ -77,17 +77,21 @@ def mart_observed_author_overlap(opinions: DataFrame, pre: str, post: Sequence[s
 
 
 def mart_returning_author_shift(opinions: DataFrame, pre: str, post: Sequence[str]) -> DataFrame:
-    return authors.returning_author_shift(opinions, pre, post)
+    """M018, one row per event, target and window pair."""
+    return authors.returning_author_pairs(opinions, pre, post)
 
 
 def mart_channel_shift_contribution(opinions: DataFrame, pre: str, post: Sequence[str], n_min: int | None) -> DataFrame:
-    return decomposition.shift_contributions(opinions, pre, post, n_min)
+    """Terms of M019 and M020, one row per event, target, window pair and stratum."""
+    return decomposition.pair_contributions(opinions, pre, post, n_min)
 
 
 def mart_channel_shift_decomposition(
     opinions: DataFrame, pre: str, post: Sequence[str], n_min: int | None, min_strata: int | None
 ) -> DataFrame:
-    return decomposition.decompose_shift(decomposition.shift_contributions(opinions, pre, post, n_min), min_strata)
+    """M019 and M020, one row per event, target and window pair."""
+    terms = decomposition.pair_contributions(opinions, pre, post, n_min)
+    return decomposition.decompose_shift(terms, min_strata, (*decomposition.TARGET, *decomposition.PAIR))
 
 
 def mart_stratum_adjusted_reaction(opinions: DataFrame, pre: str, post: Sequence[str], n_min: int | None) -> DataFrame:

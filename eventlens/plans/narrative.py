@@ -17,11 +17,13 @@ def narrative_window(assignments: DataFrame, opinions: DataFrame, keys: Sequence
     """M022-M027 per narrative with their denominators.
 
     `assignments`: one row per opinion and narrative, with comment_key, is_primary, stance
-    (NULL when abstained) and channel_type_value. The denominators are sums over the per-
+    (NULL when abstained), stance_eligible (the stance model applies to it) and channel_type_value.
+    A stance counts for eligible assignments only. The denominators are sums over the per-
     narrative counts, so assignments are aggregated once.
     """
     keys = list(keys)
-    stance = F.col("stance").isNotNull()
+    eligible_stance = F.coalesce(F.col("stance_eligible"), F.lit(False))
+    stance = F.col("stance").isNotNull() & eligible_stance
     per_narrative = assignments.groupBy(*keys, "narrative").agg(
         F.count_if("is_primary").alias("primary_count"),
         F.count_distinct("comment_key").alias("opinion_with_instance_count"),
@@ -29,6 +31,7 @@ def narrative_window(assignments: DataFrame, opinions: DataFrame, keys: Sequence
         F.count_if(F.col("channel_type_value") == "BROAD_REACH_PUBLISHER").alias("broad"),
         F.count_if(F.col("channel_type_value") == "UNCLASSIFIED").alias("unclassified"),
         F.count_if(stance).alias("accepted_stance_assignment_count"),
+        F.count_if(eligible_stance).alias("eligible_stance_assignment_count"),
         share_where(F.col("stance") == "SUPPORTS", stance).alias("m025_support_rate"),
         share_where(F.col("stance") == "OPPOSES", stance).alias("m026_opposition_rate"),
     )
@@ -45,13 +48,14 @@ def narrative_window(assignments: DataFrame, opinions: DataFrame, keys: Sequence
             c("accepted_primary_narrative_count").cast("bigint").alias("accepted_primary_narrative_count"),
             "narrative_assignment_count",
             "accepted_stance_assignment_count",
+            "eligible_stance_assignment_count",
             ratio(c("primary_count"), c("accepted_primary_narrative_count")).alias("m022_primary_share"),
             ratio(c("opinion_with_instance_count"), c("eligible_target_opinion_count")).alias("m023_multi_label_prevalence"),
             ratio(c("broad"), c("narrative_assignment_count")).alias("m024_broad_reach_share"),
             ratio(c("unclassified"), c("narrative_assignment_count")).alias("unclassified_share"),
             "m025_support_rate",
             "m026_opposition_rate",
-            ratio(c("accepted_stance_assignment_count"), c("narrative_assignment_count")).alias("m027_stance_coverage"),
+            ratio(c("accepted_stance_assignment_count"), c("eligible_stance_assignment_count")).alias("m027_stance_coverage"),
         )
     )
 

@@ -156,7 +156,7 @@ def surfacing_audit(comments: DataFrame) -> DataFrame:
 
 def author_concentration(comments: DataFrame) -> DataFrame:
     """Herfindahl index of identified authors per sample type."""
-    per_author = comments.filter("author_key IS NOT NULL").groupBy("sample_type", "author_key").agg(
+    per_author = comments.filter("author_key IS NOT NULL").groupBy("sample_type", "salt_version_id", "author_key").agg(
         F.count(F.lit(1)).alias("n")
     )
     return per_author.groupBy("sample_type").agg(

@@ -11,7 +11,7 @@ from eventlens.config import Event, approved
 from eventlens.errors import GateError, UnapprovedParameterError
 from eventlens.functions.times import ntz
 from eventlens.operators import cohort, completeness, history, joins, quality
-from eventlens.plans import authors, bootstrap, decomposition, reaction
+from eventlens.plans import authors, bootstrap, decomposition, narrative, reaction
 from eventlens.sources import landing, reference_data
 from eventlens.streaming import incremental
 
@@ -303,3 +303,77 @@ def test_authors_of_two_salts_stay_apart(spark):
     assert authors.author_window_activity(df).count() == 5
     interval = bootstrap.paired_bootstrap(deltas, ["target"], "author_key", 50, 1, 0.9).first()
     assert interval.cluster_count == 2 and interval.ci_low < interval.ci_high
+
+
+def test_window_pairs_are_the_windows_taken_one_by_one(spark):
+    df = random_opinions(spark, 4).withColumn("window_type", F.when(F.col("comment_key") % 3 == 0, "PRE").when(F.col("comment_key") % 3 == 1, "POST").otherwise("LATER"))
+    pairs = decomposition.pair_contributions(df, "PRE", ["POST", "LATER"], 2, excluded=())
+    effects = decomposition.decompose_shift(pairs, 2, (*decomposition.TARGET, *decomposition.PAIR))
+    shifts = authors.returning_author_pairs(df, "PRE", ["POST", "LATER"])
+    for window in ("POST", "LATER"):
+        only = df.filter(F.col("window_type").isin("PRE", window))
+        terms = decomposition.shift_contributions(only, "PRE", [window], 2, excluded=())
+        plain = lambda x: sorted(repr([round(v, 12) if isinstance(v, float) else v for v in r]) for r in x.collect())
+        one = lambda x: plain(x.filter(F.col("post_window") == window).drop("pre_window", "post_window"))  # noqa: E731, B023
+        assert one(pairs) == plain(terms)
+        assert one(effects) == plain(decomposition.decompose_shift(terms, 2))
+        assert one(shifts) == plain(authors.returning_author_shift(only, "PRE", [window]))
+
+
+def test_a_stance_counts_for_eligible_assignments_only(spark):
+    rows = [(1, "SUPPORTS", True), (2, "OPPOSES", False), (3, None, True), (4, None, None)]
+    df = spark.createDataFrame(rows, "comment_key int, stance string, stance_eligible boolean").selectExpr(
+        "*", "'e' AS event_version_key", "'t' AS target", "'w' AS window_type", "'n' AS narrative", "true AS is_primary", "'X' AS channel_type_value"
+    )
+    r = narrative.narrative_window(df, df).first()
+    assert (r.narrative_assignment_count, r.eligible_stance_assignment_count, r.accepted_stance_assignment_count) == (4, 2, 1)
+    assert (r.m025_support_rate, r.m026_opposition_rate, r.m027_stance_coverage) == (1.0, 0.0, 0.5)
+
+
+def test_a_second_replay_changes_nothing(spark, tmp_path):
+    import json
+    import uuid
+
+    from eventlens.sources import landing, replay
+
+    def page(number, ids, asked, views):
+        items = [{"id": i, "snippet": {"title": i, "publishedAt": "2024-01-01T00:00:00Z"}, "contentDetails": {"duration": "PT1M"}, "statistics": {"viewCount": views}} for i in ids]
+        request = json.dumps({"part": "snippet", "requested_video_ids": asked})
+        return ("batch", None, None, request, 200, T0 + dt.timedelta(hours=number), json.dumps({"items": items}))
+
+    columns = "resource_scope_id string, page_token_used string, next_page_token_returned string, request_parameters string, http_status int, retrieved_at timestamp_ntz, raw_json_payload string"
+    pages = spark.createDataFrame([page(1, ["a", "b"], ["a", "b", "x"], "1"), page(2, ["a"], ["a", "b"], "2")], columns)
+    raw = landing.land_raw(pages, "VIDEO", "VIDEO_BATCH", "videos.list", "run1")
+    tables = replay.video_tables(spark, str(tmp_path / "t"), f"t{uuid.uuid4().hex}", buckets=4)
+    links = spark.createDataFrame([("x", "E", "ELIGIBLE", None), ("a", "E", "ELIGIBLE", None)], tables.layouts["link"].columns)
+    with tables.batch(0) as batch:
+        batch.load("link", links)
+
+    def content():
+        return {name: sorted(map(str, tables.live(name).collect())) for name in tables.layouts}
+
+    replay.replay_videos(tables, raw, 1)
+    first = content()
+    assert len(first["snapshot"]) == 3
+    state = {r.source_id: (r.resolution_status, r.updated_at, r.first_discovered_at) for r in tables.live("resolution").collect()}
+    hour = dt.timedelta(hours=1)
+    assert state == {"a": ("RESOLVED", T0 + 2 * hour, T0 + hour), "b": ("UNAVAILABLE", T0 + 2 * hour, T0 + hour), "x": ("UNAVAILABLE", T0 + hour, T0 + hour)}
+    assert {r.source_id: r.inclusion_status for r in tables.live("link").collect()} == {"a": "ELIGIBLE", "x": "INELIGIBLE"}
+    replay.replay_videos(tables, raw, 2)
+    assert content() == first
+
+
+def test_runs_reconcile_with_empty_and_repeated_inputs(spark):
+    from eventlens.operators import completeness
+
+    make = spark.createDataFrame
+    runs = make([("a", 1, 2), ("b", 1, 1), ("c", 0, 0)], "ingestion_run_id string, pages_requested int, records_observed int")
+    requests = make([("a", 1, 500), ("a", 1, 200), ("b", 1, 500)], "ingestion_run_id string, page_number int, http_status int")
+    pages = make([("a", 2), ("b", 1), ("z", 5)], "ingestion_run_id string, item_count int")
+    observed = make([("a", "x"), ("a", "y"), ("b", "x")], "ingestion_run_id string, source_comment_id string")
+    dead = make([], "ingestion_run_id string")
+    out = {r.ingestion_run_id: r for r in completeness.reconcile_runs(runs, requests, pages, observed, dead, observed.filter("source_comment_id = 'x'")).collect()}
+    assert set(out) == {"a", "b", "c"}
+    assert (out["a"].pages_persisted, out["a"].counts_reconcile, out["a"].writes_complete, out["a"].no_failed_required_page) == (True, True, False, True)
+    assert (out["b"].pages_persisted, out["b"].writes_complete, out["b"].no_failed_required_page) == (False, True, False)
+    assert out["c"].reconciled

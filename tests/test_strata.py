@@ -274,3 +274,26 @@ def test_fallback_progression(spark):
     assert [(r.channel_key, r.status, r.window_start_at) for r in got] == [("b", "PENDING", END - dt.timedelta(days=180))]
     again = scans.unionByName(strata.fallback_scans(scans, NONE).withColumn("eligible_videos_observed", F.lit(0)))
     assert strata.fallback_scans(again, NONE).count() == 0
+
+
+def test_lineage_tells_runs_apart(spark):
+    columns = "stratum_name string, cohort_type string, selection_rank bigint, source_id string, published_at timestamp_ntz, proximity_seconds double, stratum_snapshot_key string"
+    rows = [("s", "c", i + 1, f"v{i}", END, float(i), "k") for i in range(4)]
+
+    def print_of(rows=rows, event="E1", frame="f0", policy=None):
+        policy = policy or SamplingPolicy("sp1", 3, "APPROVED", "stratum")
+        return cohort.candidate_lineage(spark.createDataFrame(rows, columns), policy, event, frame).first().candidate_list_lineage
+
+    one = print_of()
+    assert print_of(rows[::-1]) == one
+    others = [
+        print_of(event="E2"),
+        print_of(frame="f1"),
+        print_of(policy=SamplingPolicy("sp1", 4, "APPROVED", "stratum")),
+        print_of(policy=SamplingPolicy("sp2", 3, "APPROVED", "stratum")),
+        print_of([(*r[:5], r[5] + 0.000001, r[6]) for r in rows]),
+        print_of([(*r[:6], "other") for r in rows]),
+        print_of([(r[0], "d", *r[2:]) for r in rows]),
+        print_of([(*r[:3], f"w{i}", *r[4:]) for i, r in enumerate(rows)]),
+    ]
+    assert len({one, *others}) == len(others) + 1
