@@ -33,10 +33,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Pieces whose ids are remembered (twice as many at most), their greatest length in characters, and
-#: the moves of the transducer that are kept, in each Python worker. All are made again when needed.
-PIECES_KEPT = 60_000
+#: the states of the transducer that are kept, in each Python worker: up to 100 MB of pieces and 300 MB of states.
+#: All are made again when needed, which costs several times what keeping them does.
+PIECES_KEPT = 200_000
 PIECE_KEPT = 48
-STATES_KEPT = 200_000
+STATES_KEPT = 600_000
 #: Columns of the table of moves. Column 0 stands for all bytes that have none of their own.
 CLASSES = 64
 #: Ids that are decoded at once.
@@ -111,6 +112,20 @@ class Transducer:
         self.emitted: dict[int, tuple[int, ...]] = {}
         self.apart: dict[tuple[int, int], bool] = {}
 
+    def _renewed(self, state: int) -> int:
+        """Forget all states but one, and give its new number."""
+        flat = self.states[state]
+        self._reset()
+        return self._number(flat)
+
+    def _number(self, flat: tuple[int, ...]) -> int:
+        number = self.numbers.get(flat)
+        if number is None:
+            number = self.numbers[flat] = len(self.states)
+            self.states.append(flat)
+            self.table.extend(_UNMADE)
+        return number
+
     def _spine(self, token: int, right: bool) -> list[tuple[bytes, int]]:
         """The parts of a token that touch its right (or left) end, from the single byte up, with their ranks."""
         spine = self.spines[right].get(token)
@@ -208,12 +223,7 @@ class Transducer:
         flat = [token, len(ending) - agreed, *ending[agreed:]]
         for node, last, waiting in places:
             flat += (node, last, len(waiting) - agreed, *waiting[agreed:])
-        after = tuple(flat)
-        number = self.numbers.get(after)
-        if number is None:
-            number = self.numbers[after] = len(self.states)
-            self.states.append(after)
-            self.table.extend(_UNMADE)
+        number = self._number(tuple(flat))
         if agreed:
             self.emitted[state << 8 | byte] = ending[:agreed]
         return 2 * number + bool(agreed)
@@ -223,12 +233,13 @@ class Transducer:
         rank = self.ranks.get(piece)
         if rank is not None:
             return (rank,)
-        if len(self.states) > STATES_KEPT:
-            self._reset()
         table, emitted, state, out = self.table, self.emitted, 0, []
         for byte, kind in zip(piece, piece.translate(self.classes)):
             move = table[state * CLASSES + kind]
             if move < 0:
+                if len(self.states) > STATES_KEPT:  # also in the middle of a piece, however long it is
+                    state = self._renewed(state)
+                    table, emitted = self.table, self.emitted
                 move = self._step(state, byte)
             if move & 1:
                 out += emitted[state << 8 | byte]
