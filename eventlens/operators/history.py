@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eventlens.functions.keys import md5_uuid, sha256
 from eventlens.functions.text import canonical_terms
-from eventlens.operators.ordered import neighbours
+from eventlens.operators.ordered import neighbours, sliced_neighbours, time_slice
 
 
 def scd2_merge(
@@ -68,21 +68,18 @@ def scd2_merge(
     return history.unionByName(merged)
 
 
-def scd2_from_history(
-    states: DataFrame, key: str, value: str, at: str, tie: str, hot: int | None = None
-) -> DataFrame:
-    """Ordered states to validity intervals; a new interval starts only when the value changes."""
-    order = [F.col(at), F.col(tie)]
-    seen = neighbours(
-        states.select(key, value, at, tie).withColumn("_any", F.lit(True)),
-        [key],
-        order,
-        before={"_prev": value, "_has_prev": "_any"},
-        hot=hot,
-    )
+def scd2_from_history(states: DataFrame, key: str, value: str, at: str, tie: str, slice_days: int = 90) -> DataFrame:
+    """Ordered states to validity intervals; a new interval starts only when the value changes.
+
+    A key's states are compared in slices of time, each with the edge of the one before, so a key with most
+    of the states is no single task.
+    """
+    kept = states.select(key, value, at, tie).withColumn("_any", F.lit(True))
+    cut = time_slice(F.col(at), slice_days)
+    seen = sliced_neighbours(kept, [key], [at, tie], cut, before={"_prev": value, "_has_prev": "_any"})
     starts = seen.filter(F.col("_has_prev").isNull() | ~F.col(value).eqNullSafe(F.col("_prev")))
     starts = starts.select(key, value, at, tie)
-    return neighbours(starts, [key], order, after={"valid_to": at}, hot=hot).select(
+    return sliced_neighbours(starts, [key], [at, tie], cut, after={"valid_to": at}).select(
         key,
         value,
         F.col(at).alias("valid_from"),

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.errors import GateError
-from eventlens.operators.ordered import HOT_GROUP_ROWS, bounded, fits, latest_per_key, one_per_key
+from eventlens.functions.times import ntz
+from eventlens.operators.ordered import bounded, latest_per_key, one_per_key, time_slice
 
 
 def alias_matches(texts: DataFrame, aliases: DataFrame, text: str = "text") -> DataFrame:
@@ -45,31 +46,31 @@ def scoped_aliases(aliases: DataFrame, event_entities: DataFrame) -> DataFrame:
     )
 
 
+#: Days of a slice of validity, and the span that is cut into slices: they move work, never results.
+SLICE_DAYS = 90
+SLICED_FROM = "2000-01-01 00:00:00"
+
+
 def valid_at(
-    facts: DataFrame, versions: DataFrame, key: str, at: str, columns: Sequence[str], hot: int | None = None
+    facts: DataFrame, versions: DataFrame, key: str, at: str, columns: Sequence[str], slice_days: int = SLICE_DAYS
 ) -> DataFrame:
     """Point-in-time join: the version whose [valid_from, valid_to) holds the fact's instant.
 
-    A small version table is broadcast. A large one shuffles on the key, apart from the facts
-    of hot keys, which meet the broadcast versions of just those keys. Versions of one key do
-    not overlap, so a fact matches at most one.
+    Facts and versions meet on the key and a slice of time: a version is there once for each slice that it
+    reaches, from `SLICED_FROM` to now; what lies before or after belongs to the first and last slice. So a key
+    with most of the facts is spread over its slices, a fact is compared with the versions of its slice only, and
+    adaptive execution picks the kind of join by the size of what is read. Versions of one key do not overlap, so a
+    fact matches at most one; facts without key, instant or version stay, with NULLs.
     """
-    v = versions.select(key, "valid_from", "valid_to", *columns)
+    first, last = time_slice(ntz(SLICED_FROM), slice_days), time_slice(F.current_timestamp(), slice_days)
+    within = lambda c: F.least(F.greatest(time_slice(c, slice_days), first), last)
+    start = within(F.col("valid_from"))
+    end = F.greatest(F.when(F.col("valid_to").isNotNull(), within(F.col("valid_to"))).otherwise(last), start)
+    reach = versions.select(F.col(key).alias("_key"), "valid_from", "valid_to", *columns, F.explode(F.sequence(start, end)).alias("_reach"))
     t = F.col(at)
     alive = (t >= F.col("valid_from")) & (F.col("valid_to").isNull() | (t < F.col("valid_to")))
-
-    def match(part: DataFrame, side: DataFrame) -> DataFrame:
-        renamed = side.withColumnRenamed(key, "_key")
-        return part.join(renamed, (F.col(key) == F.col("_key")) & alive, "left").drop("_key")
-
-    if fits(v):
-        return match(facts, F.broadcast(v))
-    limit = HOT_GROUP_ROWS if hot is None else hot
-    heavy = F.broadcast(facts.groupBy(key).count().filter(F.col("count") > limit).select(key))
-    marked = facts.join(heavy.withColumn("_hot", F.lit(True)), key, "left")
-    hot_versions = bounded(v.join(heavy, key, "left_semi"))
-    in_place = match(marked.filter("_hot").drop("_hot"), hot_versions)
-    return in_place.unionByName(match(marked.filter("_hot IS NULL").drop("_hot"), v))
+    cut = facts.withColumn("_slice", F.when(t.isNotNull(), within(t)))
+    return cut.join(reach, (F.col(key) == F.col("_key")) & (F.col("_slice") == F.col("_reach")) & alive, "left").drop("_key", "_slice", "_reach")
 
 
 def as_of(

@@ -122,6 +122,53 @@ def neighbours(
     )
 
 
+def time_slice(at: Column, days: int) -> Column:
+    """Number of the span of `days` that an instant falls into; a hot key is cut along these."""
+    return F.floor(F.unix_micros(at.cast("timestamp")) / F.lit(days * 86_400_000_000)).cast("bigint")
+
+
+def sliced_neighbours(
+    df: DataFrame,
+    group: Sequence[str],
+    order: Sequence[str],
+    slice_: Column,
+    before: dict[str, str] | None = None,
+    after: dict[str, str] | None = None,
+) -> DataFrame:
+    """`neighbours` without a look at the data: groups are cut into slices that are a function of the order.
+
+    `slice_` never falls along `order`. Rows move once, to their group and slice; a group's slices hand
+    their edge rows on, one row for each slice. Nothing runs while the query is built.
+    """
+    before, after = before or {}, after or {}
+    rows = df.withColumn("_slice", slice_)
+    inside = Window.partitionBy(*group, "_slice").orderBy(*order)
+    local = rows.withColumns(
+        {
+            "_first": F.lag(F.lit(True)).over(inside).isNull(),
+            "_last": F.lead(F.lit(True)).over(inside).isNull(),
+            **{name: F.lag(source).over(inside) for name, source in before.items()},
+            **{name: F.lead(source).over(inside) for name, source in after.items()},
+        }
+    )
+    # structs, so that a NULL at the edge is told from no edge
+    last = F.max(F.when(F.col("_last"), F.struct(*[F.col(c).alias(f"b{i}") for i, c in enumerate(before.values())]))) if before else F.lit(None)
+    first = F.max(F.when(F.col("_first"), F.struct(*[F.col(c).alias(f"a{i}") for i, c in enumerate(after.values())]))) if after else F.lit(None)
+    edges = local.groupBy(*group, "_slice").agg(last.alias("_l"), first.alias("_f"))
+    across = Window.partitionBy(*group).orderBy("_slice")
+    keys = {c: f"_k{i}" for i, c in enumerate([*group, "_slice"])}
+    carried = edges.select(*[F.col(c).alias(k) for c, k in keys.items()], F.lag("_l").over(across).alias("_pl"), F.lead("_f").over(across).alias("_nf"))
+    on = F.lit(True)
+    for c, k in keys.items():
+        on = on & F.col(c).eqNullSafe(F.col(k))
+    out = local.join(carried, on)
+    return out.select(
+        *df.columns,
+        *[F.when(F.col("_first"), F.col(f"_pl.b{i}")).otherwise(F.col(n)).alias(n) for i, n in enumerate(before)],
+        *[F.when(F.col("_last"), F.col(f"_nf.a{i}")).otherwise(F.col(n)).alias(n) for i, n in enumerate(after)],
+    )
+
+
 _RUNNING = {
     "sum": (F.sum, lambda a, b: F.coalesce(a + b, a, b)),
     "min": (F.min, F.least),

@@ -71,7 +71,8 @@ def test_operators_agree_on_both_paths(spark, skewed):
     def both(fn):
         assert rows(fn(1)) == rows(fn(None))
 
-    both(lambda hot: history.scd2_from_history(df, "g", "v", "at", "k", hot=hot))
+    sliced = [rows(history.scd2_from_history(df, "g", "v", "at", "k", slice_days=days)) for days in (1, 2, 100_000)]
+    assert sliced[0] == sliced[1] == sliced[2]
     both(lambda hot: history.change_only(df, "g", ["at", "k"], ["v"], hot=hot))
     scans = df.select(F.col("g").alias("scope"), F.col("t").alias("page_number"), F.col("k").alias("item_position"), F.col("at").alias("published_at"))
     both(lambda hot: completeness.publication_order(scans, hot=hot))
@@ -93,7 +94,7 @@ def test_operators_agree_on_both_paths(spark, skewed):
         F.col("k").alias("comment_key"),
         F.lit("2024-01-01").cast("timestamp_ntz").alias("absolute_start_at"),
     )
-    both(lambda hot: cohort.balanced_cap(comments, 7, 6, hot=hot))
+    assert rows(cohort.balanced_cap(comments, 7, 6, slices=3)) == rows(cohort.balanced_cap(comments, 7, 6, slices=1))
     stories = df.select(F.col("g").alias("narrative"), F.col("at").alias("published_at"))
     both(lambda hot: narrative.narrative_lifecycle(stories, 1, hot=hot))
     sums = df.groupBy("g", "t").agg(F.coalesce(F.sum("v"), F.lit(0)).alias("num"), F.count(F.lit(1)).cast("double").alias("den"))
@@ -106,16 +107,43 @@ def test_lookup(skewed, how):
     assert rows(lookup(skewed, right, ["g"], how, hot=100)) == rows(skewed.join(right, "g", how))
 
 
-def test_point_in_time_beyond_the_broadcast_bound(skewed, monkeypatch):
+@pytest.mark.parametrize("first", ["2024-01-01", "1995-01-01"])
+def test_point_in_time_in_slices_is_the_plain_interval_join(skewed, first):
     from eventlens.operators import joins
 
-    start = F.lit("2024-01-01").cast("timestamp_ntz")
-    facts = skewed.withColumn("at", start + F.make_dt_interval(F.lit(0), F.col("t").cast("int"))).filter("g IS NOT NULL")
-    states = facts.groupBy("g", "at").agg(F.max("v").alias("v"), F.max("k").alias("id"))
+    start = F.lit(first).cast("timestamp_ntz")
+    facts = skewed.withColumn("at", F.when(F.col("k") % 17 != 0, start + F.make_dt_interval(F.col("t").cast("int") * 9)))
+    states = facts.filter("g IS NOT NULL AND at IS NOT NULL AND k % 3 = 0").groupBy("g", "at").agg(F.max("v").alias("v"), F.max("k").alias("id"))
     versions = history.scd2_from_history(states, "g", "v", "at", "id").withColumnRenamed("v", "state")
-    small = joins.valid_at(facts, versions, "g", "at", ["state"])
-    monkeypatch.setattr(joins, "fits", lambda df: False)
-    assert rows(joins.valid_at(facts, versions, "g", "at", ["state"], hot=100)) == rows(small)
+    other = versions.withColumnsRenamed({"g": "c"}).drop("is_current")
+    alive = (F.col("g") == F.col("c")) & (F.col("at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to")))
+    plain = rows(facts.join(other, alive, "left").drop("c").select(*facts.columns, "valid_from", "valid_to", "state"))
+    for days in (1, 90, 100_000):
+        out = joins.valid_at(facts, versions, "g", "at", ["state"], slice_days=days)
+        assert rows(out.select(*facts.columns, "valid_from", "valid_to", "state")) == plain
+
+
+def jobs_at_build(spark, make):
+    """Jobs that run while a query is built."""
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("build", "build")
+    try:
+        make()
+        return len(tracker.getJobIdsForGroup("build"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_sliced_operators_run_nothing_while_they_are_built(spark, skewed):
+    from eventlens.operators import joins
+
+    at = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("t").cast("int"))
+    df = skewed.withColumn("at", at)
+    versions = history.scd2_from_history(df, "g", "v", "at", "k")
+    comments = df.select(F.col("g").alias("video_key"), F.lit("W").alias("window_type"), F.col("at").alias("published_at"), F.col("k").alias("comment_key"), F.col("at").alias("absolute_start_at"))
+    assert jobs_at_build(spark, lambda: history.scd2_from_history(df, "g", "v", "at", "k")) == 0
+    assert jobs_at_build(spark, lambda: joins.valid_at(df, versions, "g", "at", ["v"])) == 0
+    assert jobs_at_build(spark, lambda: cohort.balanced_cap(comments, 5, 6)) == 0
 
 
 def test_continuity_and_title_rule_with_hot_keys(spark, skewed):
