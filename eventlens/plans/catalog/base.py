@@ -34,11 +34,6 @@ def query(name: str, sql: str | None = None, needs: str = ""):
     return add
 
 
-def also(name: str, existing: str) -> None:
-    """Second inventory name of a registered query."""
-    QUERIES[name], ORACLES[name] = QUERIES[existing], ORACLES[existing]
-
-
 def with_tables(needs: str, body: str) -> str:
     ordered: list[str] = []
 

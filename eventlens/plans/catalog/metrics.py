@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventlens.config import Lineage, MinimumCohort
+from eventlens.errors import GateError
 from eventlens.operators.cohort import attribute_engagement, cohort_gate
 from eventlens.plans import authors, bootstrap, coverage, decomposition, marts, narrative, reaction
 from eventlens.plans.catalog.base import (
@@ -13,10 +14,11 @@ from eventlens.plans.catalog.base import (
     LANGUAGE_THRESHOLD,
     N_MIN,
     NEGATIVE_BELOW,
+    ORACLES,
     POSITIVE_ABOVE,
     POST,
     PRE,
-    also,
+    QUERIES,
     assignments,
     comments,
     comments_in_window,
@@ -28,9 +30,25 @@ from eventlens.plans.catalog.base import (
     targeted,
     with_toxicity,
 )
+from eventlens.session import scratch
+from eventlens.sources.mart_sink import publish_mart, with_lineage, write_mart
 
 TW = "event_version_key, target, window_type"
 
+LINEAGE = Lineage("sp1", "mb1", "tx1", "th1", EVENT_1.occurred_at)
+_LINEAGE_SQL = """'sp1' AS sampling_policy_version, 'mb1' AS model_bundle_version_key, 'tx1' AS taxonomy_version_key,
+  'th1' AS threshold_config_version_key, timestamp '2024-01-15 12:00:00' AS data_as_of_at"""
+
+
+def mart_query(name: str, sql: str, needs: str = ""):
+    """Register a mart: its rows with the lineage that every mart row carries."""
+
+    def add(fn):
+        query(name, f"SELECT m.*, {_LINEAGE_SQL} FROM ({sql}) m", needs)(lambda spark, sf: with_lineage(fn(spark, sf), LINEAGE))
+        return fn
+
+    return add
+
 
 @query(
     "m008_mean_valence",
@@ -110,7 +128,7 @@ _REACTION_VALUES = (
 )
 
 
-@query("mart_target_reaction_window", _REACTION, "opinions_tox")
+@mart_query("mart_target_reaction_window", _REACTION, "opinions_tox")
 def _mart_reaction(spark, sf):
     out = marts.mart_target_reaction_window(toxic_opinions(spark, sf), NEGATIVE_BELOW, POSITIVE_ABOVE)
     return rounded(out, *_REACTION_VALUES)
@@ -152,7 +170,7 @@ def _m014(spark, sf):
     return rounded(out, "m014_disagreement_rate")
 
 
-@query(
+@mart_query(
     "mart_model_comparison",
     f"""SELECT event_version_key, window_type, 'derision' AS construct_key, 'domain' AS first_model,
     'generic' AS second_model, {_M014}""",
@@ -187,7 +205,7 @@ _COVERAGE_SQL = """
 """
 
 
-@query("mart_methodology_coverage_event_window", _COVERAGE_SQL, "in_window opinions")
+@mart_query("mart_methodology_coverage_event_window", _COVERAGE_SQL, "in_window opinions")
 def _mart_coverage(spark, sf):
     out = marts.mart_methodology_coverage_event_window(
         comments_in_window(spark, sf), opinions(spark, sf), LANGUAGE_THRESHOLD
@@ -317,7 +335,7 @@ def _m018(spark, sf):
 _PAIRS = f"(SELECT '{PRE}' AS pre_window, * FROM (VALUES {', '.join(f"('{w}')" for w in POST)}) p(post_window))"
 
 
-@query(
+@mart_query(
     "mart_returning_author_shift",
     f"""SELECT event_version_key, target, pre_window, post_window, count(*) AS shared_author_count, round(avg(b.m - a.m), 10) AS m018_returning_author_shift
     FROM (SELECT event_version_key, target, salt_version_id, author_key, window_type, avg(valence) AS m FROM opinions WHERE author_key IS NOT NULL GROUP BY ALL) a
@@ -330,7 +348,7 @@ def _mart_returning(spark, sf):
     return rounded(marts.mart_returning_author_shift(opinions(spark, sf), PRE, POST), "m018_returning_author_shift")
 
 
-@query(
+@mart_query(
     "mart_observed_author_overlap",
     f"""SELECT event_version_key, target, '{PRE}' AS pre_window, post_window,
       count(*) FILTER (n_pre > 0 AND n_post > 0) AS shared_author_count,
@@ -349,7 +367,7 @@ def _mart_overlap(spark, sf):
     return rounded(out, "m016_author_overlap", "m017_new_author_contribution")
 
 
-@query(
+@mart_query(
     "mart_author_window_activity",
     """SELECT event_version_key, target, salt_version_id, author_key, window_type, count(DISTINCT comment_key) AS observed_comment_count,
       count(DISTINCT channel_key) AS observed_channel_count, round(avg(valence), 10) AS mean_target_valence,
@@ -429,7 +447,7 @@ cte(
 )
 
 
-@query(
+@mart_query(
     "mart_channel_shift_contribution",
     f"""SELECT event_version_key, target, pre_window, post_window, stratum_name, n0, n1, is_shared,
     {", ".join(f"round({c}::DOUBLE, 10) AS {c}" for c in _TERMS)} FROM pair_terms""",
@@ -442,15 +460,18 @@ def _mart_contribution(spark, sf):
 _EFFECTS = ("m019_composition_effect", "m020_tone_effect", "shared_shift", "pre_coverage", "post_coverage")
 
 
-@query(
-    "mart_channel_shift_decomposition",
-    """SELECT event_version_key, target, pre_window, post_window, shared_strata_count, unpaired_strata_count,
+_PAIR_DECOMPOSITION = """SELECT event_version_key, target, pre_window, post_window, shared_strata_count, unpaired_strata_count,
       CASE WHEN valid THEN round(c, 10) END AS m019_composition_effect, CASE WHEN valid THEN round(t, 10) END AS m020_tone_effect,
       CASE WHEN valid THEN round(shift, 10) END AS shared_shift, round(n0 / nullif(all0, 0), 10) AS pre_coverage, round(n1 / nullif(all1, 0), 10) AS post_coverage,
       CASE WHEN valid THEN 'VALID' ELSE 'INSUFFICIENT_STRATA' END AS decomposition_status
     FROM (SELECT event_version_key, target, pre_window, post_window, count(*) FILTER (is_shared) AS shared_strata_count, count(*) FILTER (NOT is_shared) AS unpaired_strata_count,
         count(*) FILTER (is_shared) >= 2 AS valid, sum(composition_term) AS c, sum(tone_term) AS t, sum(w1 * s1) - sum(w0 * s0) AS shift,
-        coalesce(sum(n0) FILTER (is_shared), 0) AS n0, coalesce(sum(n1) FILTER (is_shared), 0) AS n1, sum(n0) AS all0, sum(n1) AS all1 FROM pair_terms GROUP BY ALL)""",
+        coalesce(sum(n0) FILTER (is_shared), 0) AS n0, coalesce(sum(n1) FILTER (is_shared), 0) AS n1, sum(n0) AS all0, sum(n1) AS all1 FROM pair_terms GROUP BY ALL)"""
+
+
+@mart_query(
+    "mart_channel_shift_decomposition",
+    _PAIR_DECOMPOSITION,
     "pair_terms",
 )
 def _mart_decomposition(spark, sf):
@@ -555,7 +576,7 @@ def narrative_mart(spark, sf):
     return rounded(marts.mart_narrative_window(assignments(rows), rows), *_NARRATIVE_VALUES)
 
 
-@query("mart_narrative_window", _NARRATIVE_SQL, "assignments opinions")
+@mart_query("mart_narrative_window", _NARRATIVE_SQL, "assignments opinions")
 def _mart_narrative(spark, sf):
     return narrative_mart(spark, sf)
 
@@ -873,28 +894,47 @@ def _p15(spark, sf):
     return out.fillna(0)
 
 
-LINEAGE = Lineage("sp1", "mb1", "tx1", "th1", EVENT_1.occurred_at)
 
 
 @query(
     "s11_mart_sink",
-    f"""SELECT *, 'sp1' AS sampling_policy_version, 'mb1' AS model_bundle_version_key, 'tx1' AS taxonomy_version_key,
-      'th1' AS threshold_config_version_key, timestamp '2024-01-15 12:00:00' AS data_as_of_at FROM ({_REACTION})""",
+    f"SELECT *, {_LINEAGE_SQL} FROM ({_REACTION})",
     "opinions_tox",
 )
 def _s11(spark, sf):
     """Writes the mart to shared storage and reads it back."""
-    import uuid
-
-    from eventlens.session import shared_dir
-    from eventlens.sources.mart_sink import write_mart
-
-    path = f"{shared_dir(spark)}/mart_target_reaction_{uuid.uuid4().hex}"
+    path = scratch(spark, "mart_target_reaction")
     out = marts.mart_target_reaction_window(toxic_opinions(spark, sf), NEGATIVE_BELOW, POSITIVE_ABOVE)
     write_mart(rounded(out, *_REACTION_VALUES), path, LINEAGE)
     return spark.read.parquet(path)
 
 
+def decomposition_rules():
+    residual = F.abs(F.col("m019_composition_effect") + F.col("m020_tone_effect") - F.col("shared_shift"))
+    share = lambda c: F.coalesce(F.col(c), F.lit(0.0)).between(0, 1)
+    return {"additive": F.coalesce(residual <= 1e-4, F.lit(True)), "coverage_in_bounds": share("pre_coverage") & share("post_coverage")}
+
+
+@query(
+    "s11_gated_publish",
+    f"""SELECT m.*, {_LINEAGE_SQL}, 'additive ' || (SELECT count(*) FROM ({_PAIR_DECOMPOSITION}) WHERE target = 'A' AND m020_tone_effect IS NOT NULL) AS rejected
+    FROM ({_PAIR_DECOMPOSITION}) m""",
+    "pair_terms",
+)
+def _s11_gated(spark, sf):
+    """A mart that keeps its rules is published; the one that a faulty writer made afterwards isn't."""
+    path = scratch(spark, "mart_decomposition")
+    mart = marts.mart_channel_shift_decomposition(opinions(spark, sf), PRE, POST, N_MIN, 2)
+    publish_mart(mart, path, LINEAGE, decomposition_rules())
+    raised = F.when(F.col("target") == "A", F.lit(0.01)).otherwise(F.lit(0.0))
+    rejected = "nothing"
+    try:
+        publish_mart(mart.withColumn("m020_tone_effect", F.col("m020_tone_effect") + raised), path, LINEAGE, decomposition_rules())
+    except GateError as gate:
+        rejected = str(gate).rpartition(": ")[2]
+    return rounded(spark.read.parquet(path), *_EFFECTS).withColumn("rejected", F.lit(rejected))
+
+
 
 
 # ------------------------------------------------------------------ marts that share a metric's query
@@ -905,4 +945,4 @@ for _mart, _metric in (
     ("mart_video_balanced_reaction", "m009_video_balanced_valence"),
     ("mart_stratum_adjusted_reaction", "m021_stratum_adjusted_sentiment"),
 ):
-    also(_mart, _metric)
+    mart_query(_mart, ORACLES[_metric])(QUERIES[_metric])

@@ -75,22 +75,33 @@ def _parsed(raw: DataFrame, schema: str) -> DataFrame:
     return raw.withColumn("_page", F.from_json("raw_json_payload", schema, PERMISSIVE))
 
 
-def _items(raw: DataFrame, schema: str) -> DataFrame:
+def _page_items(payload: str = "raw_json_payload") -> Column:
+    """The items of a page as VARIANT values; NULL if the payload is no JSON or has no list of items."""
+    return F.try_variant_get(F.try_parse_json(payload), "$.items", "array<variant>")
+
+
+def _items(raw: DataFrame) -> DataFrame:
+    """One row per item, `item` a VARIANT: a page is parsed once, and an item of any form stands beside its siblings."""
     lineage = ["raw_response_id", "api_request_id", "ingestion_run_id", "resource_scope_id", "retrieved_at"]
-    return _parsed(raw, schema).select(*lineage, F.posexplode("_page.items").alias("item_position", "item"))
+    return raw.select(*lineage, F.posexplode(_page_items()).alias("item_position", "item"))
+
+
+def _get(path: str) -> Column:
+    """The text at a path of the item; NULL where there is none."""
+    return F.try_variant_get("item", f"$.{path}", "string")
 
 
 def comment_items(raw: DataFrame) -> DataFrame:
-    """One row per top-level comment and page position, defaults filled."""
-    s = F.col("item.snippet.topLevelComment.snippet")
-    return _items(raw, schemas.COMMENT_PAGE).select(
-        F.col("item.id").alias("source_comment_id"),
+    """One row per top-level comment and page position, defaults filled; malformed items have NULLs."""
+    said = "snippet.topLevelComment.snippet"
+    return _items(raw).select(
+        _get("id").alias("source_comment_id"),
         F.col("resource_scope_id").alias("video_key"),
-        utc_ntz(s["publishedAt"]).alias("published_at"),
-        s["authorChannelId"]["value"].alias("author_channel_id"),
-        F.coalesce(s["textOriginal"], F.lit("")).alias("text_content"),
-        F.coalesce(s["likeCount"].try_cast("bigint"), F.lit(0)).alias("likes"),
-        F.coalesce(F.col("item.snippet.totalReplyCount").try_cast("bigint"), F.lit(0)).alias("reply_count"),
+        utc_ntz(_get(f"{said}.publishedAt")).alias("published_at"),
+        _get(f"{said}.authorChannelId.value").alias("author_channel_id"),
+        F.coalesce(_get(f"{said}.textOriginal"), F.lit("")).alias("text_content"),
+        F.coalesce(_get(f"{said}.likeCount").try_cast("bigint"), F.lit(0)).alias("likes"),
+        F.coalesce(_get("snippet.totalReplyCount").try_cast("bigint"), F.lit(0)).alias("reply_count"),
         F.col("item_position").cast("bigint").alias("item_position"),
         "raw_response_id",
         "ingestion_run_id",
@@ -100,40 +111,42 @@ def comment_items(raw: DataFrame) -> DataFrame:
 
 def video_items(raw: DataFrame) -> DataFrame:
     """One row per returned video; unreadable counts are NULL, short state stays unknown."""
-    i = F.col("item")
-    return _items(raw, schemas.VIDEO_PAGE).filter("item.id IS NOT NULL").select(
-        i["id"].alias("source_id"),
-        i["snippet"]["channelId"].alias("channel_source_id"),
-        F.coalesce(i["snippet"]["title"], F.lit("")).alias("title"),
-        stored_description(i["snippet"]["description"]).alias("description"),
-        utc_ntz(i["snippet"]["publishedAt"]).alias("published_at"),
-        duration_seconds(i["contentDetails"]["duration"]).alias("duration_seconds"),
-        F.lit(None).cast("boolean").alias("is_short"),
-        language_code(i["snippet"]["defaultAudioLanguage"], i["snippet"]["defaultLanguage"]).alias(
-            "primary_language_code"
-        ),
-        i["statistics"]["viewCount"].try_cast("bigint").alias("views"),
-        i["statistics"]["likeCount"].try_cast("bigint").alias("likes"),
-        F.col("item_position").cast("bigint").alias("item_position"),
-        "raw_response_id",
-        "api_request_id",
-        "ingestion_run_id",
-        F.col("retrieved_at").alias("observed_at"),
+    return (
+        _items(raw)
+        .withColumn("source_id", _get("id"))
+        .filter("source_id IS NOT NULL")
+        .select(
+            "source_id",
+            _get("snippet.channelId").alias("channel_source_id"),
+            F.coalesce(_get("snippet.title"), F.lit("")).alias("title"),
+            stored_description(_get("snippet.description")).alias("description"),
+            utc_ntz(_get("snippet.publishedAt")).alias("published_at"),
+            duration_seconds(_get("contentDetails.duration")).alias("duration_seconds"),
+            F.lit(None).cast("boolean").alias("is_short"),
+            language_code(_get("snippet.defaultAudioLanguage"), _get("snippet.defaultLanguage")).alias("primary_language_code"),
+            _get("statistics.viewCount").try_cast("bigint").alias("views"),
+            _get("statistics.likeCount").try_cast("bigint").alias("likes"),
+            F.col("item_position").cast("bigint").alias("item_position"),
+            "raw_response_id",
+            "api_request_id",
+            "ingestion_run_id",
+            F.col("retrieved_at").alias("observed_at"),
+        )
     )
 
 
 def listing_items(raw: DataFrame) -> DataFrame:
-    """Search and playlist items; an item without video id or time is skipped."""
-    i = F.col("item")
-    video_id = F.coalesce(
-        F.get_json_object(i["id"], "$.videoId"), i["contentDetails"]["videoId"], i["snippet"]["resourceId"]["videoId"]
-    )
+    """Search and playlist items; an item without video id or time is skipped.
+
+    A search result has an object as id, a playlist item a text; only the object form has a video id.
+    """
+    video_id = F.coalesce(_get("id.videoId"), _get("contentDetails.videoId"), _get("snippet.resourceId.videoId"))
     return (
-        _items(raw, schemas.LISTING_PAGE)
+        _items(raw)
         .select(
             video_id.alias("source_id"),
-            utc_ntz(i["snippet"]["publishedAt"]).alias("published_at"),
-            i["snippet"]["title"].alias("title"),
+            utc_ntz(_get("snippet.publishedAt")).alias("published_at"),
+            _get("snippet.title").alias("title"),
             F.col("item_position").cast("bigint").alias("item_position"),
             "raw_response_id",
             F.col("resource_scope_id").alias("scope"),
@@ -145,9 +158,7 @@ def listing_items(raw: DataFrame) -> DataFrame:
 def requested_ids(raw: DataFrame) -> DataFrame:
     """Ids each page was asked for, from its stored request; else the ids it returned."""
     request = F.from_json("request_parameters", schemas.REQUEST_PARAMETERS)["requested_video_ids"]
-    returned = F.transform(
-        F.from_json("raw_json_payload", schemas.VIDEO_PAGE, PERMISSIVE)["items"], lambda i: i["id"]
-    )
+    returned = F.transform(_page_items(), lambda i: F.try_variant_get(i, "$.id", "string"))
     return raw.select("raw_response_id", F.explode(F.coalesce(request, returned)).alias("source_id")).filter(
         "source_id IS NOT NULL"
     )

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from eventlens.config import Lineage
+from eventlens.errors import GateError
+from eventlens.session import scratch
 
 LINEAGE_COLUMNS = (
     "sampling_policy_version",
@@ -37,3 +39,25 @@ def write_mart(mart: DataFrame, path: str, lineage: Lineage, mode: str = "overwr
         .partitionBy("event_version_key")
         .parquet(path)
     )
+
+
+def publish_mart(mart: DataFrame, path: str, lineage: Lineage, rules: dict[str, Column]) -> int:
+    """Write a mart if every row fulfils all rules, and give its number of rows; else write nothing and name the rules.
+
+    The rows are counted by rule while they are written to a staging folder, so a mart is computed once, and what
+    is published is what was checked. A rule may look at other rows of the mart by a window; NULL is no pass.
+    """
+    named = {f"_rule{i}": F.coalesce(good, F.lit(False)) for i, good in enumerate(rules.values())}
+    seen = Observation()
+    counts = [F.count_if(~F.col(c)).alias(c) for c in named]
+    checked = with_lineage(mart, lineage).withColumns(named).observe(seen, F.count(F.lit(1)).alias("rows"), *counts)
+    rows = checked.drop(*named)
+    staging = scratch(mart.sparkSession, "staging")
+    rows.write.parquet(staging)
+    found = seen.get
+    broken = {rule: found[c] for rule, c in zip(rules, named) if found[c]}
+    if broken:
+        raise GateError("not published, rows against a rule: " + ", ".join(f"{rule} {n}" for rule, n in broken.items()))
+    staged = mart.sparkSession.read.schema(rows.schema).parquet(staging)
+    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_version_key").parquet(path)
+    return found["rows"]

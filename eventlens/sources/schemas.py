@@ -15,20 +15,6 @@ COMMENT_PAGE = (
     "likeCount:string>>>>>, nextPageToken string, _corrupt_record string"
 )
 
-VIDEO_PAGE = (
-    "items array<struct<id:string, snippet:struct<title:string, description:string, publishedAt:string, "
-    "channelId:string, defaultAudioLanguage:string, defaultLanguage:string>, "
-    "contentDetails:struct<duration:string>, statistics:struct<viewCount:string, likeCount:string>>>, "
-    "nextPageToken string, _corrupt_record string"
-)
-
-# search results carry an object as id, playlist items a text; only the object form has a video id
-LISTING_PAGE = (
-    "items array<struct<id:string, snippet:struct<publishedAt:string, title:string, description:string, "
-    "resourceId:struct<videoId:string>>, contentDetails:struct<videoId:string>>>, "
-    "nextPageToken string, _corrupt_record string"
-)
-
 REQUEST_PARAMETERS = "part string, requested_video_ids array<string>, id_count bigint"
 
 # Canonical tables, in the order they are filled. `?` is not needed: every column is nullable.

@@ -377,3 +377,43 @@ def test_runs_reconcile_with_empty_and_repeated_inputs(spark):
     assert (out["a"].pages_persisted, out["a"].counts_reconcile, out["a"].writes_complete, out["a"].no_failed_required_page) == (True, True, False, True)
     assert (out["b"].pages_persisted, out["b"].writes_complete, out["b"].no_failed_required_page) == (False, True, False)
     assert out["c"].reconciled
+
+
+def test_items_of_any_form_stand_beside_their_siblings(spark):
+    good = {"id": "a", "snippet": {"totalReplyCount": 2, "topLevelComment": {"snippet": {"publishedAt": "2024-01-01T00:00:00Z", "likeCount": "7"}}}}
+    payloads = [json.dumps({"items": [good, 5, "x", None, {"id": 7}, ["a"], good]}), json.dumps({"items": "none"}), "no json", json.dumps([1]), None]
+    columns = "resource_scope_id string, page_token_used string, next_page_token_returned string, request_parameters string, http_status int, retrieved_at timestamp_ntz, raw_json_payload string"
+    pages = spark.createDataFrame([(str(i), None, None, None, 200, T0, p) for i, p in enumerate(payloads)], columns)
+    items = landing.comment_items(landing.land_raw(pages, "VIDEO", "VIDEO", "commentThreads.list", "run1"))
+    got = [(r.item_position, r.source_comment_id, r.likes, r.reply_count) for r in sorted(items.collect(), key=lambda r: r.item_position)]
+    assert got == [(0, "a", 7, 2), (1, None, 0, 0), (2, None, 0, 0), (3, None, 0, 0), (4, "7", 0, 0), (5, None, 0, 0), (6, "a", 7, 2)]
+    plan = items._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json") <= 1 and "from_json" not in plan
+
+
+def test_a_mart_against_its_rules_is_not_published(spark, tmp_path):
+    import os
+
+    from pyspark.sql import Window
+
+    from eventlens.config import Lineage
+    from eventlens.sources.mart_sink import publish_mart
+
+    lineage = Lineage("a", "b", "c", "d", T0)
+    mart = spark.createDataFrame([("E1", 0.25), ("E1", 0.75), ("E2", 1.0)], "event_version_key string, share double")
+    rules = {
+        "bounds": F.col("share").between(0, 1),
+        "sums to one": F.abs(F.sum("share").over(Window.partitionBy("event_version_key")) - 1) < 1e-6,
+    }
+    path = str(tmp_path / "mart")
+    wrong = mart.filter("share <> 0.25")
+    with pytest.raises(GateError, match="sums to one 1$"):
+        publish_mart(wrong, path, lineage, rules)
+    assert not os.path.exists(path)
+    with pytest.raises(GateError, match="bounds 1, sums to one 1"):
+        publish_mart(mart.filter("event_version_key = 'E2'").withColumn("share", F.lit(None).cast("double")), path, lineage, rules)
+    assert publish_mart(mart, path, lineage, rules) == 3
+    assert spark.read.parquet(path).filter("sampling_policy_version = 'a'").count() == 3
+    with pytest.raises(GateError):
+        publish_mart(wrong, path, lineage, rules)
+    assert spark.read.parquet(path).count() == 3
