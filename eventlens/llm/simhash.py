@@ -323,8 +323,9 @@ def confirmed(prints: DataFrame, texts: DataFrame, how: Linking, max_bucket: int
     """(a, b): links between the fingerprints of shingle sets of at least ``how.similarity``, exactly computed.
 
     ``prints``: (fp, best) with the (id, digest) of a text of that set; ``texts``: (id, digest, text).
-    Candidates by Hamming distance and texts of equal bits but other sets come together by components.
-    Every two sets of a component are compared; of a component too large for that, those that share a block key.
+    Candidates by Hamming distance and texts of equal bits but other sets come together by components. Two sets of a
+    component link if they share a block key and resemble each other, whatever the size of the component: in
+    one task if it is small, chunk against chunk, or block by block if it has more chunks than there are keys.
     """
     bits = F.substring("fp", 1, how.bits // 8)
     sketches = durable(prints.groupBy(bits.alias("fp")).agg(F.count("*").alias("n")))
@@ -356,7 +357,7 @@ def confirmed(prints: DataFrame, texts: DataFrame, how: Linking, max_bucket: int
         large = durable(sets.groupBy("bucket").agg(cut).where("cut > 1"))
 
     def verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from batches_of(_set_links(batches, similarity), pa.schema([("a", pa.binary()), ("b", pa.binary())]))
+        yield from batches_of(_set_links(batches, similarity, keys, how.bits // 8), pa.schema([("a", pa.binary()), ("b", pa.binary())]))
 
     met = _cut(sets, large).select("bucket", "fp", "shingles").repartition("bucket").sortWithinPartitions("bucket", "fp")
     return met.mapInArrow(verified, "a binary, b binary")
@@ -378,25 +379,36 @@ def _by_key(sets: DataFrame, keys: list[tuple[int, ...]], size: int) -> DataFram
     return dealt.select(F.xxhash64("bucket", "block").alias("bucket"), "fp", "size", "shingles")
 
 
-def _set_links(batches: Iterable[pa.RecordBatch], similarity: float) -> Iterator[tuple[bytes, bytes]]:
+def _set_links(batches: Iterable[pa.RecordBatch], similarity: float, keys: list[tuple[int, ...]], size: int) -> Iterator[tuple[bytes, bytes]]:
     """Links within the runs of one bucket; repeated rows of a fingerprint follow each other and count once."""
+
+    def linked(names: list[bytes], sets: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        if len(names) > 1:
+            blocks = np.stack(list(_blocks(pa.array([n[:size] for n in names], pa.binary()), keys)), axis=1)
+            yield from _resembling(names, sets, similarity, blocks)
+
     now, names, sets = None, [], []
     for batch in batches:
         for bucket, fp, shingles in zip(*(batch.column(c).to_pylist() for c in ("bucket", "fp", "shingles"))):
             if bucket != now:
-                yield from _resembling(names, sets, similarity)
+                yield from linked(names, sets)
                 now, names, sets = bucket, [], []
             if not names or names[-1] != fp:
                 names.append(fp)
                 sets.append(shingles)
-    yield from _resembling(names, sets, similarity)
+    yield from linked(names, sets)
 
 
-def _resembling(names: list[bytes], sets: list[bytes], similarity: float) -> Iterator[tuple[bytes, bytes]]:
-    """A spanning forest of the pairs of sets (ordered uint64) whose resemblance is at least ``similarity``; empty sets link to none."""
+def _resembling(names: list[bytes], sets: list[bytes], similarity: float, blocks: np.ndarray | None = None) -> Iterator[tuple[bytes, bytes]]:
+    """A spanning forest of the pairs of sets (ordered uint64) whose resemblance is at least ``similarity``; empty sets link to none.
+
+    With ``blocks``, a row of block keys for each set, only pairs that share one of them count.
+    """
     order = sorted((i for i in range(len(sets)) if sets[i]), key=lambda i: len(sets[i]))
     if len(order) < 2:
         return
+    if blocks is not None:
+        blocks = blocks[order]
     sizes = np.array([len(sets[i]) // 8 for i in order])
     ends = np.cumsum(sizes)
     starts = ends - sizes
@@ -422,6 +434,8 @@ def _resembling(names: list[bytes], sets: list[bytes], similarity: float) -> Ite
             shared = np.add.reduceat(mark[shingles[starts[low] : ends[high - 1]]], starts[low:high] - starts[low])[rest - low]
             mark[own] = 0
             near = rest[shared >= similarity * (sizes[rest] + sizes[at] - shared) - 1e-9]
+            if blocks is not None:
+                near = near[(blocks[near] == blocks[at]).any(axis=1)]
             for other in near:
                 yield names[order[at]], names[order[other]]
             left[near] = False

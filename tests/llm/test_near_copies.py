@@ -109,3 +109,41 @@ def test_set_links_span_what_is_alike():
     want = {(i, j) for i in range(len(sets)) for j in range(i) if 0 < 0.8 * len(np.union1d(sets[i], sets[j])) <= len(np.intersect1d(sets[i], sets[j]))}
     got = {(max(int(a), int(b)), min(int(a), int(b))) for a, b in simhash._resembling(names, [s.tobytes() for s in sets], 0.8)}
     assert got == want and len(want) == 3
+
+
+def chain(rng, n, shared=200):
+    """Documents of which each resembles the next one by little more than 0.8, and no other."""
+    step = 21
+    all_words = words(rng, shared + step * n)
+    return [" ".join(all_words[step * i : step * i + shared]) for i in range(n)]
+
+
+def ruled(rows, how):
+    """Kept ids by the stage's rule, by brute force: resemblance of 0.8 and a block key in common."""
+    sets = [np.unique(np.concatenate([h for h in simhash.shingle_hashes(t.encode(), 5)])) for _, t in rows]
+    prints = [bytes(p)[: how.bits // 8] for p in how.fingerprints([t.encode() for _, t in rows], how.words_each)]
+    keys = how.keys(len(rows))
+    bits = np.unpackbits(np.frombuffer(b"".join(prints), np.uint8).reshape(len(rows), -1), axis=1)
+    group = list(range(len(rows)))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(max(0, i - 3), i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) and any((bits[i, list(k)] == bits[j, list(k)]).all() for k in keys):
+                a, b = sorted((root(i), root(j)))
+                group[b] = a
+    return sorted({rows[root(i)][0] for i in range(len(rows))})
+
+
+@pytest.mark.parametrize("most", [2048, 16, 1])
+def test_a_chain_is_cut_at_the_same_places_whatever_the_size_of_groups(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "GROUP_ROWS", most)
+    rows = numbered(chain(random.Random(8), 400))
+    want = ruled(rows, simhash.similar_linking())
+    assert kept(spark, rows) == want
+    assert 1 <= len(want) <= 10
