@@ -12,30 +12,33 @@ from eventlens.functions.times import ntz
 from eventlens.operators.ordered import bounded, latest_per_key, one_per_key, time_slice
 
 
-def alias_matches(texts: DataFrame, aliases: DataFrame, text: str = "text") -> DataFrame:
-    """One row per text and alias it mentions; `aliases` has target_entity_key, alias_text.
+def alias_matches(texts: DataFrame, aliases: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """One row per text and alias it mentions; `aliases` has target_entity_key, alias_text, `key` tells texts apart.
 
-    Aliases and texts meet on the alias's first word, an equi-join, and only those
-    candidates are checked against the whole phrase. A text is cut into its distinct words
-    once; words no alias starts with are dropped before any shuffle while the alias table
-    is small enough to broadcast.
+    An index of the words that aliases have, with the number of texts that hold each, picks every alias's rarest
+    word as its anchor. Narrow rows (key, word) meet the anchors, and a text is fetched once, for all its
+    candidate aliases, to be checked against the whole phrases. So a text moves once, however many words or
+    aliases there are, and a word that most texts hold brings nothing together unless an alias has no other.
     """
-    first_word = F.regexp_extract(F.lower("alias_text"), r"(?U)(\w+)", 1)
-    heads = aliases.select(
-        "target_entity_key",
-        F.lower("alias_text").alias("alias_text"),
-        first_word.alias("_word"),
-    ).distinct()
-    if heads.filter("_word = ''").limit(1).count():
+    lowered = F.lower("alias_text")
+    words = F.array_distinct(F.regexp_extract_all(lowered, F.lit(r"(?U)(\w+)"), F.lit(1)))
+    heads = aliases.select("target_entity_key", lowered.alias("alias_text"), words.alias("_words")).distinct()
+    if heads.filter(F.size("_words") == 0).limit(1).count():
         raise GateError("an alias without any word character cannot be matched on word boundaries")
-    words = F.array_distinct(F.split(F.lower(text), r"(?U)\W+"))
-    quoted = F.concat(
-        F.lit(r"(?U)\b\Q"), F.replace("alias_text", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b")
-    )
-    hit = F.contains(F.lower(text), F.col("alias_text")) & F.rlike(F.lower(text), quoted)
-    return (
-        texts.withColumn("_word", F.explode(words)).join(bounded(heads), "_word").filter(hit).drop("_word")
-    )
+    parts = heads.select("target_entity_key", "alias_text", F.explode("_words").alias("_word"))
+    mentioned = texts.select(F.col(key).alias("_key"), F.explode(F.array_distinct(F.split(F.lower(text), r"(?U)\W+"))).alias("_word"))
+    mentioned = mentioned.join(parts.select("_word").distinct(), "_word", "left_semi")
+    held = mentioned.groupBy("_word").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = F.min(F.struct("_n", "_word")).getField("_word")
+    # an alias with a word that no text has can't be mentioned
+    known = parts.join(held, "_word", "left").groupBy("target_entity_key", "alias_text").agg(rarest.alias("_word"), F.count_if(F.col("_n").isNull()).alias("_absent"))
+    anchors = known.filter("_absent = 0").drop("_absent")
+    candidates = mentioned.join(anchors, "_word").groupBy("_key").agg(F.collect_set(F.struct("target_entity_key", "alias_text")).alias("_aliases"))
+    fetched = texts.join(candidates, texts[key] == candidates["_key"]).withColumn("_alias", F.explode("_aliases"))
+    alias = F.col("_alias.alias_text")
+    quoted = F.concat(F.lit(r"(?U)\b\Q"), F.replace(alias, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b"))
+    hit = F.contains(F.lower(text), alias) & F.rlike(F.lower(text), quoted)
+    return fetched.filter(hit).select(*texts.columns, "_alias.target_entity_key", "_alias.alias_text")
 
 
 def scoped_aliases(aliases: DataFrame, event_entities: DataFrame) -> DataFrame:

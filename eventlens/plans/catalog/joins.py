@@ -128,7 +128,7 @@ _ALIAS_ROWS = " UNION ALL ".join(
 @query("j3_alias_theta_join", _ALIAS_ROWS)
 def _j3(spark, sf):
     docs = documents(spark, sf).select("doc_id", "text")
-    return joins.alias_matches(docs, alias_rows(spark, ENTITIES)).select("doc_id", "target_entity_key", "alias_text")
+    return joins.alias_matches(docs, alias_rows(spark, ENTITIES), "doc_id").select("doc_id", "target_entity_key", "alias_text")
 
 
 @query(

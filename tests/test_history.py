@@ -267,11 +267,11 @@ def test_alias_join_matches_literal_matching(spark):
     bodies = ["Ballon d'Or night", "ballon  d'or", "xcr7 cr7", "LA PULGA!", "la-pulga", "l'étoile", "a.b a+b", "axb", "the#goat is", "#goat", "", None]
     df = spark.createDataFrame(list(enumerate(bodies)), "i int, text string")
     table = spark.createDataFrame([("E", a) for a in aliases], "target_entity_key string, alias_text string")
-    got = {(r.i, r.alias_text) for r in joins.alias_matches(df, table).collect()}
+    got = {(r.i, r.alias_text) for r in joins.alias_matches(df, table, "i").collect()}
     want = {(r.i, a) for r in df.select("i", text.matched_terms(F.col("text"), aliases).alias("m")).collect() for a in r.m}
     assert got == want and len(want) >= 6
     with pytest.raises(GateError):
-        joins.alias_matches(df, spark.createDataFrame([("E", "!!")], table.schema))
+        joins.alias_matches(df, spark.createDataFrame([("E", "!!")], table.schema), "i")
 
 
 def test_cross_stratum_lookback_against_brute_force(spark):
