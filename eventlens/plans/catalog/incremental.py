@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from eventlens.functions.times import ntz
 from eventlens.operators import completeness
 from eventlens.plans.catalog.base import cte, query, rounded, table
 from eventlens.plans.catalog.history import observations, unit_attempts
-from eventlens.session import shared_dir
+from eventlens.session import scratch
 from eventlens.streaming import incremental
 
 # ------------------------------------------------------------------ continuity
@@ -370,7 +368,7 @@ def _stream(spark, sf, name, glob):
 
 
 def _run(spark, stream, transform=lambda df: df, mode="append"):
-    root = f"{shared_dir(spark)}/stream_{uuid.uuid4().hex}"
+    root = scratch(spark, "stream")
     incremental.run_to_table(stream, f"{root}/table", f"{root}/state", transform, mode)
     return spark.read.parquet(f"{root}/table")
 
@@ -403,7 +401,7 @@ def _x4(spark, sf):
 
     Items read again drop out by id, and missed items older than the overlap drop out as late.
     """
-    root = f"{shared_dir(spark)}/stream_{uuid.uuid4().hex}"
+    root = scratch(spark, "stream")
     events = table(spark, sf, "events").select("event_id", "event_type", "ts")
     missed = F.col("event_id") % 7 == 0
     for scan, rows in (("first", events.filter(~missed)), ("second", events.filter(missed | (F.col("event_id") % 2 == 0)))):
