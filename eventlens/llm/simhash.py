@@ -379,13 +379,22 @@ def _by_key(sets: DataFrame, keys: list[tuple[int, ...]], size: int) -> DataFram
     return dealt.select(F.xxhash64("bucket", "block").alias("bucket"), "fp", "size", "shingles")
 
 
+def _masks(keys: list[tuple[int, ...]], bits: int) -> np.ndarray:
+    """For each key its bits, as the words of a fingerprint."""
+    chosen = np.zeros((len(keys), bits), np.uint8)
+    for row, places in zip(chosen, keys):
+        row[list(places)] = 1
+    return np.packbits(chosen, axis=1).view(np.uint64)
+
+
 def _set_links(batches: Iterable[pa.RecordBatch], similarity: float, keys: list[tuple[int, ...]], size: int) -> Iterator[tuple[bytes, bytes]]:
     """Links within the runs of one bucket; repeated rows of a fingerprint follow each other and count once."""
+    masks = _masks(keys, 8 * size)
 
     def linked(names: list[bytes], sets: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         if len(names) > 1:
-            blocks = np.stack(list(_blocks(pa.array([n[:size] for n in names], pa.binary()), keys)), axis=1)
-            yield from _resembling(names, sets, similarity, blocks)
+            prints = np.frombuffer(b"".join(n[:size] for n in names), np.uint64).reshape(len(names), -1)
+            yield from _resembling(names, sets, similarity, prints, masks)
 
     now, names, sets = None, [], []
     for batch in batches:
@@ -399,16 +408,16 @@ def _set_links(batches: Iterable[pa.RecordBatch], similarity: float, keys: list[
     yield from linked(names, sets)
 
 
-def _resembling(names: list[bytes], sets: list[bytes], similarity: float, blocks: np.ndarray | None = None) -> Iterator[tuple[bytes, bytes]]:
+def _resembling(names: list[bytes], sets: list[bytes], similarity: float, prints: np.ndarray | None = None, masks: np.ndarray | None = None) -> Iterator[tuple[bytes, bytes]]:
     """A spanning forest of the pairs of sets (ordered uint64) whose resemblance is at least ``similarity``; empty sets link to none.
 
-    With ``blocks``, a row of block keys for each set, only pairs that share one of them count.
+    With ``prints``, the fingerprints, only pairs that agree on all bits of one of the ``masks`` count.
     """
     order = sorted((i for i in range(len(sets)) if sets[i]), key=lambda i: len(sets[i]))
     if len(order) < 2:
         return
-    if blocks is not None:
-        blocks = blocks[order]
+    if prints is not None:
+        prints = prints[order]
     sizes = np.array([len(sets[i]) // 8 for i in order])
     ends = np.cumsum(sizes)
     starts = ends - sizes
@@ -434,8 +443,14 @@ def _resembling(names: list[bytes], sets: list[bytes], similarity: float, blocks
             shared = np.add.reduceat(mark[shingles[starts[low] : ends[high - 1]]], starts[low:high] - starts[low])[rest - low]
             mark[own] = 0
             near = rest[shared >= similarity * (sizes[rest] + sizes[at] - shared) - 1e-9]
-            if blocks is not None:
-                near = near[(blocks[near] == blocks[at]).any(axis=1)]
+            if prints is not None and len(near):
+                differ = prints[near] ^ prints[at]
+                shares = np.zeros(len(near), bool)
+                for mask in masks:
+                    shares |= ~(differ & mask).any(axis=1)
+                    if shares.all():
+                        break
+                near = near[shares]
             for other in near:
                 yield names[order[at]], names[order[other]]
             left[near] = False

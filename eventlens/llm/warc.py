@@ -98,6 +98,10 @@ class Damaged(ValueError):
     """What is wrong with an archive or record."""
 
 
+#: Bytes that are given to the decompressor at once: few at first, so that little of the next frame is read and given back.
+FIRST_SLICE, LAST_SLICE = 1 << 12, 1 << 20
+
+
 def frames(archive: bytes) -> Iterator[bytes]:
     """The content of each frame after the leading dictionary frame; other skippable frames are passed over.
 
@@ -117,15 +121,18 @@ def frames(archive: bytes) -> Iterator[bytes]:
         if len(archive) - at >= 8 and struct.unpack_from("<I", archive, at)[0] & 0xFFFFFFF0 == 0x184D2A50:
             at, _ = _skippable(archive, at)
             continue
-        one = decompressor.decompressobj()
+        one, out, end, step = decompressor.decompressobj(), [], at, FIRST_SLICE
         try:
-            out = one.decompress(view[at:])
+            while not one.eof and end < len(archive):
+                part = view[end : end + step]
+                out.append(one.decompress(part))
+                end, step = end + len(part), min(2 * step, LAST_SLICE)
         except zstandard.ZstdError as exc:
             raise Damaged(f"frame at {at}: {exc}") from exc
         if not one.eof:
             raise Damaged(f"frame at {at}: cut short")
-        at = len(archive) - len(one.unused_data)
-        yield out
+        at = end - len(one.unused_data)
+        yield b"".join(out)
 
 
 def _skippable(archive: bytes, at: int) -> tuple[int, bytes]:
