@@ -21,7 +21,6 @@ import gc
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eventlens.llm.common import make_room
+
 #: Pieces whose ids are remembered (twice as many at most), their greatest length in characters, and
-#: the states of the transducer that are kept, in each Python worker: up to 100 MB of pieces and 300 MB of states.
+#: the states of the transducer that are kept, in each Python worker: up to 40 MB of pieces and 150 MB of states.
 #: All are made again when needed, which costs several times what keeping them does.
-PIECES_KEPT = 200_000
+PIECES_KEPT = 100_000
 PIECE_KEPT = 48
-STATES_KEPT = 600_000
+STATES_KEPT = 300_000
 #: Columns of the table of moves. Column 0 stands for all bytes that have none of their own.
 CLASSES = 64
 #: Ids that are decoded at once.
@@ -250,17 +251,17 @@ class Transducer:
 
 
 class _Known(dict):
-    """Ids of pieces, learnt when first asked for; of two generations, the older one is dropped when the younger is full."""
+    """Ids of pieces as bytes, 32 bits each, learnt when first asked for; of two generations, the older one is dropped when the younger is full."""
 
     def __init__(self, learn) -> None:
         super().__init__()
         self.learn = learn
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, bytes] = {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
-            ids = self.learn(piece.encode())
+            ids = array("i", self.learn(piece.encode())).tobytes()
         if len(piece) <= PIECE_KEPT:
             if len(self) >= PIECES_KEPT:
                 self.older = dict(self)
@@ -277,7 +278,11 @@ class Encoder:
         self.known = _Known(Transducer(ranks).encode)
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.known.__getitem__, self.pieces(text))))
+        return np.frombuffer(self.packed(text), np.int32).tolist()
+
+    def packed(self, text: str) -> bytes:
+        """The ids as bytes, 32 bits each."""
+        return b"".join(map(self.known.__getitem__, self.pieces(text)))
 
 
 class Decoder:
@@ -404,6 +409,13 @@ def _decoder(path: str) -> Decoder:
     return Decoder(_ranks(path))
 
 
+def _forget() -> None:
+    for kept in (_encoder, _decoder, _ranks):
+        kept.cache_clear()
+    gc.unfreeze()
+    gc.collect()
+
+
 def _everywhere(df: DataFrame, ranks_path: str) -> str:
     """Give the rank file, a few MB of fixed size, to all executors; its name there."""
     df.sparkSession.sparkContext.addFile(ranks_path)
@@ -450,9 +462,11 @@ _IDS = T.ArrayType(T.IntegerType())
 
 def _encoding(encoder: Encoder):
     def step(texts: pa.Array) -> list[pa.Array]:
-        gc.disable()  # hundreds of thousands of remembered tuples, and no cycles
+        gc.disable()  # hundreds of thousands of remembered states, and no cycles
         try:
-            return [pa.array([encoder.encode(t) if t else [] for t in texts.to_pylist()], pa.list_(pa.int32()))]
+            packed = [encoder.packed(t) if t else b"" for t in texts.to_pylist()]
+            ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
+            return [pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(packed), np.int32)))]
         finally:
             gc.freeze()
             gc.enable()
@@ -485,6 +499,7 @@ def _with_columns(df: DataFrame, source: str, made: dict[str, T.DataType], conve
     schema = T.StructType([packed.schema["row"], *(T.StructField(f"made{i}", kind) for i, kind in enumerate(made.values()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room("bpe", _forget)
         step = convert()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

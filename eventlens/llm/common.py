@@ -6,7 +6,7 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -83,6 +83,20 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def make_room(name: str, release: Callable[[], None] | None = None) -> None:
+    """Where a task begins: what other operators have kept in this Python worker is released, as Spark uses workers again.
+
+    ``release`` forgets what the operator ``name`` keeps from task to task.
+    """
+    for other in [n for n in _held if n != name]:
+        _held.pop(other)()
+    if release is not None:
+        _held[name] = release
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventlens.llm.common import columns_of, utf8, whole_row, written
+from eventlens.llm.common import columns_of, make_room, utf8, whole_row, written
 
 #: The bound of the training sample: the labelled rows that come first in a hashed order.
 TRAINING_ROWS = 6000
@@ -116,6 +116,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     kinds = T.StructType([texts.schema["id"], T.StructField("label", T.DoubleType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room("quality")
         for batch in batches:
             x = pa.array([features(t) for t in utf8(batch.column("text"))], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), x], names=["id", "label", "x"])
@@ -132,6 +133,7 @@ def scored(df: DataFrame, classifier: Classifier | None, id_col: str, text_col:
     kinds = T.StructType([packed.schema["row"], packed.schema["id"], packed.schema["host"], packed.schema["path"], T.StructField("p", T.DoubleType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room("quality")
         for batch in batches:
             if shared.value is None or not batch.num_rows:
                 p = np.full(batch.num_rows, 0.5)
