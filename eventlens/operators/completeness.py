@@ -274,55 +274,30 @@ def reconcile_runs(
     """Six reconciliation checks per run and their conjunction.
 
     `raw_pages` carries item_count, the number of items in the payload; `requests` one row
-    per attempt; `dead_letters` one row per quarantined item. All inputs meet as tagged rows of one union: each
-    is read once, and a run with most of the rows is combined by page and item first.
+    per attempt; `dead_letters` one row per quarantined item. Each input is counted on its own, by page or item first and
+    then by run, so a run with most of the rows is combined by its finer keys; of each, one row for a run meets in a union.
+    Inputs that lie by run already are counted where they lie.
     """
     key = "ingestion_run_id"
-
-    def tagged(df: DataFrame, kind: str, part: str | None = None, **values) -> DataFrame:
-        columns = {"items": F.lit(0), "ok": F.lit(False), "pages_requested": F.lit(0), "records_observed": F.lit(0)} | values
-        kinds = {"items": "bigint", "ok": "boolean", "pages_requested": "bigint", "records_observed": "bigint"}
-        part_ = F.col(part).cast("string") if part else F.lit(None).cast("string")
-        return df.select(key, F.lit(kind).alias("kind"), part_.alias("part"), *[v.cast(kinds[c]).alias(c) for c, v in columns.items()])
-
-    rows = (
-        tagged(runs, "run", pages_requested=F.col("pages_requested"), records_observed=F.col("records_observed"))
-        .unionByName(tagged(requests, "request", "page_number", ok=F.coalesce(F.col("http_status") == 200, F.lit(False))))
-        .unionByName(tagged(raw_pages, "page", items=F.col("item_count")))
-        .unionByName(tagged(observations, "parsed", "source_comment_id"))
-        .unionByName(tagged(dead_letters, "dead"))
-        .unionByName(tagged(snapshots, "written", "source_comment_id"))
-    )
-    # one row per run, kind and page or item, combined before the shuffle; then one per run
-    parts = rows.groupBy(key, "kind", "part").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if("ok").alias("n_ok"),
-        F.sum("items").alias("items"),
-        F.max("pages_requested").alias("pages_requested"),
-        F.max("records_observed").alias("records_observed"),
-    )
-
-    def over(kind: str, value) -> Column:
-        return F.coalesce(F.sum(F.when(F.col("kind") == kind, value)), F.lit(0))
-
-    named = F.col("part").isNotNull().cast("bigint")
-    joined = (
-        parts.groupBy(key)
-        .agg(
-            F.count_if(F.col("kind") == "run").alias("runs"),
-            over("run", F.col("pages_requested")).alias("pages_requested"),
-            over("run", F.col("records_observed")).alias("records_observed"),
-            over("request", F.col("n_ok")).alias("ok_requests"),
-            F.count_if((F.col("kind") == "request") & (F.col("n_ok") == 0)).alias("failed_pages"),
-            over("page", F.col("n")).alias("raw_pages"),
-            over("page", F.col("items")).alias("raw_items"),
-            over("parsed", F.col("n")).alias("parsed_items"),
-            over("parsed", named).alias("parsed_ids"),
-            over("dead", F.col("n")).alias("dead_items"),
-            over("written", named).alias("snapshot_ids"),
-        )
-        .filter("runs > 0")
-    )
+    one = F.lit(1)
+
+    def ids(df: DataFrame) -> DataFrame:
+        return df.groupBy(key, "source_comment_id").agg(F.count(one).alias("n")).groupBy(key)
+
+    ok = F.coalesce(F.col("http_status") == 200, F.lit(False))
+    attempts = requests.groupBy(key, "page_number").agg(F.count_if(ok).alias("n")).groupBy(key)
+    counts = [
+        runs.groupBy(key).agg(F.count(one).alias("runs"), F.max("pages_requested").cast("bigint").alias("pages_requested"), F.max("records_observed").cast("bigint").alias("records_observed")),
+        attempts.agg(F.sum("n").alias("ok_requests"), F.count_if(F.col("n") == 0).alias("failed_pages")),
+        raw_pages.groupBy(key).agg(F.count(one).alias("raw_pages"), F.sum("item_count").alias("raw_items")),
+        ids(observations).agg(F.sum("n").alias("parsed_items"), F.count("source_comment_id").alias("parsed_ids")),
+        dead_letters.groupBy(key).agg(F.count(one).alias("dead_items")),
+        ids(snapshots).agg(F.count("source_comment_id").alias("snapshot_ids")),
+    ]
+    rows = counts[0]
+    for part in counts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    joined = rows.groupBy(key).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in rows.columns if c != key]).filter("runs > 0")
     c = F.col
     checks = {
         "pages_persisted": c("ok_requests") == c("raw_pages"),
