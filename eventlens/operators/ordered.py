@@ -20,6 +20,8 @@ from eventlens.session import durable
 
 HOT_GROUP_ROWS = 5_000_000
 MAX_BROADCAST_ROWS = 200_000
+#: Rows that one task takes at once of rows dealt by key.
+ROWS_PER_TASK = 1_000_000
 
 
 def fits(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
@@ -39,6 +41,25 @@ def has_hot_group(df: DataFrame, group: Sequence[str], limit: int | None = None)
     return (biggest or 0) > limit
 
 
+def even_parts(df: DataFrame, keys: Sequence[str], rows: int, limit: int) -> int | None:
+    """Partitions of at most `limit` rows or so for `rows` rows dealt on their keys; None if a hot key makes one much larger."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // limit))
+    place = F.pmod(F.hash(*keys), F.lit(parts)).alias("_place")
+    biggest = df.groupBy(place).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    return parts if (biggest or 0) <= 4 * limit else None
+
+
+def dealt(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows dealt on their keys into as many partitions as they need, so that tasks don't grow with the table.
+
+    Adaptive execution merges partitions by their compressed bytes, and narrow rows compress to little. It keeps what few
+    rows need, and the rows of a hot key, which it splits in joins.
+    """
+    rows = df.count()
+    parts = even_parts(df, keys, rows, ROWS_PER_TASK) if rows > ROWS_PER_TASK else None
+    return df if parts is None else df.repartition(parts, *keys)
+
+
 def _slices(df: DataFrame, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(parts, *[F.col(g) for g in group], *order)

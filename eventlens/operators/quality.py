@@ -48,7 +48,7 @@ def foreign_samples(rows: DataFrame) -> DataFrame:
 
 def unresolved(rows: DataFrame, bridge: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows without a counterpart in the bridge."""
-    return missing_from(rows.select(*keys), bridge, keys)
+    return rows.join(bridge.select(*keys), list(keys), "left_anti").select(*rows.columns)
 
 
 def capped_runs(runs: DataFrame, comment_cap: int, page_cap: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from eventlens.operators import quality
 from eventlens.operators.cohort import attribute_engagement
 from eventlens.operators.history import scd2_from_history, text_versions
+from eventlens.operators.ordered import dealt
 from eventlens.operators.windows import config_table
 from eventlens.plans import reaction
 from eventlens.plans.catalog.base import (
@@ -127,7 +128,8 @@ def _q7(spark, sf):
 def _q8(spark, sf):
     bridge = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
-    return rows.join(quality.unresolved(rows, bridge, ["l_orderkey"]).distinct(), "l_orderkey", "left_semi")
+    # a row without a key is neither in nor out
+    return quality.unresolved(dealt(rows.filter("l_orderkey IS NOT NULL"), ["l_orderkey"]), bridge, ["l_orderkey"])
 
 
 cte(

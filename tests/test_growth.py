@@ -2,6 +2,7 @@
 
 import pytest
 
+from eventlens.operators import ordered
 from eventlens.plans.catalog import ORACLES, QUERIES, incremental
 from tests.oracle import compare
 
@@ -22,3 +23,20 @@ def test_runs_reconcile_alike_at_any_size_of_a_bucket(spark, sf, oracle, monkeyp
     name = "g16_run_reconciliation"
     error, found = compare(spark, oracle, name, QUERIES[name], ORACLES[name], sf)
     assert error is None and found, error
+
+
+def test_unresolved_rows_are_dealt_by_their_number_and_joined_once(spark, sf, oracle, monkeypatch):
+    monkeypatch.setattr(ordered, "ROWS_PER_TASK", 500)
+    name = "q8_unresolved_opinions"
+    text = plan(QUERIES[name](spark, sf))
+    assert "REPARTITION_BY_NUM" in text and text.count("LeftAnti") == 1 and "LeftSemi" not in text
+    error, found = compare(spark, oracle, name, QUERIES[name], ORACLES[name], sf)
+    assert error is None and found, error
+
+
+def test_rows_of_a_hot_key_are_left_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "ROWS_PER_TASK", 10)
+    even, hot = spark.range(1000).withColumnRenamed("id", "k"), spark.range(1000).selectExpr("id % 2 AS k")
+    assert "REPARTITION_BY_NUM" in plan(ordered.dealt(even, ["k"]))
+    assert ordered.dealt(hot, ["k"]) is hot
+    assert ordered.dealt(even.limit(10), ["k"]).count() == 10
