@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventlens.operators import ordered
 from eventlens.operators.ordered import ranked
 from eventlens.plans.coverage import ratio
+from eventlens.session import durable
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -36,11 +38,15 @@ def bootstrap_ratio(
     """Percentile interval of sum(num)/sum(den), resampling whole clusters.
 
     A group of n clusters draws n per replicate. Draws are generated from the clusters
-    themselves, folded to a multiplicity per (replicate, cluster index), and joined on the
-    index; both sides of that join are spread evenly, since indexes are dense and draws are
-    uniform.
+    themselves, dealt on the index they draw, folded there to a multiplicity per (replicate, cluster index), and joined
+    on the index; both sides of that join are spread evenly, since indexes are dense and draws are
+    uniform. There are as many partitions as the draws need, so no task grows with the number of clusters.
     """
     keys = list(keys)
+    cluster_sums = durable(cluster_sums)
+    n = cluster_sums.count()
+    parts = max(int(cluster_sums.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * replicates // ordered.ROWS_PER_TASK))
+    hot = ordered.ROWS_PER_TASK if hot is None else hot
     numbered = ranked(cluster_sums, keys, [F.col(cluster)], "_i", hot).withColumn("_i", F.col("_i") - 1)
     sizes = cluster_sums.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     indexed = numbered.join(sizes, keys)
@@ -53,6 +59,8 @@ def bootstrap_ratio(
         .cast("bigint")
         .alias("_i"),
     )
+    if n * replicates > ordered.ROWS_PER_TASK:
+        draws = draws.repartition(parts, *keys, "_i")
     weights = draws.groupBy(*keys, "_r", "_i").agg(F.count(F.lit(1)).alias("_w"))
     estimates = (
         weights.join(indexed, [*keys, "_i"])

@@ -40,3 +40,11 @@ def test_rows_of_a_hot_key_are_left_where_they_are(spark, monkeypatch):
     assert "REPARTITION_BY_NUM" in plan(ordered.dealt(even, ["k"]))
     assert ordered.dealt(hot, ["k"]) is hot
     assert ordered.dealt(even.limit(10), ["k"]).count() == 10
+
+
+@pytest.mark.parametrize("name", ["b1_cluster_bootstrap", "b2_paired_bootstrap"])
+def test_draws_are_dealt_by_their_number(spark, sf, oracle, monkeypatch, name):
+    monkeypatch.setattr(ordered, "ROWS_PER_TASK", 20)
+    assert "REPARTITION_BY_NUM" in plan(QUERIES[name](spark, sf))
+    error, found = compare(spark, oracle, name, QUERIES[name], ORACLES[name], sf)
+    assert error is None and found, error
