@@ -137,31 +137,42 @@ def canonical_comments(observations: DataFrame) -> DataFrame:
 FIRST_SEEN = ("published_at", "observed_at", "page_number", "item_position", "video_key", "author_key")
 
 
-def first_seen(observations: DataFrame) -> DataFrame:
-    """Per source comment its first observation, column by column, and how often it was observed."""
+def comment_states(marked: DataFrame, order: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Per source comment its first observation, column by column, how often it was observed, and its `last` snapshot.
+
+    `marked` as `marked_since` gives it: `last` is that of the snapshots that aren't late, NULL if all are.
+    """
+    last = F.max(F.when(~F.col("_late"), F.struct(*order, *values)))
     return (
-        observations.groupBy("source_comment_id")
-        .agg(F.min(F.struct(*FIRST_SEEN)).alias("_f"), F.count(F.lit(1)).alias("observations"))
-        .select("source_comment_id", md5_uuid(F.col("source_comment_id")).alias("comment_key"), "_f.*", "observations")
+        marked.groupBy("source_comment_id")
+        .agg(F.min(F.struct(*FIRST_SEEN)).alias("_f"), F.count(F.lit(1)).alias("observations"), last.alias("last"))
+        .select("source_comment_id", md5_uuid(F.col("source_comment_id")).alias("comment_key"), "_f.*", "observations", "last")
     )
 
 
-def fold_first_seen(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """What `first_seen` gives for all observations, from that of the earlier and of the new ones."""
+def fold_comments(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """What `comment_states` gives for all observations, from that of the earlier and of the new ones."""
 
     def side(df: DataFrame, prefix: str) -> DataFrame:
         first = F.struct(*FIRST_SEEN).alias(f"_{prefix}f")
-        return df.select("source_comment_id", first, F.col("observations").alias(f"_{prefix}n"))
-
-    both = side(stored, "s").join(side(new, "n"), "source_comment_id", "full_outer")
-    total = F.coalesce("_sn", F.lit(0)) + F.coalesce("_nn", F.lit(0))
-    first = both.select("source_comment_id", F.least("_sf", "_nf").alias("_f"), total.alias("observations"))
-    return first.select("source_comment_id", md5_uuid(F.col("source_comment_id")).alias("comment_key"), "_f.*", "observations")
+        rest = [F.col(c).alias(f"_{prefix}{c}") for c in ("comment_key", "observations", "last")]
+        return df.select("source_comment_id", first, *rest)
+
+    both = side(stored, "s").join(side(new, "n"), "source_comment_id", "full_outer").withColumn("_f", F.least("_sf", "_nf"))
+    total = F.coalesce("_sobservations", F.lit(0)) + F.coalesce("_nobservations", F.lit(0))
+    return both.select(
+        "source_comment_id",
+        F.coalesce("_scomment_key", "_ncomment_key").alias("comment_key"),
+        "_f.*",
+        total.alias("observations"),
+        F.greatest("_slast", "_nlast").alias("last"),
+    )
 
 
 def text_states(observations: DataFrame, key: str = "source_comment_id") -> DataFrame:
     """Distinct texts per comment, with the instants of their first and last observation."""
-    hashed = observations.withColumn("text_hash", sha256(F.col("text_content")))
+    known = "text_hash" in observations.columns
+    hashed = observations if known else observations.withColumn("text_hash", sha256(F.col("text_content")))
     return hashed.groupBy(key, "text_hash").agg(
         F.first("text_content").alias("text_content"),
         F.min("observed_at").alias("observed_at"),
@@ -222,15 +233,34 @@ def changes_since(
     snapshots whose values differ from the one before, stored or new; late ones stand at or before the
     stored snapshot, where the change they would make can't be told any more; last is the new `stored` of the keys.
     """
+    seen = marked_since(stored, snapshots, key, order, values, hot)
+    extra = ("_late", "_changed")
+    last = seen.filter("NOT _late").groupBy(key).agg(F.max(F.struct(*order, *values)).alias("_last")).select(key, "_last.*")
+    return seen.filter("_changed").drop(*extra), seen.filter("_late").drop(*extra), last
+
+
+def marked_since(
+    stored: DataFrame,
+    snapshots: DataFrame,
+    key: str,
+    order: Sequence[str],
+    values: Sequence[str],
+    hot: int | None = None,
+    is_hot: bool | None = None,
+) -> DataFrame:
+    """All new snapshots with the flags `_late` and `_changed`, as told apart by `changes_since`.
+
+    Late ones stand before all others of their key, so one order of the snapshots serves both.
+    """
     at = F.struct(*order)
     known = stored.select(key, at.alias("_at"), F.struct(*values).alias("_known"))
     placed = snapshots.withColumn("_cur", F.struct(*values)).join(known, key, "left")
-    late = F.col("_at").isNotNull() & (at <= F.col("_at"))
-    fresh = placed.filter(~late)
-    seen = neighbours(fresh, [key], [F.col(o) for o in order], before={"_prev": "_cur"}, hot=hot)
-    changes = seen.filter(~F.col("_cur").eqNullSafe(F.coalesce("_prev", "_known"))).drop("_cur", "_prev", "_at", "_known")
-    last = fresh.groupBy(key).agg(F.max(F.struct(*order, *values)).alias("_last")).select(key, "_last.*")
-    return changes, placed.filter(late).drop("_cur", "_at", "_known"), last
+    placed = placed.withColumn("_late", F.col("_at").isNotNull() & (at <= F.col("_at")))
+    before = {"_prev": "_cur", "_prev_late": "_late"}
+    seen = neighbours(placed, [key], [F.col(o) for o in order], before=before, hot=hot, is_hot=is_hot)
+    last = F.when(F.coalesce("_prev_late", F.lit(True)), F.col("_known")).otherwise(F.col("_prev"))
+    changed = ~F.col("_late") & ~F.col("_cur").eqNullSafe(last)
+    return seen.select(*snapshots.columns, "_late", changed.alias("_changed"))
 
 
 def sample_observations(observations: DataFrame) -> DataFrame:

@@ -99,14 +99,15 @@ def neighbours(
     before: dict[str, str] | None = None,
     after: dict[str, str] | None = None,
     hot: int | None = None,
+    is_hot: bool | None = None,
 ) -> DataFrame:
     """Values of the previous / next row of the group.
 
     `before` and `after` map new column names to existing ones. A row without such a
-    neighbour gets NULL.
+    neighbour gets NULL. Groups are counted unless the caller knows if one `is_hot`.
     """
     before, after = before or {}, after or {}
-    if not has_hot_group(df, group, hot):
+    if not (has_hot_group(df, group, hot) if is_hot is None else is_hot):
         w = Window.partitionBy(*group).orderBy(*order)
         out = df
         for name, source in before.items():

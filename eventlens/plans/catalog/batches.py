@@ -20,6 +20,13 @@ from eventlens.streaming import comments, continuity
 
 BUCKETS = 8
 
+#: Keys that a bucket holds at most, or so; tables of more have more buckets.
+KEYS_PER_BUCKET = 250_000
+
+
+def buckets_for(keys):
+    return max(BUCKETS, -(-keys // KEYS_PER_BUCKET))
+
 
 def _tables(spark, layouts):
     return BatchTables(spark, scratch(spark, "batches"), layouts, f"q{uuid.uuid4().hex}")
@@ -58,7 +65,8 @@ def _line(*parts: str) -> str:
 )
 def _x1_chain(spark, sf):
     """Two runs of page files through the chain, in several micro-batches; all tables, a text line for each row."""
-    tables = comments.comment_tables(spark, scratch(spark, "comments"), f"q{uuid.uuid4().hex}", BUCKETS)
+    buckets = buckets_for(2 * table(spark, sf, "events").count())  # two comments to a page
+    tables = comments.comment_tables(spark, scratch(spark, "comments"), f"q{uuid.uuid4().hex}", buckets)
     arrived = scratch(spark, "arrived")
     e = F.col("event_id")
     for run, wanted in ((1, e % 7 != 0), (2, (e % 7 == 0) | (e % 2 == 0))):

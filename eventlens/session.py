@@ -55,6 +55,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Rows written once in the shared folder, as columns, so what is made of them reads just what it needs."""
+    path = scratch(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch(spark: SparkSession, kind: str) -> str:
     """A new folder name in the shared folder, removed when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"

@@ -43,6 +43,14 @@ class Layout:
         return F.pmod(F.hash(*self.keys), F.lit(self.buckets)).cast("int")
 
 
+@dataclass(frozen=True)
+class Fixed:
+    """Rows made of written ones by a rule that always gives the same, and the buckets that their keys fall into."""
+
+    rows: DataFrame
+    buckets: list[int]
+
+
 class BatchTables:
     """The tables under `root`, registered in the catalog as `<prefix>_<name>`."""
 
@@ -152,17 +160,17 @@ class Batch:
         written = self.tables.spark.table(self.tables._table(name))
         return written.filter(F.col("batch_id") == self.batch_id).select(*self.tables.layouts[name].names)
 
-    def merge(self, name: str, incoming: DataFrame, rule: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    def merge(self, name: str, incoming: DataFrame | Fixed, rule: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
         """`rule(stored, incoming)` gives the new rows of the buckets that hold the keys of `incoming`.
 
         The rule joins on all key columns, so the stored side stays where it is. Incoming rows are fixed first, as
-        the rule and the choice of buckets have to see the same.
+        the rule and the choice of buckets have to see the same, unless the caller gives them as `Fixed`.
         """
-        layout = self.tables.layouts[name]
-        incoming = durable(incoming)
-        touched = self.tables.buckets_of(name, incoming)
-        if touched:
-            self._write(name, rule(self.tables.live(name, touched), incoming), touched)
+        if not isinstance(incoming, Fixed):
+            incoming = durable(incoming)
+            incoming = Fixed(incoming, self.tables.buckets_of(name, incoming))
+        if incoming.buckets:
+            self._write(name, rule(self.tables.live(name, incoming.buckets), incoming.rows), incoming.buckets)
 
     def load(self, name: str, rows: DataFrame) -> None:
         """Fill a keyed table anew: one shuffle into its buckets, all of which belong to this batch from now on."""

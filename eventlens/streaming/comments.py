@@ -8,15 +8,16 @@ without leaving a row twice. What the tables hold equals the batch operators ove
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from eventlens.functions.keys import pseudonymise
+from eventlens.functions.keys import pseudonymise, sha256
 from eventlens.operators import history
-from eventlens.operators.joins import upsert
-from eventlens.session import durable
-from eventlens.sources.batches import BatchTables, Layout
+from eventlens.operators.ordered import has_hot_group
+from eventlens.session import stored
+from eventlens.sources.batches import BatchTables, Fixed, Layout
 from eventlens.sources.landing import comment_items, land_raw, tag_dead_letters
 from eventlens.sources.schemas import RAW_PAGE
 from eventlens.streaming.incremental import page_stream
@@ -28,13 +29,13 @@ _BY_COMMENT = ("source_comment_id",)
 
 
 def layouts(buckets: int = 64) -> dict[str, Layout]:
-    snapshot = "source_comment_id string, observed_at timestamp_ntz, raw_response_id string, item_position bigint, likes bigint, reply_count bigint"
     return {
         "raw_page": Layout(RAW_PAGE),
         "dead_letter": Layout("source_comment_id string, raw_response_id string, item_position bigint, observed_at timestamp_ntz, error_code string"),
         "comment": Layout(
             "source_comment_id string, comment_key string, published_at timestamp_ntz, observed_at timestamp_ntz, page_number string, "
-            "item_position bigint, video_key string, author_key string, observations bigint",
+            "item_position bigint, video_key string, author_key string, observations bigint, "
+            "last struct<observed_at: timestamp_ntz, raw_response_id: string, item_position: bigint, likes: bigint, reply_count: bigint>",
             _BY_COMMENT,
             buckets,
         ),
@@ -43,8 +44,10 @@ def layouts(buckets: int = 64) -> dict[str, Layout]:
             ("source_comment_id", "text_hash"),
             buckets,
         ),
-        "engagement": Layout(snapshot + ", ingestion_run_id string"),
-        "engagement_last": Layout(snapshot, _BY_COMMENT, buckets),
+        "engagement": Layout(
+            "source_comment_id string, observed_at timestamp_ntz, raw_response_id string, item_position bigint, likes bigint, reply_count bigint, "
+            "ingestion_run_id string"
+        ),
         "sample_observation": Layout("comment_key string, raw_response_id string, source_item_position bigint, sample_type string, observed_at timestamp_ntz"),
     }
 
@@ -66,21 +69,35 @@ def parsed(landed: DataFrame, sample_type: str, secrets: dict[str, bytes], salt_
 def ingest(
     tables: BatchTables, pages: DataFrame, batch_id: int, run_id: str, sample_type: str, secrets: dict[str, bytes], salt_version: str
 ) -> None:
-    """One micro-batch of pages into all tables; a batch that is marked already is left alone."""
+    """One micro-batch of pages into all tables; a batch that is marked already is left alone.
+
+    Pages are parsed once, and snapshots are dealt once, as the buckets of the comments are: what is made of them for each
+    comment is neither shuffled nor written in between. If one comment has more snapshots than a task should take, they
+    stay where they are, and are combined before they are dealt.
+    """
     if tables.is_marked(batch_id):
         return
     with tables.batch(batch_id) as batch:
         landed = batch.append("raw_page", land_raw(pages, "VIDEO", "VIDEO", "commentThreads.list", run_id))
-        items = durable(parsed(landed, sample_type, secrets, salt_version))
-        good = items.filter("error_code IS NULL")
-        changes, late, last = history.changes_since(tables.live("engagement_last"), good, "source_comment_id", _PLACE, _VALUES)
-        dead = items.filter("error_code IS NOT NULL").unionByName(late.withColumn("error_code", F.lit("LATE_SNAPSHOT")))
-        batch.append("dead_letter", dead)
+        items = stored(parsed(landed, sample_type, secrets, salt_version).withColumn("text_hash", sha256(F.col("text_content"))))
+        good, layout = items.filter("error_code IS NULL"), tables.layouts["comment"]
         batch.append("sample_observation", history.sample_observations(good))
-        batch.append("engagement", changes)
-        batch.merge("engagement_last", last, lambda stored, new: upsert(stored, new, _BY_COMMENT, [*_PLACE, *_VALUES]))
-        batch.merge("comment", history.first_seen(good), history.fold_first_seen)
-        batch.merge("text_version", history.text_states(good), history.fold_text_states)
+        is_hot = has_hot_group(good, _BY_COMMENT)
+        known = tables.live("comment").filter("last IS NOT NULL").select(*_BY_COMMENT, "last.*")
+        dealt = good if is_hot else good.repartition(layout.buckets, *_BY_COMMENT)
+        # kept as they are dealt; what is lost with an executor is made again of the written items
+        seen = history.marked_since(known, dealt, *_BY_COMMENT, _PLACE, _VALUES, is_hot=is_hot).persist(StorageLevel.DISK_ONLY)
+        try:
+            late = seen.filter("_late").withColumn("error_code", F.lit("LATE_SNAPSHOT"))
+            batch.append("dead_letter", items.filter("error_code IS NOT NULL").unionByName(late, allowMissingColumns=True))
+            batch.append("engagement", seen.filter("_changed"))
+            states, texts = history.comment_states(seen, _PLACE, _VALUES), history.text_states(seen)
+            touched = {name: tables.buckets_of(name, seen) for name in ("text_version", "comment")}
+            batch.merge("text_version", Fixed(texts, touched["text_version"]), history.fold_text_states)
+            # last, as Spark drops what it keeps of a table that is written to
+            batch.merge("comment", Fixed(states, touched["comment"]), history.fold_comments)
+        finally:
+            seen.unpersist()
 
 
 def ingest_pages(

@@ -3,7 +3,8 @@
 import pytest
 
 from eventlens.operators import ordered
-from eventlens.plans.catalog import ORACLES, QUERIES, incremental
+from eventlens.plans.catalog import ORACLES, QUERIES, batches, incremental
+from eventlens.streaming import comments
 from tests.oracle import compare
 
 
@@ -48,3 +49,15 @@ def test_draws_are_dealt_by_their_number(spark, sf, oracle, monkeypatch, name):
     assert "REPARTITION_BY_NUM" in plan(QUERIES[name](spark, sf))
     error, found = compare(spark, oracle, name, QUERIES[name], ORACLES[name], sf)
     assert error is None and found, error
+
+
+@pytest.mark.parametrize("keys,hot", [(100, None), (250_000, 1)])
+def test_the_comment_chain_has_buckets_for_its_comments(spark, sf, oracle, monkeypatch, keys, hot):
+    laid = []
+    monkeypatch.setattr(batches, "KEYS_PER_BUCKET", keys)
+    monkeypatch.setattr(ordered, "HOT_GROUP_ROWS", hot or ordered.HOT_GROUP_ROWS)
+    monkeypatch.setattr(comments, "layouts", lambda buckets, made=comments.layouts: laid.append(buckets) or made(buckets))
+    name = "x1_comment_chain"
+    error, found = compare(spark, oracle, name, QUERIES[name], ORACLES[name], sf)
+    assert error is None and found, error
+    assert (max(laid) > 8) == (keys == 100)
