@@ -12,6 +12,7 @@ from eventlens.functions.keys import sha256
 from eventlens.functions.times import micros_between, seconds_between
 from eventlens.operators.history import UNIT_KEYS
 from eventlens.operators.ordered import lookup, neighbours, running_before
+from eventlens.session import stored
 
 
 def scan_order(items: DataFrame) -> DataFrame:
@@ -29,6 +30,8 @@ def ingestible(items: DataFrame, checkpoints: DataFrame, hot: int | None = None)
     crossing = located.groupBy("scope").agg(
         F.min(F.when(F.col("published_at") < F.col("_w"), F.col("_pos"))).alias("_cross")
     )
+    # one row per scope, written once: all that follows would find it anew, and sort for it in one task
+    crossing = stored(crossing)
     placed = lookup(located, crossing, ["scope"], "inner", hot)
     return placed.filter(F.col("_cross").isNull() | (F.col("_pos") < F.col("_cross"))), crossing
 
@@ -43,7 +46,8 @@ def continuity(
     `boundary`: scope, source_comment_id, the ids at the committed watermark.
 
     Boundary ids seen before the crossing are matched by an anti join instead of collecting
-    id sets, so neither a busy scope nor a crowded watermark second has to fit into one row.
+    id sets, so neither a busy scope nor a crowded watermark second has to fit into one row. What is known of a
+    scope is brought together by one aggregation; a chain of joins would keep two sorted sides each in one task.
     """
     marks = checkpoints.select("scope", F.col("committed_watermark_at").alias("_w"))
     before, crossing = ingestible(items, checkpoints, hot)
@@ -58,7 +62,7 @@ def continuity(
     ingested = before.groupBy("scope").agg(
         F.count(F.lit(1)).alias("records_observed"), F.max("published_at").alias("candidate_watermark_at")
     )
-    crossed, rest = F.col("_cross").isNotNull(), F.col("remaining_boundary_ids")
+    crossed, rest = F.col("_crossed"), F.col("remaining_boundary_ids")
     state = (
         F.when(crossed & (rest == 0), F.lit("COMPLETE_TO_WATERMARK"))
         .when(~F.col("more_pages") & crossed & (rest > 0), F.lit("POTENTIAL_GAP"))
@@ -66,13 +70,21 @@ def continuity(
         .when(~F.col("_had_checkpoint"), F.lit("INITIAL_LOAD_CAPPED"))
         .otherwise(F.lit("CAPPED_BEFORE_WATERMARK"))
     )
+    parts = [
+        crossing.select("scope", F.col("_cross").isNotNull().alias("_crossed")),
+        ingested,
+        remaining,
+        marks.withColumn("_had_checkpoint", F.lit(True)),
+    ]
+    known = scans.select("scope", "more_pages", F.lit(True).alias("_scanned"))
+    for part in parts:  # a scope without name has nothing but its scan
+        known = known.unionByName(part.filter("scope IS NOT NULL"), allowMissingColumns=True)
     return (
-        scans.join(crossing, "scope", "left")
-        .join(ingested, "scope", "left")
-        .join(remaining, "scope", "left")
-        .join(marks.withColumn("_had_checkpoint", F.lit(True)), "scope", "left")
+        known.groupBy("scope")
+        .agg(*[F.max(c).alias(c) for c in known.columns if c != "scope"])
+        .filter("_scanned")
         .fillna(0, ["remaining_boundary_ids", "records_observed"])
-        .fillna(False, ["_had_checkpoint"])
+        .fillna(False, ["_had_checkpoint", "_crossed"])
         .withColumn("continuity_status", state)
         .select(
             "scope",

@@ -61,3 +61,18 @@ def test_the_comment_chain_has_buckets_for_its_comments(spark, sf, oracle, monke
     error, found = compare(spark, oracle, name, QUERIES[name], ORACLES[name], sf)
     assert error is None and found, error
     assert (max(laid) > 8) == (keys == 100)
+
+
+@pytest.mark.parametrize("name", ["x2_continuity", "x3_watermark_advance"])
+def test_no_task_keeps_the_sorted_sides_of_many_joins(spark, sf, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        df = QUERIES[name](spark, sf)
+        df.collect()
+        text = plan(df).split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = 0
+    for line in text.splitlines():  # a stage of the plan ends where an exchange begins
+        joins = 0 if "Exchange" in line else joins + ("SortMergeJoin" in line)
+        assert joins <= 2
