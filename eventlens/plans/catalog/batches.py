@@ -241,7 +241,8 @@ def scan_pages(spark, sf):
 )
 def _s7_chain(spark, sf):
     """All stored pages, replayed twice."""
-    tables = replay.video_tables(spark, scratch(spark, "replay"), f"q{uuid.uuid4().hex}", BUCKETS)
+    buckets = buckets_for(2 * table(spark, sf, "documents").count())  # a document and its ghost
+    tables = replay.video_tables(spark, scratch(spark, "replay"), f"q{uuid.uuid4().hex}", buckets)
     raw = written_once(video_pages(spark, sf))
     number = F.col("source_id").cast("bigint")
     items = landing.video_items(raw)

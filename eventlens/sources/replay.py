@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.operators import history
-from eventlens.session import durable
-from eventlens.sources.batches import BatchTables, Layout
+from eventlens.session import stored
+from eventlens.sources.batches import BatchTables, Fixed, Layout
 from eventlens.sources.landing import cascade_unavailable, new_snapshots, requested_ids, video_items
 
 _VIDEO = "published_at timestamp_ntz, duration_seconds bigint, is_short boolean, short_classification_rule_version string, primary_language_code string"
@@ -57,16 +57,15 @@ def replay_videos(tables: BatchTables, raw: DataFrame, batch_id: int) -> None:
     A video's newest page decides its lifecycle values where they aren't frozen yet.
     """
     with tables.batch(batch_id) as batch:
-        items = durable(video_items(raw))
-        stored = tables.live("snapshot")
-        batch.append("snapshot", new_snapshots(stored, items))
+        items = stored(video_items(raw))
+        batch.append("snapshot", new_snapshots(tables.live("snapshot"), items))
         newest = F.max(F.struct("observed_at", "raw_response_id", "item_position", "published_at", "duration_seconds", "is_short", "primary_language_code"))
         seen = items.groupBy("source_id").agg(newest.alias("_v")).select("source_id", "_v.published_at", "_v.duration_seconds", "_v.is_short", "_v.primary_language_code")
         seen = seen.withColumn("short_classification_rule_version", F.lit(None).cast("string"))
-        batch.merge("video", seen, lambda old, new: history.freeze_once(old, new, ["source_id"]))
-        tried = durable(attempts(raw, items))
+        batch.merge("video", Fixed(seen, tables.buckets_of("video", items)), lambda old, new: history.freeze_once(old, new, ["source_id"]))
+        tried = stored(attempts(raw, items))
         state = history.resolution_state(tried, with_attempt=True)
-        batch.merge("resolution", state, history.fold_resolution)
+        batch.merge("resolution", Fixed(state, tables.buckets_of("resolution", tried)), history.fold_resolution)
         gone = tried.filter("status = 'UNAVAILABLE'").select("source_id").distinct()
         known = tables.live("link").join(gone, "source_id", "left_semi")
         batch.merge("link", known, cascade_unavailable)

@@ -76,3 +76,14 @@ def test_no_task_keeps_the_sorted_sides_of_many_joins(spark, sf, name):
     for line in text.splitlines():  # a stage of the plan ends where an exchange begins
         joins = 0 if "Exchange" in line else joins + ("SortMergeJoin" in line)
         assert joins <= 2
+
+
+def test_the_replay_has_buckets_for_its_videos(spark, sf, oracle, monkeypatch):
+    laid = []
+    monkeypatch.setattr(batches, "KEYS_PER_BUCKET", 25)
+    tables = batches.replay.video_tables
+    monkeypatch.setattr(batches.replay, "video_tables", lambda *a: laid.append(a[-1]) or tables(*a))
+    name = "s7_replay_chain"
+    error, found = compare(spark, oracle, name, QUERIES[name], ORACLES[name], sf)
+    assert error is None and found, error
+    assert laid[0] > 8
