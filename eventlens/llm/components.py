@@ -2,8 +2,8 @@
 
 Each star step is one map-side combined minimum per node and one join of the edges with those
 minima, so a node with a third of all edges is a skewed join, which adaptive execution splits,
-and never a group in one task. Rounds are cut by reliable checkpoints; their number grows with
-the logarithm of the longest path. Only one row of counts reaches the driver in each round.
+and never a group in one task. Edges are made once; rounds are cut by reliable checkpoints, and their
+number grows with the logarithm of the longest path. Only whether stars are left reaches the driver in each round.
 """
 
 from __future__ import annotations
@@ -21,16 +21,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     with self-links only forms its own component. No edges give no rows.
     """
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
-    nodes = pairs.where("a = b").select(F.col("a").alias("node")).distinct()
-    stars = durable(pairs.where("a <> b").distinct())
-    seen = None
+    # they may be costly to make, and are read twice
+    pairs = durable(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    nodes = pairs.where("a = b").select(F.col("a").alias("node"))
+    stars = pairs.where("a <> b")
     while True:
         stars = durable(_small(_large(stars)))
-        sign = F.sum(F.xxhash64("a", "b").cast("decimal(20,0)").cast("decimal(38,0)"))
-        now = tuple(stars.agg(F.count("*"), sign).first())
-        if now == seen:
+        if _settled(stars):
             break
-        seen = now
     member = stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     found = member.union(roots)
@@ -39,15 +37,26 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def _large(edges: DataFrame) -> DataFrame:
-    """Link every larger neighbour of a node to the smallest of the node and its neighbours."""
-    both = edges.select("a", "b").union(edges.select("b", "a"))
-    least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-
-
-def _small(edges: DataFrame) -> DataFrame:
-    """Link a node and its smaller neighbours to the smallest of them."""
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+    """Link every larger neighbour of a node to the smallest of the node and its neighbours; edges may repeat."""
+    up = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    lowest = _both(edges, ("a", "b"), ("b", "a")).groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
+    return up.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+
+
+def _small(down: DataFrame) -> DataFrame:
+    """Link a node and its smaller neighbours ``b`` to the smallest of them."""
+    lowest = down.groupBy("a").agg(F.min("b").alias("m"))
+    return _both(down.join(lowest, "a"), ("b", "m"), ("a", "m")).where("a <> b").distinct()
+
+
+def _both(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """(a, b): several pairs of columns of each row, in one pass."""
+    return rows.select(F.inline(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in pairs])))
+
+
+def _settled(stars: DataFrame) -> bool:
+    """Whether every node with an edge to a smaller one has just that, and no larger neighbours: stars, each around its smallest node."""
+    up = F.struct(F.col("a").alias("node"), F.lit(1).alias("smaller"), F.lit(0).alias("larger"))
+    down = F.struct(F.col("b").alias("node"), F.lit(0).alias("smaller"), F.lit(1).alias("larger"))
+    ends = stars.select(F.inline(F.array(up, down))).groupBy("node").agg(F.sum("smaller").alias("smaller"), F.max("larger").alias("larger"))
+    return ends.where("smaller > 1 or smaller = 1 and larger = 1").isEmpty()

@@ -301,8 +301,10 @@ def _linked(buckets: np.ndarray, prints: np.ndarray, distance: int) -> Iterator[
     for i, j in found[:, ~dense[number[found[0]]]].T:
         yield raw[i].tobytes(), raw[j].tobytes()
     for start, size in zip(starts[dense], sizes[dense]):
-        for i, j in _forest(prints[start : start + size], distance):
-            yield raw[start + i].tobytes(), raw[start + j].tobytes()
+        # from the smallest on, so that keys that bring the same together give the same links
+        at = start + np.lexsort(prints[start : start + size].T[::-1])
+        for i, j in _forest(prints[at], distance):
+            yield raw[at[i]].tobytes(), raw[at[j]].tobytes()
 
 
 def _forest(prints: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
@@ -463,10 +465,11 @@ def _grouped(rows: DataFrame, how: Linking, max_bucket: int, texts: DataFrame) -
     prints = durable(rows.groupBy("fp").agg(F.min(own).alias("best")))
     edges = links(prints, how, max_bucket) if how.similarity is None else confirmed(prints, texts, how, max_bucket)
     found = components(edges).select(F.col("node").alias("fp"), "component")
-    linked = durable(prints.join(found, "fp"))
+    placed = durable(prints.join(found, "fp", "left").select("fp", "best", "component"))
+    linked = placed.where("component is not null")
     least = linked.groupBy("component").agg(F.min("best").alias("best"))
     joined = linked.select("fp", "component").join(least, "component").select("fp", "best")
-    return prints.join(found.select("fp"), "fp", "left_anti").select("fp", "best").union(joined)
+    return placed.where("component is null").select("fp", "best").union(joined)
 
 
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

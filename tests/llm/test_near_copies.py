@@ -147,3 +147,12 @@ def test_a_chain_is_cut_at_the_same_places_whatever_the_size_of_groups(spark, mo
     want = ruled(rows, simhash.similar_linking())
     assert kept(spark, rows) == want
     assert 1 <= len(want) <= 10
+
+
+def test_buckets_of_the_same_fingerprints_give_the_same_links():
+    rng = np.random.default_rng(7)
+    bits = np.tile(rng.integers(0, 2, 256, dtype=np.uint8), (300, 1)) ^ (rng.random((300, 256)) < 0.03)
+    prints = np.packbits(bits, axis=1).view(np.uint64)
+    found = [set(simhash._linked(np.zeros(300, np.int64), prints[rng.permutation(300)], 59)) for _ in range(3)]
+    assert len(found[0]) == 299
+    assert found[0] == found[1] == found[2]

@@ -7,8 +7,10 @@ import numpy as np
 import pytest
 
 from eventlens.llm import bpe, catalog, chat, decontaminate, exact_dedup, langid, quality, sharding, simhash, url_filter, warc
+from eventlens.llm import components as stars
 from eventlens.llm.common import written
 from eventlens.llm.components import components
+from eventlens.session import durable
 
 LONG = " ".join(f"word{i % 977}" for i in range(60_000))
 #: Columns beside those that operators read, called as operators call theirs.
@@ -115,6 +117,49 @@ def test_components_of_a_path_a_star_and_loops(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_components_make_their_edges_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 50)], "a long, b long").mapInArrow(counted, "a long, b long")
+    found = components(edges)
+    assert {r.node: r.component for r in found.collect()} == {**{i: 0 for i in range(21)}, 50: 50}
+    assert found.count() == 22
+    assert made.value == 21
+
+
+def test_components_that_are_stars_take_one_round(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(stars, "durable", lambda df: rounds.append(df) or durable(df))
+    edges = [(0, i) for i in range(1, 9)] + [(20 + i, 20) for i in range(1, 9)]
+    found = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.node: r.component for r in found} == {**{i: 0 for i in range(9)}, **{20 + i: 20 for i in range(9)}}
+    assert len(rounds) == 2  # the edges, and the round that leaves them as they are
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_components_against_union_find(spark, seed):
+    drawn = random.Random(seed)
+    edges = [(drawn.randrange(300), drawn.randrange(300)) for _ in range(230)]
+    edges += [(999, drawn.randrange(300)) for _ in range(40)] + edges[:30] + [(b, a) for a, b in edges[:20]]
+    top = {n: n for e in edges for n in e}
+
+    def root(n):
+        while top[n] != n:
+            n = top[n]
+        return n
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        top[max(a, b)] = min(a, b)
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted((r.node, r.component) for r in got) == sorted((n, root(n)) for n in top)
+
+
 def test_bpe(spark):
     df = documents(spark, ROWS).withColumnRenamed("key", "ids")
     out = bpe.decode(bpe.encode(df, catalog.RANKS, catalog.public_tokenizers.PATTERN), catalog.RANKS)
