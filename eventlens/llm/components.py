@@ -26,7 +26,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     nodes = pairs.where("a = b").select(F.col("a").alias("node"))
     stars = pairs.where("a <> b")
     while True:
-        stars = durable(_small(_large(stars)))
+        # cut in between, else what reads the large stars twice makes them twice
+        stars = durable(_small(durable(_large(stars))))
         if _settled(stars):
             break
     member = stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
