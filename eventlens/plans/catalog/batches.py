@@ -23,6 +23,9 @@ BUCKETS = 8
 #: Keys that a bucket holds at most, or so; tables of more have more buckets.
 KEYS_PER_BUCKET = 250_000
 
+#: Pages in one file of arriving pages at most: a compressed file is read by one task.
+PAGES_PER_FILE = 50_000
+
 
 def buckets_for(keys):
     return max(BUCKETS, -(-keys // KEYS_PER_BUCKET))
@@ -65,13 +68,16 @@ def _line(*parts: str) -> str:
 )
 def _x1_chain(spark, sf):
     """Two runs of page files through the chain, in several micro-batches; all tables, a text line for each row."""
-    buckets = buckets_for(2 * table(spark, sf, "events").count())  # two comments to a page
+    events = table(spark, sf, "events").count()
+    buckets = buckets_for(2 * events)  # two comments to a page
+    in_file = max(1_000, min(PAGES_PER_FILE, events // (4 * spark.sparkContext.defaultParallelism)))
+    written = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "compression": "gzip", "maxRecordsPerFile": in_file}
     tables = comments.comment_tables(spark, scratch(spark, "comments"), f"q{uuid.uuid4().hex}", buckets)
     arrived = scratch(spark, "arrived")
     e = F.col("event_id")
     for run, wanted in ((1, e % 7 != 0), (2, (e % 7 == 0) | (e % 2 == 0))):
         pages = comment_page_rows(spark, sf, run).filter(wanted)
-        pages.drop("event_id").write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(f"{arrived}/run{run}")
+        pages.drop("event_id").write.options(**written).json(f"{arrived}/run{run}")
         comments.ingest_pages(tables, f"{arrived}/*", f"{tables.root}-state", f"run{run}", "CHRONOLOGICAL", {"s1": b"pepper"}, "s1")
     return chain_rows(tables)
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,13 +57,22 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Rows written once in the shared folder, as columns, so what is made of them reads just what it needs."""
-    path = scratch(df.sparkSession, "rows")
-    df.write.parquet(path)
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Rows written once in the shared folder, as columns, so what is made of them reads just what it needs.
+
+    A caller that names the folder can `discard` it as soon as nothing reads the rows any more.
+    """
+    path = path or scratch(df.sparkSession, "rows")
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder that nothing reads any more, before the driver ends."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
+
+
 def scratch(spark: SparkSession, kind: str) -> str:
     """A new folder name in the shared folder, removed when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
@@ -70,6 +81,18 @@ def scratch(spark: SparkSession, kind: str) -> str:
     return path
 
 
+@contextmanager
+def short_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What a query shuffles is removed as it ends, not when the driver next collects garbage, which may be much later."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Round-robin a scan that is too small to occupy the cluster by itself.
 

@@ -9,6 +9,9 @@ An append table keeps the rows of every batch. A keyed table is bucketed on its
 `bucket` is Spark's own bucket number: a bucket's live rows are those of the last marked batch that
 wrote it. A merge reads the live files of just those buckets that incoming keys fall into, joins them where they
 lie (the incoming side alone is shuffled), and writes these buckets anew; all others stay untouched.
+
+A working table holds rows of one batch while it lasts: they are laid out and read as those of a keyed table, and
+removed when the batch ends. Files are compressed with Zstandard: keys and digests are hexadecimal texts, which it halves.
 """
 
 from __future__ import annotations
@@ -28,11 +31,12 @@ MARKER = "batch_id bigint, table_name string, buckets array<int>"
 
 @dataclass(frozen=True)
 class Layout:
-    """Columns as DDL; the natural key of a keyed table, and into how many buckets it is laid out."""
+    """Columns as DDL; the columns that a keyed table is laid out on, into how many buckets; if it is a working table."""
 
     columns: str
     keys: tuple[str, ...] = ()
     buckets: int = 64
+    working: bool = False
 
     @property
     def names(self) -> list[str]:
@@ -65,7 +69,7 @@ class BatchTables:
                 extra += ", bucket int"
                 laid = f"PARTITIONED BY (batch_id, bucket) CLUSTERED BY ({key}) SORTED BY ({key}) INTO {layout.buckets} BUCKETS"
             known = spark.catalog.tableExists(self._table(name))
-            spark.sql(f"CREATE TABLE IF NOT EXISTS {self._table(name)} ({layout.columns}, {extra}) USING parquet {laid} LOCATION '{self.root}/{name}'")
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {self._table(name)} ({layout.columns}, {extra}) USING parquet OPTIONS (compression 'zstd') {laid} LOCATION '{self.root}/{name}'")
             if there and not known:  # written by an earlier application
                 spark.catalog.recoverPartitions(self._table(name))
 
@@ -153,10 +157,24 @@ class Batch:
     def __exit__(self, kind, *_) -> None:
         if kind is None:
             self.mark()
+        for name, layout in self.tables.layouts.items():
+            if layout.working:
+                self.tables._remove(name, self.batch_id)
 
     def append(self, name: str, rows: DataFrame) -> DataFrame:
         """Write rows of an append table, and give them as they were written."""
         self._write(name, rows, [])
+        return self._written(name)
+
+    def keep(self, name: str, rows: DataFrame) -> DataFrame:
+        """Rows of a working table, and as they were written: they lie in its buckets until the batch ends.
+
+        Rows that are dealt on the table's keys already, into as many parts, aren't shuffled again.
+        """
+        self._write(name, rows, [], marked=False)
+        return self._written(name)
+
+    def _written(self, name: str) -> DataFrame:
         written = self.tables.spark.table(self.tables._table(name))
         return written.filter(F.col("batch_id") == self.batch_id).select(*self.tables.layouts[name].names)
 
@@ -177,7 +195,7 @@ class Batch:
         layout = self.tables.layouts[name]
         self._write(name, rows.repartition(layout.buckets, *layout.keys), list(range(layout.buckets)))
 
-    def _write(self, name: str, rows: DataFrame, buckets: list[int]) -> None:
+    def _write(self, name: str, rows: DataFrame, buckets: list[int], marked: bool = True) -> None:
         if name in self._wrote:
             raise GateError(f"{name} is written once in a batch")
         layout = self.tables.layouts[name]
@@ -185,7 +203,8 @@ class Batch:
         if layout.keys:
             rows = rows.withColumn("bucket", layout.bucket())
         rows.write.insertInto(self.tables._table(name))
-        self._wrote[name] = buckets
+        if marked:
+            self._wrote[name] = buckets
 
     def mark(self) -> None:
         """One small file, written as a whole or not at all."""

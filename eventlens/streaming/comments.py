@@ -8,7 +8,6 @@ without leaving a row twice. What the tables hold equals the batch operators ove
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,8 +15,8 @@ from pyspark.sql.streaming import StreamingQuery
 from eventlens.functions.keys import pseudonymise, sha256
 from eventlens.operators import history
 from eventlens.operators.ordered import has_hot_group
-from eventlens.session import stored
-from eventlens.sources.batches import BatchTables, Fixed, Layout
+from eventlens.session import discard, scratch, short_shuffles, stored
+from eventlens.sources.batches import Batch, BatchTables, Fixed, Layout
 from eventlens.sources.landing import comment_items, land_raw, tag_dead_letters
 from eventlens.sources.schemas import RAW_PAGE
 from eventlens.streaming.incremental import page_stream
@@ -26,6 +25,11 @@ from eventlens.streaming.incremental import page_stream
 _PLACE = ("observed_at", "raw_response_id", "item_position")
 _VALUES = ("likes", "reply_count")
 _BY_COMMENT = ("source_comment_id",)
+#: A good item of a batch, and how it stands to those before it; what is the same in the whole batch isn't dealt.
+_SNAPSHOT = (
+    "source_comment_id string, video_key string, published_at timestamp_ntz, author_key string, text_content string, text_hash string, "
+    "likes bigint, reply_count bigint, item_position bigint, raw_response_id string, observed_at timestamp_ntz, _late boolean, _changed boolean"
+)
 
 
 def layouts(buckets: int = 64) -> dict[str, Layout]:
@@ -49,6 +53,7 @@ def layouts(buckets: int = 64) -> dict[str, Layout]:
             "ingestion_run_id string"
         ),
         "sample_observation": Layout("comment_key string, raw_response_id string, source_item_position bigint, sample_type string, observed_at timestamp_ntz"),
+        "snapshot": Layout(_SNAPSHOT, _BY_COMMENT, buckets, working=True),
     }
 
 
@@ -72,32 +77,47 @@ def ingest(
     """One micro-batch of pages into all tables; a batch that is marked already is left alone.
 
     Pages are parsed once, and snapshots are dealt once, as the buckets of the comments are: what is made of them for each
-    comment is neither shuffled nor written in between. If one comment has more snapshots than a task should take, they
-    stay where they are, and are combined before they are dealt.
+    comment is not shuffled, but for their texts. If one comment has more snapshots than a task should take, they
+    stay where they are, and are combined before they are dealt. Nothing stays on disk longer than it is read: neither the
+    items, nor the snapshots, nor what is shuffled, nor the states that this batch replaces. So a reader of an earlier
+    state has to be done when the next batch ends.
     """
     if tables.is_marked(batch_id):
         return
-    with tables.batch(batch_id) as batch:
-        landed = batch.append("raw_page", land_raw(pages, "VIDEO", "VIDEO", "commentThreads.list", run_id))
-        items = stored(parsed(landed, sample_type, secrets, salt_version).withColumn("text_hash", sha256(F.col("text_content"))))
-        good, layout = items.filter("error_code IS NULL"), tables.layouts["comment"]
-        batch.append("sample_observation", history.sample_observations(good))
-        is_hot = has_hot_group(good, _BY_COMMENT)
-        known = tables.live("comment").filter("last IS NOT NULL").select(*_BY_COMMENT, "last.*")
-        dealt = good if is_hot else good.repartition(layout.buckets, *_BY_COMMENT)
-        # kept as they are dealt; what is lost with an executor is made again of the written items
-        seen = history.marked_since(known, dealt, *_BY_COMMENT, _PLACE, _VALUES, is_hot=is_hot).persist(StorageLevel.DISK_ONLY)
+    rows = [scratch(tables.spark, "rows") for _ in range(2)]
+    with short_shuffles(tables.spark):
         try:
-            late = seen.filter("_late").withColumn("error_code", F.lit("LATE_SNAPSHOT"))
-            batch.append("dead_letter", items.filter("error_code IS NOT NULL").unionByName(late, allowMissingColumns=True))
-            batch.append("engagement", seen.filter("_changed"))
-            states, texts = history.comment_states(seen, _PLACE, _VALUES), history.text_states(seen)
-            touched = {name: tables.buckets_of(name, seen) for name in ("text_version", "comment")}
-            batch.merge("text_version", Fixed(texts, touched["text_version"]), history.fold_text_states)
-            # last, as Spark drops what it keeps of a table that is written to
-            batch.merge("comment", Fixed(states, touched["comment"]), history.fold_comments)
+            with tables.batch(batch_id) as batch:
+                _fill(batch, pages, rows, run_id, sample_type, secrets, salt_version)
         finally:
-            seen.unpersist()
+            for path in rows:
+                discard(tables.spark, path)
+        for name in ("comment", "text_version"):
+            tables.drop_superseded(name)
+
+
+def _fill(batch: Batch, pages: DataFrame, rows: list[str], run_id: str, sample_type: str, secrets: dict[str, bytes], salt_version: str) -> None:
+    """The writes of a micro-batch; `rows` are folders for its items, and for its snapshots if a comment is hot."""
+    tables = batch.tables
+    landed = batch.append("raw_page", land_raw(pages, "VIDEO", "VIDEO", "commentThreads.list", run_id))
+    items = stored(parsed(landed, sample_type, secrets, salt_version).withColumn("text_hash", sha256(F.col("text_content"))), rows[0])
+    good, layout = items.filter("error_code IS NULL"), tables.layouts["snapshot"]
+    batch.append("sample_observation", history.sample_observations(good))
+    # a comment is counted by itself only if its bucket is as large as a hot comment alone
+    is_hot = has_hot_group(good.select(layout.bucket().alias("bucket")), ["bucket"]) and has_hot_group(good, _BY_COMMENT)
+    known = tables.live("comment").filter("last IS NOT NULL").select(*_BY_COMMENT, "last.*")
+    snapshots = good.select(*[c for c in layout.names if c in good.columns])
+    dealt = snapshots if is_hot else snapshots.repartition(layout.buckets, *_BY_COMMENT)
+    seen = history.marked_since(known, dealt, *_BY_COMMENT, _PLACE, _VALUES, is_hot=is_hot)
+    seen = stored(seen, rows[1]) if is_hot else batch.keep("snapshot", seen)
+    seen = seen.withColumns({"page_number": F.col("raw_response_id"), "ingestion_run_id": F.lit(run_id)})
+    late = seen.filter("_late").withColumn("error_code", F.lit("LATE_SNAPSHOT"))
+    batch.append("dead_letter", items.filter("error_code IS NOT NULL").unionByName(late, allowMissingColumns=True))
+    discard(tables.spark, rows[0])
+    batch.append("engagement", seen.filter("_changed"))
+    states = {"text_version": history.text_states(seen), "comment": history.comment_states(seen, _PLACE, _VALUES)}
+    for name, fold in (("text_version", history.fold_text_states), ("comment", history.fold_comments)):
+        batch.merge(name, Fixed(states[name], tables.buckets_of(name, seen)), fold)
 
 
 def ingest_pages(

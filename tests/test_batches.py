@@ -4,6 +4,7 @@ import glob
 import json
 import os
 import random
+import time
 import uuid
 
 import pytest
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from eventlens.errors import GateError
 from eventlens.functions.times import ntz
 from eventlens.operators import history, joins
+from eventlens.session import shared_dir
 from eventlens.sources.batches import Batch, BatchTables, Layout
 from eventlens.streaming import comments
 
@@ -201,6 +203,33 @@ def test_a_chain_that_fails_between_two_tables_leaves_each_row_once(spark, tmp_p
     assert chain_result(tables) == before
 
 
+def test_a_chain_keeps_on_disk_what_is_live_only(spark, tmp_path):
+    local = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {name for name in (f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(local.getAllFiles())) if name.startswith("shuffle_")}
+    rows = lambda: set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/rows-*"))
+    before = shuffled(), rows()
+    tables = comments.comment_tables(spark, str(tmp_path / "tables"), prefix(), buckets=4)
+    folder = str(tmp_path / "arrived")
+    for run in (1, 2):
+        arrive(folder, run, seed=run)
+        for number in range(6):  # in this order, so that no snapshot is late
+            os.utime(f"{folder}/run{run}-{number}.json", (1_700_000_000 + 10 * run + number,) * 2)
+        run_chain(tables, folder, run)
+    end = time.time() + 20
+    while shuffled() - before[0] and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffled() - before[0] and rows() == before[1]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    marked = {(r.table_name, r.batch_id, b) for r in tables.markers().collect() for b in r.buckets}
+    last = {(name, bucket): max(b for n, b, k in marked if (n, k) == (name, bucket)) for name, _, bucket in marked}
+    found = {name: glob.glob(f"{tables.root}/{name}/**/*.parquet", recursive=True) for name in tables.layouts}
+    for name in ("comment", "text_version"):
+        kept = {int(f.split("batch_id=")[1].split("/")[0]) for f in found[name]}
+        assert kept == {batch for (n, _), batch in last.items() if n == name}
+    assert not found["snapshot"] and found["raw_page"] and all(f.endswith(".zstd.parquet") for files in found.values() for f in files)
+    assert chain_result(tables) == batch_result(tables)
+
+
 def test_a_snapshot_before_the_stored_one_is_a_dead_letter(spark):
     columns = "id string, at bigint, v int"
     stored = spark.createDataFrame([("a", 5, 1)], columns)

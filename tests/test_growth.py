@@ -1,5 +1,8 @@
 """Work that must not grow faster than its input: rows that lie by key meet without another shuffle."""
 
+import glob
+import gzip
+
 import pytest
 
 from eventlens.operators import ordered
@@ -63,6 +66,20 @@ def test_the_comment_chain_has_buckets_for_its_comments(spark, sf, oracle, monke
     assert (max(laid) > 8) == (keys == 100)
 
 
+def test_arriving_pages_are_compressed_and_dealt_into_files(spark, sf, monkeypatch):
+    files, stream = set(), comments.page_stream
+
+    def listed(session, path, *rest):
+        files.update(glob.glob(path.removeprefix("file:") + "/part-*"))
+        return stream(session, path, *rest)
+
+    monkeypatch.setattr(batches, "PAGES_PER_FILE", 1_000)
+    monkeypatch.setattr(comments, "page_stream", listed)
+    QUERIES["x1_comment_chain"](spark, sf.replace("sf0.001", "sf0.01"))
+    assert len(files) >= 14 and all(f.endswith(".json.gz") for f in files)
+    assert max(sum(1 for _ in gzip.open(f)) for f in files) <= 1_000
+
+
 @pytest.mark.parametrize("name", ["x2_continuity", "x3_watermark_advance"])
 def test_no_task_keeps_the_sorted_sides_of_many_joins(spark, sf, name):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
